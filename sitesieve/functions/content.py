@@ -14,14 +14,15 @@ REDIRECT_STATUS = (301, 308)
 RETRY_STATUS = 408
 WAIT_STATUS = (413, 428)
 
-# Named entities of HTML for the letters U+00C0 to U+00FF, in code point order.
+# Named entities of HTML for the letters U+00C0 to U+00FF, in code point order, and those of markup.
+FIRST_LETTER = 0xC0
 LETTER_ENTITIES = (
     "Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml "
     "ETH Ntilde Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig "
     "agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml igrave iacute icirc iuml "
     "eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml"
 ).split()
-MARKUP_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "))
+MARKUP_ENTITIES = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "))
 
 # Characters of windows-1252 at the bytes 0x80 to 0x9F (five bytes are undefined and stay).
 WINDOWS_1252_EXTRA = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
@@ -32,14 +33,11 @@ NOT_TEXT = (
     r"(?is)<\?xml.*?\?>|<!--.*?(?:-->|\z)|<head\b.*?(?:</head\s*>|<body\b[^<>]*>)"
     r"|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<[/!?a-z][^<>]*>"
 )
-OTHER_ENTITY = r"&#?[A-Za-z0-9]+;"
+ENTITY_NAME = "^(#?[A-Za-z0-9]+);"
 BLANKS = r"[ \t\r\n\f]+"
 XML_PROLOG = r"(?is)^\s*<\?xml.*?\?>"
 WORD = "[a-zà-öø-ÿß]+"
 
-_AMP = "\u0002"
-_LATIN_LETTER_ENTITY = r"&[A-Za-z]{1,2}(?:grave|acute|circ|tilde|uml|ring|lig|cedil|slash|ETH|HORN|th|horn);"
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -109,43 +107,38 @@ def without_prolog(html: Column | str) -> Column:
     return F.regexp_replace(_col(html), XML_PROLOG, "")
 
 
-def _numeric_entity(piece: Column) -> Column:
-    """Text behind ``&#``: the character its number stands for and the rest; as it was when the number is no use."""
-    code = F.coalesce(
-        F.nullif(F.regexp_extract(piece, r"^(\d{1,5});", 1), F.lit("")),
-        F.conv(F.nullif(F.regexp_extract(piece, r"^[xX]([0-9A-Fa-f]{1,4});", 1), F.lit("")), 16, 10),
-    ).cast("int")
-    character = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 4, "0")), "UTF-16BE")
-    usable = code.between(32, 0xD7FF) | code.between(0xE000, 0xFFFD)
-    return F.when(usable, F.concat(character, F.regexp_replace(piece, "^[^;]*;", ""))).otherwise(
-        F.concat(F.lit("&#"), piece)
-    )
-
-
-def _numeric_entities(c: Column) -> Column:
-    return let(
-        F.split(c, "&#"),
-        lambda pieces: F.concat(
-            F.get(pieces, F.lit(0)),
-            F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _numeric_entity), ""),
-        ),
+def _character(name: Column) -> Column:
+    """Character of an entity name or number, a blank for one that is not known, NULL for no name."""
+    decimal = F.nullif(F.regexp_extract(name, r"^#(\d{1,5})$", 1), F.lit(""))
+    hexadecimal = F.nullif(F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,4})$", 1), F.lit(""))
+    code = F.coalesce(decimal, F.conv(hexadecimal, 16, 10)).cast("int")
+    letter = F.array_position(F.split(F.lit(" ".join(LETTER_ENTITIES)), " "), name)
+    out = F.when(name == "", F.lit(None))
+    for known, character in MARKUP_ENTITIES:
+        out = out.when(name == known, F.lit(character))
+    return (
+        out.when(letter > 0, F.chr(letter + (FIRST_LETTER - 1)))
+        .when(
+            code.between(32, 0xD7FF) | code.between(0xE000, 0xFFFD),
+            F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 4, "0")), "UTF-16BE"),
+        )
+        .otherwise(F.lit(" "))
     )
 
 
-def _letter_entities(c: Column) -> Column:
-    for code, name in enumerate(LETTER_ENTITIES, start=0xC0):
-        c = F.replace(c, F.lit(f"&{name};"), F.lit(chr(code)))
-    return c
+def _after_ampersand(piece: Column) -> Column:
+    character = let(F.regexp_extract(piece, ENTITY_NAME, 1), _character)
+    return F.coalesce(F.concat(character, F.regexp_replace(piece, "^[^;]*;", "")), F.concat(F.lit("&"), piece))
 
 
 def unescape(c: Column | str) -> Column:
     """Entities to characters; an entity that is neither markup, a Latin letter nor a number becomes a blank."""
-    c = F.replace(_col(c), F.lit("&amp;"), F.lit(_AMP))
-    c = let(c, lambda t: F.when(t.rlike(_LATIN_LETTER_ENTITY), _letter_entities(t)).otherwise(t))
-    c = let(c, lambda t: F.when(t.contains("&#"), _numeric_entities(t)).otherwise(t))
-    for name, character in MARKUP_ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(character))
-    return F.replace(F.regexp_replace(c, OTHER_ENTITY, " "), F.lit(_AMP), F.lit("&"))
+
+    def pieces_back(pieces: Column) -> Column:
+        later = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _after_ampersand)
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(later, ""))
+
+    return let(_col(c), lambda t: F.when(t.contains("&"), let(F.split(t, "&"), pieces_back)).otherwise(t))
 
 
 def html_text(html: Column | str) -> Column:

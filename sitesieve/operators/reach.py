@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from ..session import stage
+from ..session import new_path, stage
+
+
+def _write_counted(df: DataFrame, path: str) -> int:
+    """Write a table and return its number of rows, counted by the writing tasks."""
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return counted.get["n"]
 
 
 def reachable(links: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -14,19 +21,23 @@ def reachable(links: DataFrame, seeds: DataFrame, max_rounds: int | None = None)
     before to the links and removes what is known; its result is written to the shared folder, so that the plan does
     not grow and a lost executor costs no more than its tasks. Ends when a round finds nothing new.
     """
-    edges = links.select("src", "dst").filter(F.col("src") != F.col("dst"))
-    newest = stage(seeds.select("norm_url").distinct().withColumn("hops", F.lit(0)), "round_0")
-    found = newest
+    spark = links.sparkSession
+    edges = stage(links.select("src", "dst").filter(F.col("src") != F.col("dst")), "edges")
+    path = new_path(spark, "reached")
+
+    def found(folder: str) -> DataFrame:
+        return spark.read.schema("norm_url string").parquet(folder)
+
     hops = 0
-    while not newest.isEmpty() and (max_rounds is None or hops < max_rounds):
-        hops += 1
+    n_new = _write_counted(seeds.select("norm_url").distinct(), f"{path}/hops=0")
+    while n_new > 0 and (max_rounds is None or hops < max_rounds):
+        newest = found(f"{path}/hops={hops}").select(F.col("norm_url").alias("src"))
         step = (
-            edges.join(newest.select(F.col("norm_url").alias("src")), "src", "left_semi")
+            edges.join(newest, "src", "left_semi")
             .select(F.col("dst").alias("norm_url"))
             .distinct()
-            .join(found.select("norm_url"), "norm_url", "left_anti")
-            .withColumn("hops", F.lit(hops))
+            .join(found(path).select("norm_url"), "norm_url", "left_anti")
         )
-        newest = stage(step, f"round_{hops}")
-        found = found.unionByName(newest)
-    return found
+        hops += 1
+        n_new = _write_counted(step, f"{path}/hops={hops}")
+    return spark.read.schema("norm_url string, hops int").parquet(path)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..config import SieveConfig
 from ..operators import language, links, pages as page_ops, robots, frontier
@@ -47,8 +48,14 @@ ROBOTS_FILES = (
 )
 
 
+@lru_cache(maxsize=64)
+def _schema(path: str) -> StructType:
+    return SparkSession.getActiveSession().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def _cases(remainders: list[tuple[int, int, int]], default: int, number: Column) -> Column:
