@@ -93,12 +93,12 @@ def first_over(
     keys = list(keys)
     limit = F.lit(limit) if isinstance(limit, int) else limit
     rows = df.select(*keys, seq, _block(seq, span).alias(_BLOCK), value.cast("bigint").alias("__value"))
-    upto = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, _BLOCK).agg(F.sum("__value").alias("__total"))
     crossing = (
-        totals.withColumn("__upto", F.sum("__total").over(upto))
-        .withColumn("__start", F.col("__upto") - F.col("__total"))
-        .filter((F.col("__upto") > limit) & (F.col("__start") <= limit))
+        totals.withColumn("__before", F.sum("__total").over(earlier))
+        .withColumn("__start", F.coalesce("__before", F.lit(0)))
+        .filter((F.col("__start") + F.col("__total") > limit) & (F.col("__before").isNull() | (F.col("__before") <= limit)))
         .select(*keys, _BLOCK, "__start")
     )
     inside = Window.partitionBy(*keys, _BLOCK).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)

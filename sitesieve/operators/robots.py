@@ -127,7 +127,7 @@ def robots_allowed(pages: DataFrame, lookup: DataFrame, url: str = "norm_url", n
     """
     joined = pages.join(lookup.select("host", "policy", "paths"), "host", "left")
     def verdict_on(target: Column) -> Column:
-        matches = F.filter("paths", lambda r: (r["path"] == "*") | target.startswith(r["path"]))
+        matches = F.filter("paths", lambda r: target.startswith(r["path"]))
         return F.coalesce(F.get(matches, F.lit(0))["allow"], F.lit(True))
 
     verdict = let(robots_target(url), verdict_on)

@@ -219,7 +219,7 @@ ALLOWED = f"""targets AS (SELECT fetch_seq, host, CASE WHEN t = '' THEN '/' ELSE
   FROM (SELECT fetch_seq, host, regexp_extract(norm_url, '^https?://[^/?#]*(.*)$', 1) AS t FROM sited)),
 matched AS (SELECT fetch_seq, arg_min(kind = 'allow' OR value = '', line_no) AS verdict
   FROM targets JOIN chosen USING (host) JOIN rules USING (host, group_no)
-  WHERE kind IN ('allow', 'disallow') AND (value = '*' OR starts_with(target, value)) GROUP BY fetch_seq),
+  WHERE kind IN ('allow', 'disallow') AND starts_with(target, value) GROUP BY fetch_seq),
 allowed AS (SELECT fetch_seq, host, CASE policy WHEN 'allow' THEN true WHEN 'rules' THEN coalesce(verdict, true)
     ELSE false END AS allowed
   FROM targets LEFT JOIN policies USING (host) LEFT JOIN matched USING (fetch_seq))"""
