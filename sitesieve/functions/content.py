@@ -30,13 +30,13 @@ WINDOWS_1252_EXTRA = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’
 # What is not text: prolog, comments, head, scripts, styles and every other tag. One pass; an unclosed comment, script
 # or style reaches to the end, and a tag never runs past the next "<", so that the time stays linear in the page.
 NOT_TEXT = (
-    r"(?is)<\?xml.*?\?>|<!--.*?(?:-->|\z)|<head\b.*?(?:</head\s*>|<body\b[^<>]*>)"
-    r"|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<[/!?a-z][^<>]*>"
+    r"(?is)<(?:\?xml.*?\?>|!--.*?(?:-->|\z)|head\b.*?(?:</head\s*>|<body\b[^<>]*>)"
+    r"|script\b.*?(?:</script\s*>|\z)|style\b.*?(?:</style\s*>|\z)|[/!?a-z][^<>]*>)"
 )
 ENTITY_NAME = "^(#?[A-Za-z0-9]+);"
 BLANKS = r"[ \t\r\n\f]+"
 XML_PROLOG = r"(?is)^\s*<\?xml.*?\?>"
-WORD = "[a-zà-öø-ÿß]+"
+WORD = "[a-zß-öø-ÿ]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -141,9 +141,14 @@ def unescape(c: Column | str) -> Column:
     return let(_col(c), lambda t: F.when(t.contains("&"), let(F.split(t, "&"), pieces_back)).otherwise(t))
 
 
+def visible(html: Column | str) -> Column:
+    """Visible text of a page with its blanks as they are, enough to find words in."""
+    return unescape(F.regexp_replace(_col(html), NOT_TEXT, " "))
+
+
 def html_text(html: Column | str) -> Column:
     """Visible text of a page, blanks collapsed."""
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(_col(html), NOT_TEXT, " ")), BLANKS, " "))
+    return F.trim(F.regexp_replace(visible(html), BLANKS, " "))
 
 
 def words(text: Column | str, pattern: str = WORD) -> Column:

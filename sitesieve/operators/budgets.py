@@ -73,12 +73,14 @@ def attempt_state(log: DataFrame, max_attempts: int) -> DataFrame:
     ``log`` has ``norm_url``, ``attempt`` and ``action``. The first failure and ``max_attempts`` more are retried, the
     next one gives up; a failure that is not to be retried is final at once.
     """
+    final = ~F.col("action").isin("retry", "wait")
     seen = log.groupBy("norm_url").agg(
         F.count(F.lit(1)).alias("n_failures"),
-        F.max(F.struct("attempt", "action")).alias("last"),
+        F.max("attempt").alias("last"),
+        F.max(F.when(final, F.col("attempt"))).alias("last_final"),
     )
     state = (
-        F.when(~F.col("last.action").isin("retry", "wait"), F.lit("failed"))
+        F.when(F.col("last_final") == F.col("last"), F.lit("failed"))
         .when(F.col("n_failures") >= max_attempts + 2, F.lit("given_up"))
         .otherwise(F.lit("retry"))
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from .hosts import with_host_parts
 from .ordered import SPAN, numbered_overall, top_per_key
 
 
@@ -14,22 +15,29 @@ def new_links(links: DataFrame, visited: DataFrame) -> DataFrame:
     return links.join(visited.select("norm_url"), "norm_url", "left_anti")
 
 
-def dedup_links(links: DataFrame) -> DataFrame:
-    """One row per URL: ``norm_url``, ``site``, ``first_seq``, ``parent_url`` of the first page that names it, and
-    ``n_found``. The aggregation is partial before the shuffle, so a URL named by very many pages is no hot spot."""
-    first = F.min(F.struct(F.col("fetch_seq"), F.col("parent_url"))).alias("__first")
-    grouped = links.groupBy("norm_url").agg(first, F.min("site").alias("site"), F.count(F.lit(1)).alias("n_found"))
-    return grouped.select(
-        "norm_url", "site",
-        F.col("__first.fetch_seq").alias("first_seq"), F.col("__first.parent_url").alias("parent_url"), "n_found",
-    )
+def dedup_links(links: DataFrame, suffixes: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """One row per URL: ``norm_url``, ``host``, ``suffix``, ``site``, ``first_seq`` of the first page that names it, and
+    ``n_found``.
+
+    Only numbers are aggregated, so the partial aggregation before the shuffle is a hash aggregation and a URL named by
+    very many pages is no hot spot; the site follows from the URL. The result stays partitioned by URL for
+    ``new_links``.
+    """
+    grouped = links.groupBy("norm_url").agg(F.min("fetch_seq").alias("first_seq"), F.count(F.lit(1)).alias("n_found"))
+    return with_host_parts(grouped, "norm_url", suffixes)
+
+
+def with_parent(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """Add ``parent_url``, the normalised URL of the page ``first_seq``."""
+    parents = pages.select(F.col("fetch_seq").alias("first_seq"), F.col("norm_url").alias("parent_url"))
+    return found.join(parents, "first_seq", "left")
 
 
 def extend_frontier(frontier: DataFrame, new: DataFrame) -> DataFrame:
     """Frontier with the new URLs; an URL already in it keeps its entry. Columns ``norm_url``, ``site``, ``added``."""
     columns = ["norm_url", "site", "added"]
     both = frontier.select(*columns).unionByName(new.select(*columns))
-    return both.groupBy("norm_url").agg(F.min("site").alias("site"), F.min("added").alias("added")).select(*columns)
+    return both.groupBy("norm_url", "site").agg(F.min("added").alias("added"))
 
 
 def discovered_seeds(links: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
 from ..functions.tables import TWO_LABEL_SUFFIXES
+from ..session import stage
 
 HOST_COLUMNS = ("host", "suffix", "site")
 _ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\]|)$"
@@ -77,7 +78,8 @@ def _with_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     rules = rules.groupBy(F.lower("suffix").alias("__rule")).agg(
         *(F.bool_or(F.col("kind") == kind).alias(f"__{kind}") for kind in kinds)
     )
-    # the longest rule decides how many joins there are: one small aggregate over the rule table
+    # staged, so that the planner knows how small the rules are; the longest one decides how many joins there are
+    rules = stage(rules, "suffix_rules")
     longest = rules.agg(F.max(F.size(F.split("__rule", r"\.")))).first()[0] or 1
     labels = F.size(F.split("host", r"\."))
     found, exceptions = [F.lit(1)], []

@@ -82,16 +82,22 @@ def with_language(
         known = list(model[code])
         return F.size(F.filter(words, lambda word: word.isin(*known)))
 
+    every = sorted({word for known in model.values() for word in known})
+
     def verdict(words: Column) -> Column:
-        entries = F.sort_array(F.array(*(_ranking_entry(hits(code, words), F.lit(code)) for code in sorted(model))))
+        def ranked_entries(found: Column) -> Column:
+            return F.sort_array(F.array(*(_ranking_entry(hits(code, found), F.lit(code)) for code in sorted(model))))
+
+        # words of no profile go first, so that each language looks only at the rest
+        entries = let(F.filter(words, lambda word: word.isin(*every)), ranked_entries)
         return let(entries, lambda ranked: _sure_best(ranked, F.size(words)))
 
-    return computed(df, {name: let(content.words(content.html_text(html), pattern), verdict)})
+    return computed(df, {name: let(content.words(content.visible(html), pattern), verdict)})
 
 
 def page_words(pages: DataFrame, key: str = "fetch_seq", html: str = "html", pattern: str = content.WORD) -> DataFrame:
     """One row per page and word occurrence, with the number of words of the page."""
-    split = pages.select(key, content.words(content.html_text(html), pattern).alias("__words"))
+    split = pages.select(key, content.words(content.visible(html), pattern).alias("__words"))
     return split.select(key, F.size("__words").alias("n_words"), F.explode("__words").alias("word"))
 
 

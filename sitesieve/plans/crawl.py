@@ -90,23 +90,22 @@ def run(
     """
     judged = stage(judge_pages(pages, config, model, robots_files, suffixes), "judged")
     sites = stage(site_stops(judged, config, policy), "sites")
+    stops = stage(sites.filter(F.col("stop_seq").isNotNull()).select("site", "stop_seq"), "stops")
     denied = stage(judged.filter(F.col("outcome") == "robots").select("fetch_seq"), "denied")
-    marked = judged.join(
-        sites.filter(F.col("stop_seq").isNotNull()).select("site", "stop_seq"), "site", "left"
-    ).withColumn("after_stop", F.coalesce(F.col("fetch_seq") > F.col("stop_seq"), F.lit(False))).drop("stop_seq")
+    marked = judged.join(stops, "site", "left").withColumn("after_stop", F.coalesce(F.col("fetch_seq") > F.col("stop_seq"), F.lit(False))).drop("stop_seq")
 
     readable = page_ops.with_site(page_ops.decode_body(pages), suffixes).filter(eligible(config))
     documents = language.keep_langs(language.with_language(readable, "html", model), config.langs_of_interest)
-    documents = scout.apply_stops(documents.join(denied, "fetch_seq", "left_anti"), sites)
+    documents = scout.apply_stops(documents.join(denied, "fetch_seq", "left_anti"), stops)
 
-    arrays = scout.apply_stops(page_ops.link_arrays(readable).join(denied, "fetch_seq", "left_anti"), sites)
-    moved = scout.apply_stops(judged.filter(F.col("outcome") != "robots"), sites)
+    arrays = scout.apply_stops(page_ops.link_arrays(readable).join(denied, "fetch_seq", "left_anti"), stops)
+    moved = scout.apply_stops(judged.filter(F.col("outcome") != "robots"), stops)
     found = page_ops.explode_links(arrays).unionByName(links.redirect_links(moved))
     admitted = links.admitted(links.admit_links(links.with_link_parts(found, suffixes), config))
     seen = judged.select("norm_url")
     if visited is not None:
         seen = seen.unionByName(visited.select("norm_url"))
     own = admitted.filter(F.col("reason") == "same_site")
-    pending = frontier.new_links(frontier.dedup_links(own), seen)
+    pending = frontier.new_links(frontier.dedup_links(own, suffixes), seen)
     seeds = frontier.discovered_seeds(frontier.new_links(admitted, seen))
     return Crawl(marked, sites, documents, admitted, pending, seeds)

@@ -11,7 +11,7 @@ from ..functions import content, urls
 from ..operators import (
     budgets, frontier, hosts, language, links, pages as page_ops, reach, robots, scout,
 )
-from ..session import new_path, tune
+from ..session import new_path, stage, tune
 from ..sources import sinks, state
 from ..sources.pages import as_pages
 from ..streaming.evidence import read_evidence, stream_evidence, write_evidence
@@ -312,7 +312,8 @@ def frontier_new(spark, sf_dir):
 @query
 def frontier_dedup(spark, sf_dir):
     found = frontier.dedup_links(links.admitted(inputs.admission(spark, sf_dir)))
-    return found.select("norm_url", "site", "first_seq", "parent_url", "n_found")
+    named = frontier.with_parent(found, page_ops.with_site(_raw_pages(spark, sf_dir)))
+    return named.select("norm_url", "site", "first_seq", "parent_url", "n_found")
 
 
 @query
@@ -457,9 +458,14 @@ def scout_links(spark, sf_dir):
 # Budgets
 
 
+def _staged_kept(spark, sf_dir):
+    """Kept documents without their text, detected once for all that look at them."""
+    return stage(inputs.kept(spark, sf_dir).select("site", "fetch_seq", "lang", "n_bytes"), "kept")
+
+
 @query
 def size_budget(spark, sf_dir):
-    return budgets.size_budget(inputs.kept(spark, sf_dir), inputs.SIZE_BUDGET_MB)
+    return budgets.size_budget(_staged_kept(spark, sf_dir), inputs.SIZE_BUDGET_MB)
 
 
 @query
@@ -480,7 +486,7 @@ def site_status(spark, sf_dir):
     pages = inputs.sited(spark, sf_dir)
     known = pages.groupBy("site").agg(F.max("fetch_seq").alias("last_seq"))
     again = pages.filter(content.status_action("status").isin("retry", "wait"))
-    kept = inputs.kept(spark, sf_dir)
+    kept = _staged_kept(spark, sf_dir)
     status = budgets.site_status(
         known,
         scout.scout_decision(scout.scout_steps(kept, CONFIG.scout_steps), CONFIG).select("site", "stop_seq"),

@@ -65,18 +65,22 @@ def test_page_links_and_redirects(spark):
 
 
 def test_dedup_new_and_extend(spark):
-    rows = [(5, "p5", "u1"), (2, "p2", "u1"), (3, "p3", "u2"), (4, "p4", "u3")]
-    found = spark.createDataFrame(rows, "fetch_seq bigint, parent_url string, norm_url string").withColumn("site", F.lit("s"))
-    visited = spark.createDataFrame([("u3",)], "norm_url string")
+    u1, u2, u3 = (f"http://u{i}.com" for i in (1, 2, 3))
+    rows = [(5, "p5", u1), (2, "p2", u1), (3, "p3", u2), (4, "p4", u3)]
+    found = spark.createDataFrame(rows, "fetch_seq bigint, parent_url string, norm_url string")
+    visited = spark.createDataFrame([(u3,)], "norm_url string")
     new = frontier.new_links(frontier.dedup_links(found), visited)
-    assert sorted((r.norm_url, r.first_seq, r.parent_url, r.n_found) for r in new.collect()) == [
-        ("u1", 2, "p2", 2), ("u2", 3, "p3", 1),
+    parents = found.select("fetch_seq", F.col("parent_url").alias("norm_url"))
+    named = frontier.with_parent(new, parents)
+    assert sorted((r.norm_url, r.first_seq, r.parent_url, r.n_found) for r in named.collect()) == [
+        ("http://u1.com", 2, "p2", 2), ("http://u2.com", 3, "p3", 1),
     ]
-    pending = spark.createDataFrame([("u2", "s", 1)], "norm_url string, site string, added bigint")
+    assert {r.site for r in new.collect()} == {"u1.com", "u2.com"}
+    pending = spark.createDataFrame([(u2, "u2.com", 1)], "norm_url string, site string, added bigint")
     both = frontier.extend_frontier(pending, new.withColumn("added", F.col("first_seq")))
-    assert sorted((r.norm_url, r.added) for r in both.collect()) == [("u1", 2), ("u2", 1)]
+    assert sorted((r.norm_url, r.added) for r in both.collect()) == [(u1, 2), (u2, 1)]
     resumed = frontier.seeds_for_resume(new.withColumn("added", F.lit(9).cast("bigint")), pending, visited)
-    assert sorted((r.norm_url, r.added) for r in resumed.collect()) == [("u1", 9), ("u2", 1)]
+    assert sorted((r.norm_url, r.added) for r in resumed.collect()) == [(u1, 9), (u2, 1)]
 
 
 def test_expand_sites(spark):
