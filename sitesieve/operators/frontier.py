@@ -77,10 +77,9 @@ def expand_sites(seeds: DataFrame, sites: DataFrame, span: int = SPAN) -> DataFr
         known.filter(F.col("priority").isNull()).select("site", "n_seeds", "first_seq"),
         "first_seq", "place", span, tie=["site"],
     )
-    # an aggregate without keys is one row, so this join adds a constant
-    top = sites.agg(F.coalesce(F.max("priority"), F.lit(-1)).cast("bigint").alias("top"))
-    fresh = fresh.join(F.broadcast(top)).select(
-        "site", "n_seeds", F.lit("new").alias("action"), (F.col("top") + F.col("place")).alias("priority")
+    top = sites.agg(F.coalesce(F.max("priority"), F.lit(-1)).cast("bigint")).scalar()
+    fresh = fresh.select(
+        "site", "n_seeds", F.lit("new").alias("action"), (top + F.col("place")).alias("priority")
     )
     return old.unionByName(fresh)
 

@@ -1,19 +1,32 @@
 """Kept documents and their metadata as files, one run after the other.
 
-A run writes a folder ``run_id=N`` and never touches an earlier one. Inside a run, rows are clustered by range of
-(site, fetch_seq): a site is a contiguous stretch of few files, a very large site is spread over many tasks, very small
-sites share a file, and the site statistics in the Parquet footers let a reader of one site skip the rest. One folder
-per site is offered as well, for runs over few sites.
+A run writes a folder ``run_id=N`` and never touches an earlier one. Rows are brought together by site and block of
+``fetch_seq``, which takes one shuffle and, unlike a range partitioning, no second evaluation of the documents for a
+sample; a very large site is spread over as many tasks as it has blocks. Documents lie in a fixed number of folders by
+hash of the site and are sorted by site in each file, so that a reader of one site opens one folder and skips most row
+groups there. One folder per site is offered as well, for runs over few sites.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.ordered import SPAN
+
+SITE_BUCKETS = 32
 DOCUMENT_COLUMNS = ("site", "fetch_seq", "norm_url", "status", "content_type", "encoding", "lang", "html")
 
 
+def _bucket(site: Column) -> Column:
+    return F.pmod(F.xxhash64(site), F.lit(SITE_BUCKETS)).cast("int")
+
+
+def _clustered(documents: DataFrame, *first: str) -> DataFrame:
+    block = F.expr(f"fetch_seq div {SPAN}")
+    return documents.repartition("site", block).sortWithinPartitions(*first, "site", "fetch_seq")
+
+
 def next_run_id(spark: SparkSession, path: str) -> int:
     """One more than the largest run in the folder, 0 for a new folder."""
     try:
@@ -27,18 +40,24 @@ def write_documents(documents: DataFrame, path: str, run_id: int | None = None,
     """Append the documents as a new run and return its number; an existing run is never overwritten."""
     run_id = next_run_id(documents.sparkSession, path) if run_id is None else run_id
     columns = [c for c in DOCUMENT_COLUMNS if c in documents.columns]
-    rows = documents.select(*columns).repartitionByRange("site", "fetch_seq").sortWithinPartitions("site", "fetch_seq")
-    writer = rows.write.mode("errorifexists")
+    rows = documents.select(*columns)
     if per_site:
-        writer = writer.partitionBy("site")
-    writer.parquet(f"{path}/run_id={run_id}")
+        writer = _clustered(rows).write.partitionBy("site")
+    else:
+        bucketed = rows.withColumn("site_bucket", _bucket(F.col("site")))
+        writer = _clustered(bucketed, "site_bucket").write.partitionBy("site_bucket")
+    writer.mode("errorifexists").parquet(f"{path}/run_id={run_id}")
     return run_id
 
 
 def read_documents(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
-    """Documents of all runs, or of one site; the site filter reaches the scan."""
+    """Documents of all runs, or of one site; the filter on the site prunes folders and reaches the scan."""
     documents = spark.read.parquet(path)
-    return documents if site is None else documents.filter(F.col("site") == site)
+    if site is not None:
+        documents = documents.filter(F.col("site") == site)
+        if "site_bucket" in documents.columns:
+            documents = documents.filter(F.col("site_bucket") == _bucket(F.lit(site)))
+    return documents.drop("site_bucket")
 
 
 def metadata_rows(documents: DataFrame) -> DataFrame:
@@ -48,7 +67,7 @@ def metadata_rows(documents: DataFrame) -> DataFrame:
 
 def write_metadata(documents: DataFrame, path: str, run_id: int, per_site: bool = False) -> None:
     """Tab-separated, gzipped lines of URL, encoding and language."""
-    rows = documents.repartitionByRange("site", "fetch_seq").sortWithinPartitions("site", "fetch_seq")
+    rows = _clustered(documents.select("site", "fetch_seq", "norm_url", "encoding", "lang"))
     columns = [F.col("norm_url").alias("url"), F.col("encoding"), F.col("lang")]
     if per_site:
         columns.insert(0, F.col("site"))

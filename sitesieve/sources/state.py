@@ -22,12 +22,12 @@ def last_version(spark: SparkSession, path: str) -> int | None:
 
 
 def save_state(tables: Mapping[str, DataFrame], path: str) -> int:
-    """Save the three tables, each clustered by ``site``, and return the version."""
+    """Save the three tables, spread by URL and sorted by site, and return the version."""
     spark = tables["visited"].sparkSession
     last = last_version(spark, path)
     version = 0 if last is None else last + 1
     for name in TABLES:
-        clustered = tables[name].repartitionByRange("site", "norm_url").sortWithinPartitions("site", "norm_url")
+        clustered = tables[name].repartition("norm_url").sortWithinPartitions("site", "norm_url")
         # a version without its marker is left from a failed save and may be replaced
         clustered.write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
     spark.range(version, version + 1).select(F.col("id").alias("version")).write.mode("append").parquet(
