@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from .hosts import with_host_parts
-from .ordered import SPAN, numbered_overall, top_per_key
+from .ordered import SPAN, numbered_overall, running_before, top_per_key
 
 
 def new_links(links: DataFrame, visited: DataFrame) -> DataFrame:
@@ -68,20 +68,13 @@ def expand_sites(seeds: DataFrame, sites: DataFrame, span: int = SPAN) -> DataFr
     found = seeds.groupBy("site").agg(
         F.count(F.lit(1)).alias("n_seeds"), F.min("first_seq").alias("first_seq")
     )
-    known = found.join(sites.select("site", "priority", "stopped"), "site", "left")
-    old = known.filter(F.col("priority").isNotNull()).select(
-        "site", "n_seeds", F.when(F.col("stopped"), F.lit("ignore")).otherwise(F.lit("extend")).alias("action"),
-        F.col("priority").cast("bigint").alias("priority"),
-    )
-    fresh = numbered_overall(
-        known.filter(F.col("priority").isNull()).select("site", "n_seeds", "first_seq"),
-        "first_seq", "place", span, tie=["site"],
-    )
+    known = found.join(sites.select("site", "priority", "stopped"), "site", "left").withColumn("__all", F.lit(0))
+    is_new = F.col("priority").isNull()
+    counted = running_before(known, ["__all"], "first_seq", is_new.cast("int"), "new_before", span, tie=["site"])
     top = sites.agg(F.coalesce(F.max("priority"), F.lit(-1)).cast("bigint")).scalar()
-    fresh = fresh.select(
-        "site", "n_seeds", F.lit("new").alias("action"), (top + F.col("place")).alias("priority")
-    )
-    return old.unionByName(fresh)
+    action = F.when(is_new, F.lit("new")).when(F.col("stopped"), F.lit("ignore")).otherwise(F.lit("extend"))
+    priority = F.coalesce(F.col("priority").cast("bigint"), top + 1 + F.col("new_before"))
+    return counted.select("site", "n_seeds", action.alias("action"), priority.alias("priority"))
 
 
 def frontier_of_running(seeds: DataFrame, sites: DataFrame) -> DataFrame:

@@ -342,8 +342,8 @@ def discovered_seeds(spark, sf_dir):
 @query
 def expand_sites(spark, sf_dir):
     """Seeds for sites of which one is running, one has stopped and the rest are new."""
-    seeds = frontier.discovered_seeds(inputs.admission(spark, sf_dir))
-    known = inputs.sites(spark, sf_dir).filter(F.col("site") != "example.net")
+    seeds = stage(frontier.discovered_seeds(inputs.admission(spark, sf_dir)), "seeds")
+    known = stage(inputs.sites(spark, sf_dir), "sites").filter(F.col("site") != "example.net")
     return frontier.expand_sites(seeds, known).select("site", "n_seeds", "action", "priority")
 
 
@@ -520,6 +520,7 @@ def retry_wait(spark, sf_dir):
 def fetch_slots(spark, sf_dir):
     found = frontier.dedup_links(links.admitted(inputs.admission(spark, sf_dir)))
     new = frontier.new_links(found, inputs.visited(spark, sf_dir)).withColumn("added", F.col("first_seq"))
+    new = stage(new.select("site", "norm_url", "added"), "frontier")
     start = F.lit(inputs.NOW).cast("timestamp_ntz")
     slots = budgets.fetch_slots(new, inputs.site_delays(spark, sf_dir), start)
     return slots.select("site", "norm_url", "slot", F.col("fetch_at").cast("string").alias("fetch_at"))
