@@ -98,7 +98,9 @@ def with_language(
 def page_words(pages: DataFrame, key: str = "fetch_seq", html: str = "html", pattern: str = content.WORD) -> DataFrame:
     """One row per page and word occurrence, with the number of words of the page."""
     split = pages.select(key, content.words(content.visible(html), pattern).alias("__words"))
-    return split.select(key, F.size("__words").alias("n_words"), F.explode("__words").alias("word"))
+    # counted before the explode, so that the array does not travel with every word
+    counted = split.withColumn("n_words", F.size("__words"))
+    return counted.select(key, "n_words", F.explode("__words").alias("word"))
 
 
 def score_language(

@@ -12,6 +12,17 @@ from ..functions.binding import computed
 from .hosts import with_host_parts
 
 
+MAX_PATTERNS = 10_000
+
+
+def patterns_of(table: DataFrame, column: str = "pattern") -> list[str]:
+    """Patterns of a small table as a list for the functions here; a table that is not small is an error."""
+    rows = table.select(column).distinct().orderBy(column).limit(MAX_PATTERNS + 1).collect()
+    if len(rows) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} patterns")
+    return [row[0] for row in rows]
+
+
 def blacklisted(url: Column | str, patterns: Sequence[str]) -> Column:
     """Does any of the patterns match anywhere in the normalised URL?"""
     url = F.col(url) if isinstance(url, str) else url

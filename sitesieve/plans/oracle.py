@@ -387,9 +387,9 @@ ORACLE_SQL: dict[str, str] = {
         firsts AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY stop_seq, place) AS n FROM causes)
         SELECT e.site, coalesce(cause, 'running') AS cause, coalesce(stop_seq, -1) AS stop_seq
         FROM ends e LEFT JOIN (SELECT * FROM firsts WHERE n = 1) f USING (site)""",
-    "attempt_state": f"""WITH log AS (SELECT {_norm('url')} AS norm_url, page_id, unnest(range(1, page_id % 7 + 1)) AS attempt
+    "attempt_state": f"""WITH log AS (SELECT {_norm('url')} AS norm_url, page_id, unnest(range(1, page_id % 7 + 2)) AS attempt
           FROM pages),
-        acted AS (SELECT *, CASE WHEN attempt = 2 AND page_id % 7 = 2 THEN 'fail' ELSE 'retry' END AS action FROM log),
+        acted AS (SELECT *, CASE WHEN attempt = 2 AND page_id % 7 = 1 THEN 'fail' ELSE 'retry' END AS action FROM log),
         seen AS (SELECT norm_url, count(*) AS n_failures, arg_max(action, (attempt, action)) AS last FROM acted GROUP BY norm_url)
         SELECT norm_url, n_failures, CASE WHEN last = 'fail' THEN 'failed'
           WHEN n_failures >= {CONFIG.max_attempts + 2} THEN 'given_up' ELSE 'retry' END AS state FROM seen""",

@@ -499,13 +499,12 @@ def site_status(spark, sf_dir):
 
 @query
 def attempt_state(spark, sf_dir):
-    """Failed attempts of each page: as many as its number has over 7, the last one final for some."""
+    """One to seven failed attempts of each page, the second one final where there are two."""
     pages = _raw_pages(spark, sf_dir)
-    last = F.col("fetch_seq") % 7
-    log = (
-        pages.filter(last > 0)
-        .select(urls.norm_url("url").alias("norm_url"), "fetch_seq", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("attempt"))
-        .withColumn("action", F.when((F.col("attempt") == 2) & (F.col("fetch_seq") % 7 == 2), "fail").otherwise("retry"))
+    last = F.col("fetch_seq") % 7 + 1
+    attempts = F.explode(F.sequence(F.lit(1).cast("bigint"), last))
+    log = pages.select(urls.norm_url("url").alias("norm_url"), last.alias("last"), attempts.alias("attempt")).withColumn(
+        "action", F.when((F.col("attempt") == 2) & (F.col("last") == 2), "fail").otherwise("retry")
     )
     return budgets.attempt_state(log, CONFIG.max_attempts)
 

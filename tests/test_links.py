@@ -133,3 +133,11 @@ def test_reachable(spark):
     one = reach.reachable(graph, seeds, max_rounds=1)
     assert sorted(r.norm_url for r in one.collect()) == ["a", "b", "c"]
     assert reach.reachable(graph, seeds.filter("false")).count() == 0
+
+
+def test_blacklist_from_a_table(spark):
+    patterns = links.patterns_of(spark.createDataFrame([("b",), ("a[0-9]",), ("b",)], "pattern string"))
+    assert patterns == ["a[0-9]", "b"]
+    rows = spark.createDataFrame([("http://a1/",), ("http://ax/",), ("http://xb/",)], "norm_url string")
+    assert [r.norm_url for r in links.drop_blacklisted(rows, patterns).collect()] == ["http://ax/"]
+    assert links.drop_blacklisted(rows, []).count() == 3
