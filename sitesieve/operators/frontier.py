@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import urls
+from ..functions.binding import computed
 from .hosts import with_host_parts
 from .ordered import SPAN, numbered_overall, running_before, top_per_key
 
@@ -49,6 +51,16 @@ def discovered_seeds(links: DataFrame) -> DataFrame:
     return other.groupBy("site", "norm_url").agg(F.min("fetch_seq").alias("first_seq"))
 
 
+def seed_frontier(seeds: DataFrame, suffixes: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """Seeds as frontier: ``norm_url``, ``host``, ``suffix``, ``site``, ``added`` (the first ``seed_seq``), each URL once.
+
+    Seeds are only checked for an empty or too long URL: no prefix filter, no blacklist, no suffix.
+    """
+    usable = seeds.filter(~urls.link_problem("url").isin("empty", "too_long"))
+    named = computed(usable.select("seed_seq", "url"), {"norm_url": urls.norm_url("url")})
+    return with_host_parts(named.groupBy("norm_url").agg(F.min("seed_seq").alias("added")), "norm_url", suffixes)
+
+
 def seed_sites(seeds: DataFrame, span: int = SPAN) -> DataFrame:
     """Sites of the seeds with their priority: ``site``, ``n_seeds``, ``first_seed``, ``priority`` from 0 on.
 

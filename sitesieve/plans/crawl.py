@@ -12,6 +12,9 @@ from ..functions import content
 from ..operators import budgets, frontier, language, links, pages as page_ops, robots, scout
 from ..session import stage
 
+# ``first_seq`` of a pending URL that is a seed
+BEFORE_ALL_PAGES = -1
+
 
 @dataclass(frozen=True)
 class Crawl:
@@ -80,10 +83,12 @@ def site_stops(judged: DataFrame, config: SieveConfig, policy: scout.Policy = sc
 def run(
     pages: DataFrame, config: SieveConfig, model: Mapping[str, Sequence[str]], robots_files: DataFrame | None = None,
     suffixes: Sequence[str] | DataFrame | None = None, visited: DataFrame | None = None,
-    policy: scout.Policy = scout.bitext_policy,
+    policy: scout.Policy = scout.bitext_policy, seeds: DataFrame | None = None,
 ) -> Crawl:
     """Compose a run.
 
+    ``visited`` are URLs of earlier runs; ``seeds`` (``seed_seq``, ``url``) become pending unless they have been visited.
+
     The judged pages and the stops of sites are written to the shared folder: both are narrow, both have several
     consumers, and their real sizes let the planner broadcast the stops and the denied pages to the pass over the page
     text when they are small. That pass then keeps the text where it was read.
@@ -105,7 +110,43 @@ def run(
     seen = judged.select("norm_url")
     if visited is not None:
         seen = seen.unionByName(visited.select("norm_url"))
-    own = admitted.filter(F.col("reason") == "same_site")
+    own = admitted.filter(F.col("reason") == "same_site").select("norm_url", "fetch_seq")
+    if seeds is not None:
+        first = frontier.seed_frontier(seeds, suffixes)
+        own = own.unionByName(first.select("norm_url", F.lit(BEFORE_ALL_PAGES).alias("fetch_seq")))
     pending = frontier.new_links(frontier.dedup_links(own, suffixes), seen)
-    seeds = frontier.discovered_seeds(frontier.new_links(admitted, seen))
-    return Crawl(marked, sites, documents, admitted, pending, seeds)
+    discovered = frontier.discovered_seeds(frontier.new_links(admitted, seen))
+    return Crawl(marked, sites, documents, admitted, pending, discovered)
+
+
+def next_state(done: Crawl, config: SieveConfig, before: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """State for the next run, ready for ``save_state``: ``visited``, ``pending`` and ``attempts``.
+
+    A page that asked to be retried stays pending with its number of failures, those of earlier runs included, until it
+    is given up; everything else that was fetched has been visited.
+    """
+    failed = (
+        done.judged.filter(
+            (F.col("outcome") == "status")
+            & content.status_action("status").isin("retry", "wait")
+            & ~F.col("after_stop")
+        )
+        .groupBy("site", "norm_url")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    if before is not None:
+        earlier = before["attempts"].select("norm_url", F.col("n").alias("n_before"))
+        failed = failed.join(earlier, "norm_url", "left").select(
+            "site", "norm_url", (F.col("n") + F.coalesce("n_before", F.lit(0))).alias("n")
+        )
+    attempts = failed.filter(F.col("n") < config.max_attempts + 2)
+    again = attempts.select("site", "norm_url")
+    seen = done.judged.select("site", "norm_url")
+    pending = done.pending.select("site", "norm_url").unionByName(again)
+    if before is not None:
+        seen = seen.unionByName(before["visited"].select("site", "norm_url"))
+        pending = pending.unionByName(
+            before["pending"].select("site", "norm_url").join(seen.select("norm_url"), "norm_url", "left_anti")
+        )
+    visited = seen.join(again.select("norm_url"), "norm_url", "left_anti").select("site", "norm_url").distinct()
+    return {"visited": visited, "pending": pending.select("site", "norm_url").distinct(), "attempts": attempts}

@@ -245,6 +245,20 @@ REPORT = """SELECT site, count(*) AS n_pages, count(*) FILTER (WHERE outcome = '
 RUN = f"""{JUDGED}, run_kept AS (SELECT * FROM judged WHERE outcome = 'kept'), {_scout('run_')},
 before_stop AS (SELECT j.* FROM judged j LEFT JOIN run_decisions d USING (site)
   WHERE d.stop_seq IS NULL OR j.fetch_seq <= d.stop_seq)"""
+RUN_FRESH = f"""{RUN},
+run_links AS (SELECT fetch_seq, parent_url, parent_site, href, regexp_replace({RESOLVED}, '^([^?#;]*)[?;]$', '\\1') AS link
+  FROM (SELECT fetch_seq, norm_url AS parent_url, site AS parent_site,
+      unnest(list_distinct(regexp_extract_all(html, {HREF}, 1))) AS href
+    FROM before_stop WHERE outcome NOT IN ('robots', 'status', 'content_type', 'no_text'))
+  UNION ALL
+  SELECT b.fetch_seq, b.norm_url, b.site, p.url, regexp_replace(p.url, '#[^#]*$', '')
+  FROM before_stop b JOIN pages p ON p.page_id = b.fetch_seq + 1
+  WHERE outcome <> 'robots' AND b.status = 301),
+run_normed AS (SELECT *, {_norm('link')} AS norm_url FROM run_links), run_parts AS ({_parts('run_normed', 'norm_url')}),
+fresh_urls AS (SELECT DISTINCT site, norm_url FROM run_parts
+  WHERE {_problem(CONFIG.prefix_filter)} = 'ok' AND NOT regexp_matches(norm_url, {_BLACK}) AND site = parent_site
+    AND {_depth('norm_url')} <= {CONFIG.max_folder_tree_depth}
+    AND norm_url NOT IN (SELECT norm_url FROM judged))"""
 
 _ISO = ", ".join(f"('{a}', '{b}')" for a, b in ISO_639)
 _CODE = r"regexp_extract(label, '^(?:__label__)?([a-z]{2,3})(?:_[A-Za-z]{4})?$', 1)"
@@ -258,6 +272,7 @@ ORACLE_SQL: dict[str, str] = {
     "page_headers": f"WITH {FETCHED} SELECT fetch_seq, content_type, retry_after FROM fetched",
     "seed_sites": f"""WITH {SITED} SELECT site, n_seeds, first_seed, row_number() OVER (ORDER BY first_seed) - 1 AS priority
         FROM (SELECT site, count(*) AS n_seeds, min(fetch_seq) AS first_seed FROM sited GROUP BY site)""",
+    "seed_frontier": f"WITH {SITED} SELECT norm_url, min(site) AS site, min(fetch_seq) AS added FROM sited GROUP BY norm_url",
     "doc_metadata": f"WITH {KEPT} SELECT norm_url AS url, 'utf-8' AS encoding, lang FROM kept",
     "document_sink": f"WITH {KEPT} SELECT 0 AS run_id, site, fetch_seq, norm_url, lang, md5(html) AS html_md5 FROM kept",
     "state_tables": f"""WITH {SITED}
@@ -408,23 +423,19 @@ ORACLE_SQL: dict[str, str] = {
     "site_report": f"""WITH {SITED}, {SCORES}, judged AS (
           SELECT *, strlen(html)::BIGINT AS n_bytes, {_outcome(False)} AS outcome FROM sited JOIN detected USING (fetch_seq))
         {REPORT} FROM judged GROUP BY site""",
-    "crawl_report": f"""WITH {RUN},
-        run_links AS (SELECT fetch_seq, parent_url, parent_site, href, regexp_replace({RESOLVED}, '^([^?#;]*)[?;]$', '\\1') AS link
-          FROM (SELECT fetch_seq, norm_url AS parent_url, site AS parent_site,
-              unnest(list_distinct(regexp_extract_all(html, {HREF}, 1))) AS href
-            FROM before_stop WHERE outcome NOT IN ('robots', 'status', 'content_type', 'no_text'))
-          UNION ALL
-          SELECT b.fetch_seq, b.norm_url, b.site, p.url, regexp_replace(p.url, '#[^#]*$', '')
-          FROM before_stop b JOIN pages p ON p.page_id = b.fetch_seq + 1
-          WHERE outcome <> 'robots' AND b.status = 301),
-        run_normed AS (SELECT *, {_norm('link')} AS norm_url FROM run_links), run_parts AS ({_parts('run_normed', 'norm_url')}),
-        fresh AS (SELECT site, count(DISTINCT norm_url) AS n_pending FROM run_parts
-          WHERE {_problem(CONFIG.prefix_filter)} = 'ok' AND NOT regexp_matches(norm_url, {_BLACK}) AND site = parent_site
-            AND {_depth('norm_url')} <= {CONFIG.max_folder_tree_depth}
-            AND norm_url NOT IN (SELECT norm_url FROM judged) GROUP BY site),
+    "crawl_report": f"""WITH {RUN_FRESH},
+        fresh AS (SELECT site, count(*) AS n_pending FROM fresh_urls GROUP BY site),
         report AS ({REPORT} FROM before_stop GROUP BY site)
         SELECT r.*, CASE WHEN stop_seq IS NULL THEN 'running' ELSE 'scout' END AS cause, coalesce(n_pending, 0) AS n_pending
         FROM report r LEFT JOIN run_decisions USING (site) LEFT JOIN fresh USING (site)""",
+    "crawl_state": f"""WITH {RUN_FRESH},
+        failed AS (SELECT site, norm_url, count(*) AS n FROM before_stop
+          WHERE outcome = 'status' AND status IN (408, 428) GROUP BY site, norm_url)
+        SELECT 'attempts' AS state, site, norm_url, n FROM failed
+        UNION ALL SELECT 'pending', site, norm_url, 0 FROM fresh_urls
+        UNION ALL SELECT 'pending', site, norm_url, 0 FROM failed
+        UNION ALL SELECT DISTINCT 'visited', site, norm_url, 0 FROM judged
+          WHERE norm_url NOT IN (SELECT norm_url FROM failed)""",
     "crawl_documents": f"""WITH {RUN} SELECT fetch_seq, norm_url, site, 'utf-8' AS encoding, lang, md5(html) AS html_md5
         FROM before_stop WHERE outcome = 'kept'""",
     "stream_links": f"""WITH {ADMISSION} SELECT DISTINCT norm_url, site FROM admitted

@@ -67,6 +67,13 @@ def seed_sites(spark, sf_dir):
     return frontier.seed_sites(seeds).select("site", "n_seeds", "first_seed", "priority")
 
 
+@query
+def seed_frontier(spark, sf_dir):
+    """All page URLs as seeds."""
+    seeds = inputs.table(spark, sf_dir, "pages").select(F.col("page_id").alias("seed_seq"), "url")
+    return frontier.seed_frontier(seeds).select("norm_url", "site", "added")
+
+
 @query
 def doc_metadata(spark, sf_dir):
     return sinks.metadata_rows(inputs.kept(spark, sf_dir))
@@ -558,6 +565,19 @@ def crawl_documents(spark, sf_dir):
     return done.documents.select("fetch_seq", "norm_url", "site", "encoding", "lang", F.md5("html").alias("html_md5"))
 
 
+@query
+def crawl_state(spark, sf_dir):
+    """State that the whole run leaves to the next one."""
+    pages = inputs.fetched(spark, sf_dir, with_location=True)
+    done = crawl.run(pages, CONFIG, inputs.model(spark, sf_dir), inputs.robots_files(spark, sf_dir))
+    tables = crawl.next_state(done, CONFIG)
+    out = tables["attempts"].withColumn("state", F.lit("attempts"))
+    for name in ("visited", "pending"):
+        rows = tables[name].withColumns({"state": F.lit(name), "n": F.lit(0).cast("bigint")})
+        out = out.unionByName(rows)
+    return out.select("state", "site", "norm_url", "n")
+
+
 # Streams
 
 

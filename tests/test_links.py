@@ -117,6 +117,10 @@ def test_seeds(spark, tmp_path):
         read_seeds(spark, urls=["http://b.com/1", " ", "http://a.com ", "http://b.com/2"]),
     ):
         assert [r.url for r in seeds.orderBy("seed_seq").collect()] == ["http://b.com/1", "http://a.com", "http://b.com/2"]
+        first = frontier.seed_frontier(seeds)
+        assert sorted((r.norm_url, r.site) for r in first.collect()) == [
+            ("http://a.com", "a.com"), ("http://b.com/1", "b.com"), ("http://b.com/2", "b.com"),
+        ]
         sited = pages.with_site(seeds.withColumn("fetch_seq", F.col("seed_seq")))
         out = frontier.seed_sites(sited, span=1).orderBy("priority").collect()
         assert [(r.site, r.n_seeds, r.priority) for r in out] == [("b.com", 2, 0), ("a.com", 1, 1)]
@@ -141,3 +145,11 @@ def test_blacklist_from_a_table(spark):
     rows = spark.createDataFrame([("http://a1/",), ("http://ax/",), ("http://xb/",)], "norm_url string")
     assert [r.norm_url for r in links.drop_blacklisted(rows, patterns).collect()] == ["http://ax/"]
     assert links.drop_blacklisted(rows, []).count() == 3
+
+
+def test_seeds_get_only_two_checks(spark):
+    found = ["mailto:x@spam.zz", "http://[bad", "http://a.com/" + "x" * 2000, "http://a.com/#1", "http://a.com/#2", "a.com"]
+    first = frontier.seed_frontier(read_seeds(spark, urls=found))
+    assert sorted((r.norm_url, r.added) for r in first.collect()) == [
+        ("http://a.com", 5), ("http://a.com/", 3), ("http://mailto:x@spam.zz", 0),
+    ]

@@ -88,3 +88,33 @@ def test_run_properties(spark):
 
 def test_shared_dir_is_the_configured_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_state_carries_attempts_over_runs(spark, tmp_path):
+    from sitesieve.config import SieveConfig
+    from sitesieve.sources import state
+    from sitesieve.sources.pages import as_pages
+
+    config = SieveConfig(langs_of_interest=("en",), user_agent="Bot", max_attempts=1)
+    path = str(tmp_path / "state")
+    pages = as_pages(
+        spark.createDataFrame(
+            [(1, "http://a.com/slow", 408, ""), (2, "http://a.com/gone", 404, ""), (3, "http://a.com/", 200, '<a href="/new">the')],
+            "fetch_seq bigint, url string, status int, html string",
+        )
+    )
+    seeds = spark.createDataFrame([(0, "http://b.com"), (1, "http://a.com/gone")], "seed_seq bigint, url string")
+    counts = []
+    for _ in range(4):
+        before = state.load_state(spark, path)
+        done = crawl.run(pages, config, {"en": ["the"]}, visited=before and before["visited"], seeds=seeds)
+        state.save_state(crawl.next_state(done, config, before), path)
+        now = state.load_state(spark, path)
+        pending = {r.norm_url for r in now["pending"].collect()}
+        visited = {r.norm_url for r in now["visited"].collect()}
+        counts.append((now["attempts"].agg(F.max("n")).first()[0], "http://a.com/slow" in pending))
+        assert {"http://a.com/gone", "http://a.com/"} <= visited
+        assert {"http://a.com/new", "http://b.com"} <= pending
+        assert ("http://a.com/slow" in visited) != ("http://a.com/slow" in pending)
+    # one failure and max_attempts more are retried, the next one gives up, and the count starts anew
+    assert counts == [(1, True), (2, True), (None, False), (1, True)]
