@@ -32,7 +32,7 @@ def mandatory_percent(config: SieveConfig) -> Column:
     return F.expr(f"n_mandatory * 100 div {config.scout_steps}")
 
 
-def bitext_policy(config: SieveConfig) -> Column:
+def languages_policy(config: SieveConfig) -> Column:
     """Enough languages, and enough of the mandatory one if there is one."""
     enough = F.col("n_langs") >= config.min_langs_in_site
     if config.mandatory_lang is None:
@@ -56,7 +56,7 @@ def scout_counts(steps: DataFrame, config: SieveConfig) -> DataFrame:
     )
 
 
-def scout_decision(steps: DataFrame, config: SieveConfig, policy: Policy = bitext_policy) -> DataFrame:
+def scout_decision(steps: DataFrame, config: SieveConfig, policy: Policy = languages_policy) -> DataFrame:
     """Verdict on each site: the counts, ``judged``, ``keep`` and ``stop_seq`` (set only for a rejected site).
 
     A site with fewer kept documents than steps is not judged and is kept.
@@ -79,7 +79,7 @@ def apply_stops(rows: DataFrame, stops: DataFrame) -> DataFrame:
     return rows.join(cuts, late, "left_anti")
 
 
-def run_scout(kept: DataFrame, config: SieveConfig, policy: Policy = bitext_policy) -> DataFrame:
+def run_scout(kept: DataFrame, config: SieveConfig, policy: Policy = languages_policy) -> DataFrame:
     """Kept documents that remain after the scout."""
     decisions = scout_decision(scout_steps(kept, config.scout_steps), config, policy)
     return apply_stops(kept, decisions)

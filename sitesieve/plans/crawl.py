@@ -69,7 +69,7 @@ def judge_pages(
     return judged.drop("html", "allowed")
 
 
-def site_stops(judged: DataFrame, config: SieveConfig, policy: scout.Policy = scout.bitext_policy) -> DataFrame:
+def site_stops(judged: DataFrame, config: SieveConfig, policy: scout.Policy = scout.languages_policy) -> DataFrame:
     """Why and where each site stops, by scout and budgets."""
     kept = judged.filter(F.col("outcome") == "kept")
     allowed = judged.filter(F.col("outcome") != "robots")
@@ -83,7 +83,7 @@ def site_stops(judged: DataFrame, config: SieveConfig, policy: scout.Policy = sc
 def run(
     pages: DataFrame, config: SieveConfig, model: Mapping[str, Sequence[str]], robots_files: DataFrame | None = None,
     suffixes: Sequence[str] | DataFrame | None = None, visited: DataFrame | None = None,
-    policy: scout.Policy = scout.bitext_policy, seeds: DataFrame | None = None,
+    policy: scout.Policy = scout.languages_policy, seeds: DataFrame | None = None,
 ) -> Crawl:
     """Compose a run.
 

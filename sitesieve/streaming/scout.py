@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import SieveConfig
-from ..operators.scout import Policy, apply_stops, bitext_policy, scout_steps
+from ..operators.scout import Policy, apply_stops, languages_policy, scout_steps
 
 _COUNTS = "site string, lang string, n bigint"
 _VERDICTS = "site string, keep boolean, stop_seq bigint"
 
 
 def scout_batch(
-    batch: DataFrame, batch_id: int, config: SieveConfig, path: str, state: str, policy: Policy = bitext_policy
+    batch: DataFrame, batch_id: int, config: SieveConfig, path: str, state: str, policy: Policy = languages_policy
 ) -> None:
     """Judge sites with the documents of one batch and write the documents that pass."""
     spark = batch.sparkSession
@@ -64,7 +64,7 @@ def scout_batch(
 
 
 def stream_scout(
-    kept: DataFrame, config: SieveConfig, path: str, state: str, policy: Policy = bitext_policy
+    kept: DataFrame, config: SieveConfig, path: str, state: str, policy: Policy = languages_policy
 ) -> StreamingQuery:
     """Start the scout over the documents that are available; ``state`` holds its tables and its checkpoint."""
 
