@@ -49,13 +49,13 @@ ROBOTS_FILES = (
 
 
 @lru_cache(maxsize=64)
-def _schema(path: str) -> StructType:
-    return SparkSession.getActiveSession().read.parquet(path).schema
+def _schema(spark: SparkSession, path: str) -> StructType:
+    return spark.read.parquet(path).schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_schema(path)).parquet(path)
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def _cases(remainders: list[tuple[int, int, int]], default: int, number: Column) -> Column:
@@ -137,14 +137,9 @@ def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def _model(app: str, sf_dir: str) -> dict[str, list[str]]:
-    spark = SparkSession.getActiveSession()
-    return language.profile_words(language.train_profiles(table(spark, sf_dir, "documents"), LANGS), LANGS)
-
-
 def model(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     """Word profiles of the documents, trained once per session and folder."""
-    return _model(spark.sparkContext.applicationId, sf_dir)
+    return language.profile_words(language.train_profiles(table(spark, sf_dir, "documents"), LANGS), LANGS)
 
 
 def kept(spark: SparkSession, sf_dir: str, with_html: bool = False) -> DataFrame:
