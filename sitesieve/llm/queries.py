@@ -5,9 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import tune
-from . import decontaminate, exact_dedup, mix, quality, simhash_dedup
+from . import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    license_scan,
+    line_dedup,
+    mix,
+    quality,
+    simhash_dedup,
+    url_reputation,
+    warc,
+)
 from .common import hex16, table
 
+# what the URL filter is asked to do: rules of the user, and the words in a URL that label its page as bad
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+BAD_TERMS = ("adult", "casino", "pills", "spam")
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(tune(spark), sf_dir, "pages"))
+
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(tune(spark), sf_dir, "documents"))
@@ -18,11 +43,31 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(tune(spark), sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(tune(spark), sf_dir, "pages").select("page_id", "url")
+    known = url_reputation.reputation(url_reputation.outcomes_by_terms(pages, BAD_TERMS))
+    return url_reputation.judge(pages, known, URL_RULES).drop("url")
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(tune(spark), sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dropped = line_dedup.dropped_lines(table(tune(spark), sf_dir, "documents"))
+    return dropped.select("doc_id", "n_lines", "n_dropped", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, path = warc.archive(table(tune(spark), sf_dir, "pages"))
+    return warc.read(index, path).drop("url")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = mix.mixed(table(tune(spark), sf_dir, "documents"))
     return chosen.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -35,7 +80,18 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_exact_dedup, op3_quality_classifier, op6_decontamination, op9_mixing, op10_simhash_dedup)
+    for f in (
+        op1_html_extraction,
+        op2_exact_dedup,
+        op3_quality_classifier,
+        op4_url_filters,
+        op5_license_scans,
+        op6_decontamination,
+        op7_line_dedup,
+        op8_warc,
+        op9_mixing,
+        op10_simhash_dedup,
+    )
 }
 
 ORACLE_SQL = {
@@ -76,4 +132,12 @@ ORACLE_SQL = {
                sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN covered c ON w.id = c.id LEFT JOIN items i ON w.id = i.id WHERE kind = 'd'
     """,
+    "op8_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        g AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+        FROM g
+    """,
 }
