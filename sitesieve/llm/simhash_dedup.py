@@ -5,7 +5,7 @@ halves and each half into segments of ``SEGMENT_BITS`` bits; the numbers of set
 distance of two points never exceeds the Hamming distance of the fingerprints, so two fingerprints within 3 bits have, in
 at least one half, points at distance 0 or 1. At distance 1 one of the two has exactly one segment larger by one: each fingerprint is therefore
 listed in the cell of its own point (as a centre) and in the cells one step up from it, and whatever is linked meets in a cell that
-one of them has as its centre. In general, within ``max_bits`` the nearer half is within ``max_bits // 2``, and as many steps are listed.
+one of them has as its centre. For more bits the fingerprint is cut into more parts than halves, so that the nearest still differ in at most one bit.
 
 Cells are checked exactly, by XOR and bit count. A cell returns a spanning forest of its links instead of all pairs: members that are already
 connected are not compared again, so a family of thousands of near copies costs about one comparison per member. Only distinct
@@ -18,7 +18,7 @@ component id is null only if no member has an id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, Window
 
 from ..session import stage
-from .common import components, hex16, text_key, text_of
+from .common import components, text_key
 
 SEED = 42
 SEGMENT_BITS = 2
@@ -69,39 +69,30 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, f"doc_id {id_type}, key long, fp long")
 
 
-def _steps(max_bits: int) -> int:
-    return max_bits // 2
-
-
 def cells(prints: DataFrame, max_bits: int) -> DataFrame:
-    """(cell, fp, centre) for every distinct fingerprint and half: its own cell, and those up to ``max_bits // 2`` steps up.
+    """(cell, fp, centre) for every distinct fingerprint and part: its own cell, and the cells one step up from it.
 
-    A cell number is the half and the popcounts of its segments, each in as many bits as it needs.
+    A cell number is the part and the popcounts of its segments, each in as many bits as it needs. There are enough parts for one of them
+    to differ in at most one bit.
     """
-    per_half = BITS // 2 // SEGMENT_BITS
+    parts = max(2, max_bits // 2 + 1)
     width = SEGMENT_BITS.bit_length()
-    # popcounts of all segments at once: one bit of each segment at a time, added up in fields of ``width`` bits
+    segments = BITS // SEGMENT_BITS
     listed = []
-    for half in (0, 1):
+    for part in range(parts):
+        own = range(segments * part // parts, segments * (part + 1) // parts)
         points = [
-            F.bit_count(F.shiftrightunsigned("fp", half * BITS // 2 + SEGMENT_BITS * s).bitwiseAND((1 << SEGMENT_BITS) - 1)).cast("long")
-            for s in range(per_half)
+            F.bit_count(F.shiftrightunsigned("fp", SEGMENT_BITS * s).bitwiseAND((1 << SEGMENT_BITS) - 1)).cast("long") for s in own
         ]
-        cell = F.lit(half << (width * per_half)).cast("long")
-        for s, point in enumerate(points):
-            cell = cell + F.shiftleft(point, width * s)
+        cell = F.lit(part << (width * len(own))).cast("long")
+        for i, point in enumerate(points):
+            cell = cell + F.shiftleft(point, width * i)
         listed.append(F.struct(cell.alias("cell"), F.lit(True).alias("centre")))
-        for n in range(1, _steps(max_bits) + 1):
-            for up in combinations(range(per_half), n):
-                fits = F.lit(True)
-                for s in up:
-                    fits = fits & (points[s] < SEGMENT_BITS)
-                step = sum(1 << (width * s) for s in up)
-                listed.append(F.when(fits, F.struct((cell + F.lit(step).cast("long")).alias("cell"), F.lit(False).alias("centre"))))
-    return (
-        prints.select("fp", F.explode(F.array_compact(F.array(*listed))).alias("at"))
-        .select("at.cell", "fp", "at.centre")
-    )
+        if max_bits >= parts:
+            for i, point in enumerate(points):
+                up = cell + F.lit(1 << (width * i)).cast("long")
+                listed.append(F.when(point < SEGMENT_BITS, F.struct(up.alias("cell"), F.lit(False).alias("centre"))))
+    return prints.select("fp", F.explode(F.array_compact(F.array(*listed))).alias("at")).select("at.cell", "fp", "at.centre")
 
 
 def cell_links(fps: np.ndarray, centre: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -157,44 +148,46 @@ def links(prints: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """doc_id, key, fp and component_id of every row of ``docs``; component_id is the smallest id that can be reached over
+    """doc_id, key, fp, root (the group) and component_id of every row of ``docs``; component_id is the smallest id that can be reached over
     fingerprints within ``max_bits`` bits, that of the row included."""
     rows = stage(fingerprints(docs, shingle), "fingerprints")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    prints = stage(prints, "prints")
+    prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = components(links(prints.select("fp"), max_bits))
-    # fingerprints that reach others; the rest keep their own smallest id
+    # fingerprints that reach others; the rest are groups of their own
     member = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
     best = member.groupBy("root").agg(F.min("least").alias("best"))
-    linked = member.join(best, "root").select("fp", "best")
-    of_print = stage(prints.join(linked, "fp", "left").select("fp", F.coalesce("best", "least").alias("component_id")), "print_components")
-    return rows.join(of_print, "fp", "left")
+    linked = member.join(best, "root").select("fp", "root", "best")
+    of_print = prints.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("best")).alias("component_id")
+    )
+    return rows.join(stage(of_print, "print_components"), "fp", "left")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` with one of each group left: that of the smallest id, and of rows sharing it the first text in order."""
-    marked = stage(near_groups(docs, shingle, max_bits).select("doc_id", "key", "component_id"), "near_groups")
-    gone = marked.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    """The rows of ``docs`` with one of each group left: that of the smallest id (null last), and of texts sharing it the one with the smallest
+    key.
+
+    The ids that go are looked up by the join, which moves only them if they are few. Rows that share an id go a second way, on which each is
+    told apart by its text.
+    """
+    marked = stage(near_groups(docs, shingle, max_bits).select("doc_id", "key", "root"), "near_groups")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = stage(marked.groupBy("root").agg(F.min(order).alias("best")).select("root", "best.doc_id", "best.key"), "keepers")
+    told = best.select(F.col("root").alias("of"), F.col("doc_id").alias("id"), F.col("key").alias("text"))
+    stays = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text"))
+    gone = marked.join(told, F.col("root") == F.col("of")).filter(~stays).select("doc_id")
     several = stage(marked.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"), "several")
     plain = docs.join(gone, "doc_id", "left_anti")
     if several.isEmpty():
         return plain.select(*docs.columns)
-    # rows that share an id: of each group the first by text key stays, of rows that repeat one
     plain = plain.join(several, docs["doc_id"].eqNullSafe(several["doc_id"]), "left_anti").select(*docs.columns)
-    best = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("key").alias("__key"))
-    best = best.join(several, best["doc_id"].eqNullSafe(several["doc_id"]), "left_semi").withColumnRenamed("doc_id", "__id")
+    again = best.join(several.withColumnRenamed("doc_id", "some"), F.col("doc_id").eqNullSafe(F.col("some")), "left_semi")
+    again = again.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
     first = Window.partitionBy("doc_id", "__own").orderBy("text")
     mixed = (
         docs.withColumn("__own", text_key())
-        .join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_semi")
+        .join(again, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left_semi")
         .withColumn("__nth", F.row_number().over(first))
         .filter("__nth = 1")
     )
     return plain.unionByName(mixed.select(*docs.columns))
-
-
-def print_hex(fp: str = "fp"):
-    return hex16(F.col(fp))
-
-
-__all__ = ["cell_links", "cells", "drop_near_duplicates", "fingerprint", "fingerprints", "links", "near_groups", "print_hex", "text_of"]

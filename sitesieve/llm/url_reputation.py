@@ -44,7 +44,7 @@ def parents(host: Column) -> dict[str, Column]:
 def located(pages: DataFrame) -> DataFrame:
     host, path = host_and_path(F.col("url"))
     rows = pages.withColumn("host", host).withColumn("path", path)
-    return rows.withColumns(parents(F.col("host")))
+    return rows.withColumns({f"__{name}": value for name, value in parents(F.col("host")).items()}).withColumn("__host", F.col("host"))
 
 
 def _strength(children: DataFrame, by: list[str]) -> float:
@@ -69,7 +69,8 @@ def _strength(children: DataFrame, by: list[str]) -> float:
 def reputation(outcomes: DataFrame, z: float = Z) -> dict[str, DataFrame]:
     """Posterior by level for ``outcomes(url, bad)``: tables of name, n, mean and lower bound of the rate of bad pages, and ``all`` with
     one row."""
-    rows = located(outcomes).filter("host <> '' AND bad IS NOT NULL")
+    rows = located(outcomes.select("url", "bad")).filter("host <> '' AND bad IS NOT NULL")
+    rows = rows.withColumnsRenamed({"__domain": "domain", "__suffix": "suffix"})
     hosts = stage(rows.groupBy("host", "domain", "suffix").agg(F.sum(F.col("bad").cast("double")).alias("k"), F.count("*").cast("double").alias("n")), "host_counts")
     counts = {
         "host": hosts,
@@ -108,18 +109,20 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def judge(pages: DataFrame, known: dict[str, DataFrame], rules: Sequence[tuple[str, str, str]] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """``pages`` with host, path, rule, bound (posterior bound of the host or of what is known above it) and verdict."""
-    rows = located(pages)
+    """``pages`` with host, path, rule, bound (posterior bound of the host or of what is known above it) and verdict; columns of
+    these names that ``pages`` has are replaced."""
+    computed = ("host", "path", "rule", "bound", "verdict")
+    rows = located(pages.drop(*computed))
     for level in LEVELS:
-        told = known[level].select(F.col("name").alias(f"_{level}"), F.col("bound").alias(f"_{level}_bound"))
-        rows = rows.join(told, F.col(level) == F.col(f"_{level}"), "left").drop(f"_{level}")
+        told = known[level].select(F.col("name").alias(f"__known_{level}"), F.col("bound").alias(f"__bound_{level}"))
+        rows = rows.join(told, F.col(f"__{level}") == F.col(f"__known_{level}"), "left")
     overall = known["all"].first()["bound"]
-    rows = rows.withColumn("bound", F.coalesce("_host_bound", "_domain_bound", "_suffix_bound", F.lit(overall)))
+    rows = rows.withColumn("bound", F.coalesce("__bound_host", "__bound_domain", "__bound_suffix", F.lit(overall)))
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule)
     judged = F.when(F.col("bound") > threshold, "block").otherwise("allow")
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "bound", "verdict")]
-    return rows.withColumn("verdict", F.coalesce(verdict, judged)).select(*kept, "host", "path", "rule", "bound", "verdict")
+    kept = [c for c in pages.columns if c not in computed]
+    return rows.withColumn("verdict", F.coalesce(verdict, judged)).select(*kept, *computed)
 
 
 def outcomes_by_terms(pages: DataFrame, terms: Sequence[str]) -> DataFrame:
