@@ -206,6 +206,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     counts = voted.groupBy("pattern").count().toPandas()  # at most 3**8 rows
     if counts.empty:
         return Model(np.zeros(BUCKETS), 0.0, np.full(len(LABELLERS), 0.5), 0.5, {})
+    counts = counts.sort_values("pattern", ignore_index=True)
     coded = counts["pattern"].to_numpy()
     accuracy, share, post = expectation_maximisation(coded[:, None] // PLACES % 3, counts["count"].to_numpy(dtype=float))
     posterior = dict(zip(coded.tolist(), post.tolist()))
