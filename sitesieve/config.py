@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from .functions import content
+
 
 @dataclass(frozen=True)
 class SieveConfig:
@@ -31,6 +33,11 @@ class SieveConfig:
     mandatory_lang: str | None = None
     min_percent_mandatory_lang: int = 10
     url_blacklist: tuple[str, ...] = ()
+    # Language: what a word is, and when a page is reliable: at least 1 word in 20 is a profile word of its best
+    # language, and the second language has at most 9 hits for 10 of the best
+    word_pattern: str = content.WORD
+    lang_min_share: tuple[int, int] = (20, 1)
+    lang_max_rival: tuple[int, int] = (10, 9)
     # Where the rows come from and go to
     output_dir: str | None = None
     seed_urls: tuple[str, ...] = field(default=())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from .binding import let
@@ -14,14 +16,6 @@ REDIRECT_STATUS = (301, 308)
 RETRY_STATUS = 408
 WAIT_STATUS = (413, 428)
 
-# Named entities of HTML for the letters U+00C0 to U+00FF, in code point order, and those of markup.
-FIRST_LETTER = 0xC0
-LETTER_ENTITIES = (
-    "Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml "
-    "ETH Ntilde Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig "
-    "agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml igrave iacute icirc iuml "
-    "eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml"
-).split()
 MARKUP_ENTITIES = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "))
 
 # Characters of windows-1252 at the bytes 0x80 to 0x9F (five bytes are undefined and stay).
@@ -36,7 +30,11 @@ NOT_TEXT = (
 ENTITY_NAME = "^(#?[A-Za-z0-9]+);"
 BLANKS = r"[ \t\r\n\f]+"
 XML_PROLOG = r"(?is)^\s*<\?xml.*?\?>"
-WORD = "[a-zß-öø-ÿ]+"
+# A word is a letter with the letters and marks that follow, in any script; where words are written without blanks
+# between them, each character is one.
+WORD = (
+    r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]|\p{L}[\p{L}\p{M}]*"
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -107,22 +105,28 @@ def without_prolog(html: Column | str) -> Column:
     return F.regexp_replace(_col(html), XML_PROLOG, "")
 
 
+def _named(name: Column) -> Column:
+    """Characters of an entity of the HTML standard, as one constant map."""
+    table = "\x01".join(f"{known[:-1]}\x02{text}" for known, text in html5.items() if known.endswith(";"))
+    return F.element_at(F.str_to_map(F.lit(table), F.lit("\x01"), F.lit("\x02")), name)
+
+
 def _character(name: Column) -> Column:
-    """Character of an entity name or number, a blank for one that is not known, NULL for no name."""
-    decimal = F.nullif(F.regexp_extract(name, r"^#(\d{1,5})$", 1), F.lit(""))
-    hexadecimal = F.nullif(F.regexp_extract(name, "^#[xX]([0-9A-Fa-f]{1,4})$", 1), F.lit(""))
+    """Characters of an entity name or number, a blank for one that is not known, NULL for no name."""
+    decimal = F.nullif(F.regexp_extract(name, r"^#0*(\d{1,7})$", 1), F.lit(""))
+    hexadecimal = F.nullif(F.regexp_extract(name, "^#[xX]0*([0-9A-Fa-f]{1,6})$", 1), F.lit(""))
     code = F.coalesce(decimal, F.conv(hexadecimal, 16, 10)).cast("int")
-    letter = F.array_position(F.split(F.lit(" ".join(LETTER_ENTITIES)), " "), name)
     out = F.when(name == "", F.lit(None))
     for known, character in MARKUP_ENTITIES:
         out = out.when(name == known, F.lit(character))
     return (
-        out.when(letter > 0, F.chr(letter + (FIRST_LETTER - 1)))
+        out.when(code.between(0x80, 0x9F), F.substr(F.lit(WINDOWS_1252_EXTRA), code - 0x7F, F.lit(1)))
         .when(
-            code.between(32, 0xD7FF) | code.between(0xE000, 0xFFFD),
-            F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 4, "0")), "UTF-16BE"),
+            code.between(32, 0xD7FF) | code.between(0xE000, 0xFFFD) | code.between(0x10000, 0x10FFFF),
+            F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32"),
         )
-        .otherwise(F.lit(" "))
+        .when(code.isNotNull(), F.lit(" "))
+        .otherwise(F.coalesce(_named(name), F.lit(" ")))
     )
 
 
@@ -132,7 +136,7 @@ def _after_ampersand(piece: Column) -> Column:
 
 
 def unescape(c: Column | str) -> Column:
-    """Entities to characters; an entity that is neither markup, a Latin letter nor a number becomes a blank."""
+    """Entities to characters; a name or number that stands for none becomes a blank."""
 
     def pieces_back(pieces: Column) -> Column:
         later = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _after_ampersand)

@@ -34,7 +34,7 @@ def site_of_host(host: Column, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) ->
 
 def site_of(url: Column | str, suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     """Site key of a URL."""
-    return site_of_host(urls.url_host(url), suffixes)
+    return site_of_host(F.lower(urls.url_host(url)), suffixes)
 
 
 def registered_name(site: Column, suffix: Column) -> Column:
@@ -55,7 +55,8 @@ def with_host_parts(df: DataFrame, norm: str, suffixes: Sequence[str] | DataFram
     a DataFrame of rules (``suffix``, ``kind``: ``normal``, ``wildcard`` for the rule ``*.suffix``, ``exception`` for
     ``!suffix``), looked up by one equi-join per suffix length, without exploding rows.
     """
-    df = df.withColumn("host", urls.host_of(F.col(norm)))
+    # names of hosts have no case: what they are looked up and grouped by is in lower case
+    df = df.withColumn("host", F.lower(urls.host_of(F.col(norm))))
     if isinstance(suffixes, DataFrame):
         return _with_rules(df, suffixes)
     listed = TWO_LABEL_SUFFIXES if suffixes is None else tuple(suffixes)

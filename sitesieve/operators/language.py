@@ -16,6 +16,8 @@ PROFILE_WORDS = 200
 # most 9 hits for 10 of the best.
 MIN_SHARE = (20, 1)
 MAX_RIVAL = (10, 9)
+# Largest profile that is sent with the tasks, in words of all its languages.
+MODEL_WORDS = 200_000
 
 
 def train_profiles(
@@ -35,12 +37,11 @@ def train_profiles(
     return top_per_key(counts, ["lang"], [F.desc("n"), F.asc("word")], k, "place")
 
 
-def profile_words(profiles: DataFrame, langs: Sequence[str], k: int = PROFILE_WORDS) -> dict[str, list[str]]:
-    """The profile as a model for ``detected_language``: at most ``k`` words per language are read."""
-    limit = k * len(langs)
-    rows = profiles.filter(F.col("lang").isin(*langs)).select("lang", "word").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"the profile holds more than {k} words per language")
+def profile_words(profiles: DataFrame, langs: Sequence[str]) -> dict[str, list[str]]:
+    """The profile as a model for ``with_language``, all its words; beyond ``MODEL_WORDS`` use ``score_language``."""
+    rows = profiles.filter(F.col("lang").isin(*langs)).select("lang", "word").limit(MODEL_WORDS + 1).collect()
+    if len(rows) > MODEL_WORDS:
+        raise ValueError(f"the profile holds more than {MODEL_WORDS} words")
     model: dict[str, list[str]] = {code: [] for code in sorted(langs)}
     for row in rows:
         model[row["lang"]].append(row["word"])
@@ -59,19 +60,23 @@ def _best_two(ranked: Column) -> tuple[Column, Column, Column]:
     return best["lang"], -best["minus_hits"], second
 
 
-def reliable(best: Column, second: Column, n_words: Column) -> Column:
-    return (best > 0) & (best * MIN_SHARE[0] >= n_words * MIN_SHARE[1]) & (
-        second * MAX_RIVAL[0] <= best * MAX_RIVAL[1]
+def reliable(
+    best: Column, second: Column, n_words: Column, min_share: tuple[int, int] = MIN_SHARE,
+    max_rival: tuple[int, int] = MAX_RIVAL,
+) -> Column:
+    return (best > 0) & (best * min_share[0] >= n_words * min_share[1]) & (
+        second * max_rival[0] <= best * max_rival[1]
     )
 
 
-def _sure_best(ranked: Column, n_words: Column) -> Column:
+def _sure_best(ranked: Column, n_words: Column, min_share: tuple[int, int], max_rival: tuple[int, int]) -> Column:
     lang, hits, second = _best_two(ranked)
-    return F.when(reliable(hits, second, n_words), lang)
+    return F.when(reliable(hits, second, n_words, min_share, max_rival), lang)
 
 
 def with_language(
-    df: DataFrame, html: str, model: Mapping[str, Sequence[str]], name: str = "lang", pattern: str = content.WORD
+    df: DataFrame, html: str, model: Mapping[str, Sequence[str]], name: str = "lang", pattern: str = content.WORD,
+    min_share: tuple[int, int] = MIN_SHARE, max_rival: tuple[int, int] = MAX_RIVAL,
 ) -> DataFrame:
     """Add the language of each page, NULL when unreliable.
 
@@ -90,7 +95,7 @@ def with_language(
 
         # words of no profile go first, so that each language looks only at the rest
         entries = let(F.filter(words, lambda word: word.isin(*every)), ranked_entries)
-        return let(entries, lambda ranked: _sure_best(ranked, F.size(words)))
+        return let(entries, lambda ranked: _sure_best(ranked, F.size(words), min_share, max_rival))
 
     return computed(df, {name: let(content.words(content.visible(html), pattern), verdict)})
 
@@ -104,33 +109,44 @@ def page_words(pages: DataFrame, key: str = "fetch_seq", html: str = "html", pat
 
 
 def score_language(
-    words: DataFrame, profiles: DataFrame, langs: Sequence[str], key: str = "fetch_seq", k: int = PROFILE_WORDS
+    words: DataFrame, profiles: DataFrame, langs: Sequence[str], key: str = "fetch_seq"
 ) -> DataFrame:
     """Hits of each page in each language: ``key``, ``n_words``, ``lang``, ``hits``; for profiles held in a table.
 
-    The profile has one row per language and place, so the places up to ``k`` of the listed languages are at most
-    ``k * len(langs)`` rows, and these are broadcast. The words of a page sit in one partition, so the partial
-    aggregation leaves a row per page and language before anything is shuffled.
+    All words of the profile count. It is broadcast if it has at most ``MODEL_WORDS`` rows; a larger one meets the words
+    by a shuffle. In the first case the words of a page sit in one partition, so the partial aggregation leaves a row per
+    page and language before anything is shuffled.
     """
-    known = profiles.filter(F.col("lang").isin(*langs) & (F.col("place") <= k)).select("lang", "word")
+    known = profiles.filter(F.col("lang").isin(*langs)).select("lang", "word")
+    small = known.limit(MODEL_WORDS + 1).count() <= MODEL_WORDS
     return (
-        words.join(F.broadcast(known), "word")
+        words.join(F.broadcast(known) if small else known, "word")
         .groupBy(key, "lang")
         .agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("hits"))
         .select(key, "n_words", "lang", "hits")
     )
 
 
-def pick_language(scores: DataFrame, key: str = "fetch_seq") -> DataFrame:
+def word_counts(
+    pages: DataFrame, key: str = "fetch_seq", html: str = "html", pattern: str = content.WORD
+) -> DataFrame:
+    """Number of words of every page: ``key``, ``n_words``."""
+    return pages.select(key, F.size(content.words(content.visible(html), pattern)).alias("n_words"))
+
+
+def pick_language(scores: DataFrame, counts: DataFrame, key: str = "fetch_seq") -> DataFrame:
     """Best language, its hits and the hits of the second: ``key``, ``n_words``, ``best_lang``, ``best_hits``,
-    ``second_hits``, ``lang`` (NULL when unreliable). A page has one score per language, so its group is small."""
+    ``second_hits``, ``lang`` (NULL when unreliable), for every page of ``counts``; without a hit there is no best
+    language and no hits. A page has one score per language, so its group is small."""
     grouped = scores.groupBy(key).agg(
-        F.max("n_words").alias("n_words"),
         F.sort_array(F.collect_list(_ranking_entry(F.col("hits"), F.col("lang")))).alias("__ranked"),
     )
     best_lang, best_hits, second_hits = _best_two(F.col("__ranked"))
-    out = grouped.select(
-        key, "n_words", best_lang.alias("best_lang"), best_hits.alias("best_hits"), second_hits.alias("second_hits")
+    found = counts.select(key, "n_words").join(grouped, key, "left")
+    none = F.lit(0).cast("bigint")
+    out = found.select(
+        key, "n_words", best_lang.alias("best_lang"), F.coalesce(best_hits, none).alias("best_hits"),
+        second_hits.alias("second_hits"),
     )
     sure = reliable(F.col("best_hits"), F.col("second_hits"), F.col("n_words"))
     return out.withColumn("lang", F.when(sure, F.col("best_lang")))

@@ -21,7 +21,7 @@ def latest_files(files: DataFrame) -> DataFrame:
     """One file per host, the last one read."""
     order = F.col("read_seq") if "read_seq" in files.columns else F.lit(0)
     newest = F.max(F.struct(order.alias("o"), F.col("status"), F.col("body"))).alias("f")
-    return files.groupBy("host").agg(newest).select("host", "f.status", "f.body")
+    return files.groupBy(F.lower("host").alias("host")).agg(newest).select("host", "f.status", "f.body")
 
 
 def policy_of(status: Column, body: Column) -> Column:

@@ -43,6 +43,12 @@ def eligible(config: SieveConfig):
     )
 
 
+def _with_language(df: DataFrame, text: str, model: Mapping[str, Sequence[str]], config: SieveConfig) -> DataFrame:
+    return language.with_language(
+        df, text, model, pattern=config.word_pattern, min_share=config.lang_min_share, max_rival=config.lang_max_rival
+    )
+
+
 def judge_pages(
     pages: DataFrame, config: SieveConfig, model: Mapping[str, Sequence[str]], robots_files: DataFrame | None = None,
     suffixes: Sequence[str] | DataFrame | None = None,
@@ -53,7 +59,7 @@ def judge_pages(
     """
     decoded = page_ops.with_site(page_ops.decode_body(pages), suffixes)
     parsed = decoded.withColumn("__text", F.when(eligible(config), F.col("html")))
-    detected = language.with_language(parsed, "__text", model)
+    detected = _with_language(parsed, "__text", model, config)
     narrow = detected.select(
         "fetch_seq", "norm_url", "host", "site", "status", "content_type", "location", "retry_after", "fetch_ts",
         "encoding", "lang",
@@ -100,7 +106,7 @@ def run(
     marked = judged.join(stops, "site", "left").withColumn("after_stop", F.coalesce(F.col("fetch_seq") > F.col("stop_seq"), F.lit(False))).drop("stop_seq")
 
     readable = page_ops.with_site(page_ops.decode_body(pages), suffixes).filter(eligible(config))
-    documents = language.keep_langs(language.with_language(readable, "html", model), config.langs_of_interest)
+    documents = language.keep_langs(_with_language(readable, "html", model, config), config.langs_of_interest)
     documents = scout.apply_stops(documents.join(denied, "fetch_seq", "left_anti"), stops)
 
     arrays = scout.apply_stops(page_ops.link_arrays(readable).join(denied, "fetch_seq", "left_anti"), stops)

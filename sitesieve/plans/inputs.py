@@ -136,6 +136,20 @@ def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("host", status.alias("status"), body.alias("body"))
 
 
+# Letters of the documents and what stands for them: Cyrillic for English, Greek for French.
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+SCRIPTS = {"en": "абцдефгхийклмнопярстувщьыз", "fr": "αβψδεφγηιξκλμνοπϙρστυϋωχζϟ"}
+
+
+def other_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in lower case, English and French ones in other letters, those of other languages as they are."""
+    text = F.lower("text")
+    written = text
+    for code, letters in SCRIPTS.items():
+        written = F.when(F.col("lang") == code, F.translate(text, LATIN, letters)).otherwise(written)
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", written.alias("text"))
+
+
 @lru_cache(maxsize=8)
 def model(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
     """Word profiles of the documents, trained once per session and folder."""

@@ -128,18 +128,20 @@ TEXT = f"""texts AS (
   SELECT page_id AS fetch_seq, trim(regexp_replace(t, '{content.BLANKS}', ' ', 'g')) AS text
   FROM (SELECT page_id, replace(regexp_replace(replace(replace(replace(replace(replace(replace(
       regexp_replace(html, {_text(content.NOT_TEXT)}, ' ', 'g'),
-      '&amp;', chr(2)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '),
+      '&amp;', chr(2)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'),
       '&#?[A-Za-z0-9]+;', ' ', 'g'), chr(2), '&') AS t FROM pages))"""
+# A word, said here once more: a letter of any script with the letters and marks behind it.
+WORD = r"\p{L}[\p{L}\p{M}]*"
 PROFILES = f"""profiles AS (
   SELECT * FROM (
     SELECT lang, word, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place
     FROM (SELECT lang, word, count(*) AS n
-          FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '{content.WORD}')) AS word
+          FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word
                 FROM documents WHERE lang IN ({_LANGS}))
           GROUP BY lang, word))
   WHERE place <= 200)"""
 SCORES = f"""{TEXT}, {PROFILES},
-split AS (SELECT fetch_seq, regexp_extract_all(lower(text), '{content.WORD}') AS words FROM texts),
+split AS (SELECT fetch_seq, regexp_extract_all(lower(text), '{WORD}') AS words FROM texts),
 page_words AS (SELECT fetch_seq, len(words) AS n_words, unnest(words) AS word FROM split),
 hits AS (SELECT fetch_seq, any_value(n_words) AS n_words, lang, count(*) AS hits
   FROM page_words JOIN profiles USING (word) GROUP BY fetch_seq, lang),
@@ -147,8 +149,9 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY fetch_seq ORDER BY hits DES
 picked AS (SELECT fetch_seq, any_value(n_words) AS n_words, any_value(lang) FILTER (WHERE place = 1) AS best_lang,
     any_value(hits) FILTER (WHERE place = 1) AS best_hits,
     coalesce(any_value(hits) FILTER (WHERE place = 2), 0) AS second_hits FROM ranked GROUP BY fetch_seq),
-detected AS (SELECT s.fetch_seq, n_words, best_lang, best_hits, second_hits,
-    CASE WHEN best_hits * 20 >= n_words AND second_hits * 10 <= best_hits * 9 THEN best_lang END AS lang
+detected AS (SELECT s.fetch_seq, len(s.words) AS n_words, best_lang, coalesce(best_hits, 0) AS best_hits,
+    coalesce(second_hits, 0) AS second_hits,
+    CASE WHEN best_hits * 20 >= len(s.words) AND second_hits * 10 <= best_hits * 9 THEN best_lang END AS lang
   FROM split s LEFT JOIN picked USING (fetch_seq))"""
 READABLE = f"action = 'process' AND {TYPE_OK} AND length(html) > 0"
 KEPT = f"""{SITED}, {SCORES}, kept AS (
@@ -313,8 +316,23 @@ ORACLE_SQL: dict[str, str] = {
         FROM pages""",
     "page_text": f"WITH {TEXT} SELECT fetch_seq, length(text) AS n_chars, md5(text) AS text_md5 FROM texts",
     "lang_profiles": f"WITH {PROFILES} SELECT lang, word, n, place::INTEGER AS place FROM profiles",
-    "lang_scores": f"""WITH {SCORES} SELECT fetch_seq, n_words, best_lang, best_hits, second_hits, lang FROM detected
-        WHERE best_hits IS NOT NULL""",
+    "lang_scores": f"WITH {SCORES} SELECT fetch_seq, n_words, best_lang, best_hits, second_hits, lang FROM detected",
+    "lang_scripts": f"""WITH written AS (SELECT doc_id, lang, CASE lang
+            WHEN 'en' THEN translate(lower(text), '{inputs.LATIN}', '{inputs.SCRIPTS["en"]}')
+            WHEN 'fr' THEN translate(lower(text), '{inputs.LATIN}', '{inputs.SCRIPTS["fr"]}') ELSE lower(text) END AS text
+          FROM documents),
+        split AS (SELECT doc_id, lang, text, regexp_extract_all(text, '{WORD}') AS words FROM written),
+        counted AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(words) AS word FROM split) GROUP BY lang, word),
+        profile AS (SELECT lang AS code, word FROM (
+          SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS place FROM counted WHERE lang IN ({_LANGS}))
+          WHERE place <= 200),
+        hit AS (SELECT doc_id, code, count(*) AS hits FROM (SELECT doc_id, unnest(words) AS word FROM split) JOIN profile USING (word)
+          GROUP BY doc_id, code),
+        best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, code) AS place FROM hit)
+        SELECT doc_id, lang, length(text) AS n_chars, CASE WHEN b.hits * 20 >= len(words)
+          AND coalesce(r.hits, 0) * 10 <= b.hits * 9 THEN b.code END AS found
+        FROM split LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (doc_id)
+        LEFT JOIN (SELECT * FROM best WHERE place = 2) r USING (doc_id)""",
     "page_lang": f"WITH {SCORES} SELECT fetch_seq, lang FROM detected",
     "lang_labels": f"""WITH labelled AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '__label__' || three || '_Latn'
           WHEN 1 THEN '__label__' || three WHEN 2 THEN lang WHEN 3 THEN '__label__' || lang ELSE '__label__xyz' END AS label

@@ -243,12 +243,22 @@ def lang_profiles(spark, sf_dir):
     return language.train_profiles(documents, inputs.LANGS).select("lang", "word", "n", "place")
 
 
+@query
+def lang_scripts(spark, sf_dir):
+    """Language of documents written over into other scripts, from profiles trained on these."""
+    documents = inputs.other_scripts(spark, sf_dir)
+    model = language.profile_words(language.train_profiles(documents, inputs.LANGS), inputs.LANGS)
+    detected = language.with_language(documents, "text", model, "found")
+    return detected.select("doc_id", "lang", "found", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query
 def lang_scores(spark, sf_dir):
     """Hits of each page in each language and the language picked from them, by joins with the profile table."""
     profiles = language.train_profiles(inputs.table(spark, sf_dir, "documents"), inputs.LANGS)
-    scores = language.score_language(language.page_words(_raw_pages(spark, sf_dir)), profiles, inputs.LANGS)
-    picked = language.pick_language(scores)
+    pages = _raw_pages(spark, sf_dir)
+    scores = language.score_language(language.page_words(pages), profiles, inputs.LANGS)
+    picked = language.pick_language(scores, language.word_counts(pages))
     return picked.select("fetch_seq", F.col("n_words").cast("bigint").alias("n_words"), "best_lang", "best_hits", "second_hits", "lang")
 
 

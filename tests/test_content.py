@@ -1,6 +1,7 @@
 """Response classification, decoding and text."""
 
 import html as standard_html
+import html.entities
 
 from pyspark.sql import functions as F
 
@@ -66,13 +67,22 @@ def test_html_text(evaluate):
         "<STYLE>no</STYLE><script>no</script>a < b <i>end"
     )
     assert evaluate(content.html_text("v"), [page, "", "<!-- open", "x<script>y"]) == [
-        "Yes one two &lt; éÑ é€ &bogus x&y a < b end", "", "", "x",
+        "Yes one two &lt; éÑ é€ ©&bogus x&y a < b end", "", "", "x",
     ]
 
 
-def test_letter_entities_are_those_of_html(evaluate):
-    text = " ".join(f"&{name};" for name in content.LETTER_ENTITIES)
-    assert evaluate(content.unescape("v"), [text]) == [standard_html.unescape(text)]
+def test_entities_are_those_of_html(evaluate):
+    named = [k for k in standard_html.entities.html5 if k.endswith(";") and k != "nbsp;"]
+    texts = [" ".join(f"&{name}" for name in named), "&#128512;&#x1F600;&#0000233;&#X0000e9;&#150;&Scaron;&alpha;&hellip;&NotEqualTilde;"]
+    assert evaluate(content.unescape("v"), texts) == [standard_html.unescape(t) for t in texts]
+    assert evaluate(content.unescape("v"), ["a&nosuch;b&#0;c&#xD800;d&#99999999;e"]) == ["a b c d e"]
+
+
+def test_words_of_other_scripts(evaluate):
+    texts = ["Привет, мир!", "že přes", "한국어 단어", "नमस्ते दुनिया", "漢字 kana", "x1y"]
+    assert evaluate(content.words("v"), texts, "string") == [
+        ["привет", "мир"], ["že", "přes"], ["한국어", "단어"], ["नमस्ते", "दुनिया"], ["漢", "字", "kana"], ["x", "y"],
+    ]
 
 
 def test_without_prolog(evaluate):
@@ -112,10 +122,10 @@ def test_both_detections_agree(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     langs = ["de", "en", "es", "fr"]
     profiles = language.train_profiles(documents, langs, 50)
-    model = language.profile_words(profiles, langs, 50)
+    model = language.profile_words(profiles, langs)
     assert all(len(words) <= 50 for words in model.values())
     mapped = {r.fetch_seq: r.lang for r in language.with_language(raw, "html", model).select("fetch_seq", "lang").collect()}
-    joined = language.pick_language(language.score_language(language.page_words(raw), profiles, langs, k=50))
+    joined = language.pick_language(language.score_language(language.page_words(raw), profiles, langs), language.word_counts(raw))
     assert {r.fetch_seq: r.lang for r in joined.collect()} == mapped
 
 
@@ -127,6 +137,8 @@ def test_reliability_edges(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "fetch_seq bigint, html string")
     found = {r.html: r.lang for r in language.with_language(rows, "html", model).collect()}
     assert found == texts
-    joined = language.pick_language(language.score_language(language.page_words(rows), profiles, ["en", "fr"]))
+    joined = language.pick_language(
+        language.score_language(language.page_words(rows), profiles, ["en", "fr"]), language.word_counts(rows)
+    )
     by_seq = {r.fetch_seq: r.lang for r in joined.collect()}
     assert [by_seq.get(i) for i in range(len(texts))] == list(texts.values())
