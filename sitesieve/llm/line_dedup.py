@@ -5,8 +5,9 @@ Each line emits the hash of every variant with one word left out; a replaced wor
 that word, and a line that is a variant of a longer one meets it as a whole. Pairs are then verified on the words. In a variant of one place all
 lines are near each other, so each is linked to the earliest there only, never to all.
 
-Variants are emitted for lines that can have a near one: a single edit leaves the first or the last ``ANCHOR`` words as they are, so
-longer lines emit only if another distinct line shares one of the two; short lines always do. Lines are compared once however often they occur.
+Variants are emitted only where they can meet another: a single edit leaves the first or the last ``ANCHOR`` words as they are, so a long line
+counts only if another distinct line shares one of the two; and an edit changes one of ``PARTS`` parts of a line, so words are left out only in
+parts outside of which the line equals another. Lines are compared once however often they occur.
 
 A line goes if it, or a near line, occurs earlier: by document id (null last), then text key, then place. Blank lines are no lines and always
 stay. Null text has none. Rows that repeat id and text are one document, and each gets the same result.
@@ -22,6 +23,7 @@ from .common import SPACE_CHARS, one_space, text_key, text_of
 ANCHOR = 4
 # lines up to here may be changed in both anchors by one edit
 SHORT = 2 * ANCHOR + 1
+PARTS = 4
 #: a table of at most so many rows of two hashes is broadcast; a larger one is joined by sort and merge
 BROADCAST_ROWS = 500_000
 
@@ -71,48 +73,61 @@ def _candidates(distinct: DataFrame) -> DataFrame:
     return long.union(distinct.filter(F.col("n") <= SHORT).select(*LINE)).distinct()
 
 
+def _spots(texts: DataFrame) -> DataFrame:
+    """(id, n, begin, end, longer, key) for each part of each line in which an edit may lie.
+
+    The key holds what is outside the part. A line of n words meets lines of its own length in the parts of n words, and those of one word less,
+    as the longer one, in the parts of n - 1 words, its own part being one word longer.
+    """
+    words = texts.select("id", _words(F.col("line")).alias("words")).withColumn("n", F.size("words"))
+    cut = words.select("id", "words", "n", F.explode(F.array(F.col("n"), F.col("n") - 1)).alias("m")).filter("m > 0")
+    cut = cut.select("*", F.explode(F.array(*(F.lit(k) for k in range(PARTS)))).alias("k"))
+    begin = F.floor(F.col("m") * F.col("k") / PARTS).cast("int")
+    longer = (F.col("n") > F.col("m")).cast("int")
+    end = F.floor(F.col("m") * (F.col("k") + 1) / PARTS).cast("int") + longer
+    cut = cut.select("id", "words", "n", "m", "k", begin.alias("begin"), end.alias("end"), longer.alias("longer")).filter("begin < end")
+    outside = F.xxhash64(
+        "m", "k", F.array_join(F.slice("words", F.lit(1), F.col("begin")), " "), F.array_join(F.slice("words", F.col("end") + 1, F.col("n")), " ")
+    )
+    return cut.select("id", "n", "begin", "end", "longer", outside.alias("key"))
+
+
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the lines to which an earlier line is near."""
-    wanted = stage(distinct.join(_candidates(distinct), list(LINE), "left_semi").select(*LINE, "first"), "candidates")
-    at = wanted.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), "first")
+    wanted = distinct.join(_candidates(distinct), list(LINE), "left_semi").select(*LINE, "first")
+    # numbered in the order of their first place: partitions are in order, and so are the rows in each
+    wanted = stage(wanted.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "candidates")
+    at = wanted.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), "first", "id")
     there = lines(docs).join(_checked(at), (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2")))
     there = there.filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")) & (F.col("place") == F.col("first.place")))
     # rows that repeat id and text give the same line again
-    texts = stage(there.select(*LINE, "first", "line").dropDuplicates(list(LINE)), "candidate_lines")
-
-    words = texts.select(*LINE, "first", _words(F.col("line")).alias("words"))
-    left = F.concat(F.slice("words", F.lit(1), F.col("at")), F.slice("words", F.col("at") + 2, F.size("words")))
-    variants = (
-        words.withColumn("n", F.size("words"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"))
-        .select(*LINE, "first", "n", "at", F.explode(F.array(F.array_join(left, " "))).alias("rest"))
-        .select(*LINE, "first", "n", "at", F.xxhash64("rest").alias("v1"), F.xxhash64("rest", F.lit(1)).alias("v2"))
-    )
+    texts = stage(there.select("id", "line").dropDuplicates(["id"]), "candidate_lines")
+
+    spots = stage(_spots(texts), "spots")
+    is_longer = F.col("longer") == 1
+    shared = spots.groupBy("key").agg(F.count(F.when(~is_longer, 1)).alias("whole"), F.count(F.when(is_longer, 1)).alias("longer_ones"))
+    shared = shared.filter("whole > 1 OR (whole > 0 AND longer_ones > 0)")
+    spots = spots.join(shared, "key").filter((~is_longer & (F.col("whole") > 1)) | (is_longer & (F.col("whole") > 0)))
+    spots = spots.select("id", "n", "longer", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("at"))
+    words = texts.select("id", _words(F.col("line")).alias("words"))
+    left = F.concat(F.slice("words", F.lit(1), F.col("at")), F.slice("words", F.col("at") + 2, F.col("n")))
+    variants = spots.distinct().join(words, "id").select("id", "n", "at", "longer", F.xxhash64(F.array_join(left, " ")).alias("variant"))
     variants = stage(variants, "variants")
-    # one word replaced: same length, same place, same rest
-    spot = ["v1", "v2", "n", "at"]
-    earliest = (
-        variants.groupBy(*spot)
-        .agg(F.min(F.struct("first", *LINE)).alias("best"), F.count("*").alias("lines"))
-        .filter("lines > 1")
-        .select(*spot, F.col("best.h1").alias("o1"), F.col("best.h2").alias("o2"))
-    )
-    replaced = variants.join(earliest, spot).filter("h1 <> o1 OR h2 <> o2").select(*LINE, "o1", "o2")
+    # one word replaced: same length, same place, same rest; each is linked to the earliest
+    spot = ["variant", "n", "at"]
+    whole = variants.filter("longer = 0").select("id", *spot)
+    earliest = whole.groupBy(*spot).agg(F.min("id").alias("other"), F.count("*").alias("lines")).filter("lines > 1").drop("lines")
+    replaced = whole.join(earliest, spot).filter("id <> other").select("id", "other")
     # one word more or less: a variant is the other line
-    whole = wanted.select(F.col("h1").alias("v1"), F.col("h2").alias("v2"), F.col("first").alias("other"))
-    removed = variants.join(whole, ["v1", "v2"]).select(
-        F.when(F.col("first") > F.col("other"), F.struct("h1", "h2", F.col("v1").alias("o1"), F.col("v2").alias("o2")))
-        .otherwise(F.struct(F.col("v1").alias("h1"), F.col("v2").alias("h2"), F.col("h1").alias("o1"), F.col("h2").alias("o2")))
-        .alias("pair")
-    ).select("pair.*")
+    own = texts.select(F.xxhash64("line").alias("variant"), F.col("id").alias("shorter"))
+    removed = variants.filter("longer = 1").select("id", "variant").join(own, "variant")
+    removed = removed.select(F.greatest("id", "shorter").alias("id"), F.least("id", "shorter").alias("other"))
     pairs = replaced.union(removed).distinct()
 
-    mine = texts.select(*LINE, "line")
-    theirs = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"))
-    both = pairs.join(mine, list(LINE)).join(theirs, ["o1", "o2"])
-    a, b = _words(F.col("line")), _words(F.col("other"))
+    both = pairs.join(texts, "id").join(texts.withColumnsRenamed({"id": "other", "line": "text"}), "other")
+    a, b = _words(F.col("line")), _words(F.col("text"))
     verified = both.filter(F.when(F.size(a) >= F.size(b), _near(a, b)).otherwise(_near(b, a)))
-    return verified.select(*LINE).distinct()
+    return wanted.join(verified.select("id").distinct(), "id", "left_semi").select(*LINE)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
