@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from .functions import content
 
@@ -13,7 +13,7 @@ class SieveConfig:
 
     ``langs_of_interest`` and ``user_agent`` must be given. ``accepted_tlds`` is the list of public suffixes whose
     sites may be entered from a page of another site. Sizes are megabytes, times are seconds. A ``None`` budget is no
-    budget. ``max_jobs`` is the number of sites served per round by ``next_urls``.
+    budget.
     """
 
     langs_of_interest: tuple[str, ...]
@@ -23,7 +23,6 @@ class SieveConfig:
     crawl_delay: int = 3
     max_time_per_site: int | None = None
     max_size_per_site: int | None = None
-    max_jobs: int = 1
     prefix_filter: tuple[str, ...] = ()
     accepted_content: str = "(text/html)"
     max_folder_tree_depth: int = 20
@@ -38,8 +37,3 @@ class SieveConfig:
     word_pattern: str = content.WORD
     lang_min_share: tuple[int, int] = (20, 1)
     lang_max_rival: tuple[int, int] = (10, 9)
-    # Where the rows come from and go to
-    output_dir: str | None = None
-    seed_urls: tuple[str, ...] = field(default=())
-    seed_urls_from_file: str | None = None
-    resume_crawling: bool = False

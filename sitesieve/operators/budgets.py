@@ -67,10 +67,10 @@ def site_status(
     )
 
 
-def attempt_state(log: DataFrame, max_attempts: int) -> DataFrame:
+def attempt_state(log: DataFrame, max_attempts: int, earlier: DataFrame | None = None) -> DataFrame:
     """State of each URL after its failures: ``norm_url``, ``n_failures``, ``state``.
 
-    ``log`` has ``norm_url``, ``attempt`` and ``action``. The first failure and ``max_attempts`` more are retried, the
+    ``log`` has ``norm_url``, ``attempt`` and ``action``; ``earlier`` (``norm_url``, ``n``) are failures of earlier runs. The first failure and ``max_attempts`` more are retried, the
     next one gives up; a failure that is not to be retried is final at once.
     """
     final = ~F.col("action").isin("retry", "wait")
@@ -79,6 +79,10 @@ def attempt_state(log: DataFrame, max_attempts: int) -> DataFrame:
         F.max("attempt").alias("last"),
         F.max(F.when(final, F.col("attempt"))).alias("last_final"),
     )
+    if earlier is not None:
+        before = earlier.groupBy("norm_url").agg(F.sum("n").alias("n_before"))
+        counted = F.col("n_failures") + F.coalesce("n_before", F.lit(0))
+        seen = seen.join(before, "norm_url", "left").withColumn("n_failures", counted)
     state = (
         F.when(F.col("last_final") == F.col("last"), F.lit("failed"))
         .when(F.col("n_failures") >= max_attempts + 2, F.lit("given_up"))

@@ -11,15 +11,39 @@ from ..functions.binding import computed, let
 from .hosts import with_host_parts
 
 # Outcomes of a page, in the order in which they are tested.
-OUTCOMES = ("robots", "status", "content_type", "no_text", "no_language", "other_language", "kept")
+# A fetch of a URL that already had its final answer is repeated.
+OUTCOMES = ("repeated", "robots", "status", "content_type", "no_text", "no_language", "other_language", "kept")
 
 
 def decode_body(pages: DataFrame) -> DataFrame:
-    """Add ``encoding`` and ``html`` to pages that come as bytes in ``body``; pages with ``html`` pass."""
-    if "body" not in pages.columns:
-        return pages if "encoding" in pages.columns else pages.withColumn("encoding", F.lit("utf-8"))
-    found = pages.withColumn("encoding", content.body_encoding("body", "content_type"))
-    return found.withColumn("html", content.decoded("body", "encoding")).drop("body")
+    """Add ``encoding``, ``html`` and ``n_bytes`` of the raw body to pages that come as bytes in ``body``; pages with
+    ``html`` pass, with its bytes. Charset and text are found once per page, whatever is filtered on them."""
+    raw = "body" if "body" in pages.columns else "html"
+    sized = pages.withColumn("n_bytes", F.octet_length(raw).cast("bigint"))
+    if raw == "html":
+        return sized if "encoding" in pages.columns else sized.withColumn("encoding", F.lit("utf-8"))
+    found = computed(sized, {"encoding": content.body_encoding("body", "content_type")})
+    return computed(found, {"html": content.decoded("body", "encoding")}).drop("body")
+
+
+def first_answers(fetches: DataFrame) -> DataFrame:
+    """URLs fetched more than once: ``norm_url`` and ``final_seq``, the fetch after which the URL is done with.
+
+    ``fetches`` has ``norm_url``, ``fetch_seq``, ``status`` and ``outcome``. Only an answer that asks to be fetched again
+    leaves a URL open; NULL when there is no other.
+    """
+    open_still = content.status_action("status").isin("retry", "wait") | (F.col("outcome") == "robots")
+    grouped = fetches.groupBy("norm_url").agg(
+        F.min(F.when(~open_still, F.col("fetch_seq"))).alias("final_seq"), F.count(F.lit(1)).alias("n")
+    )
+    return grouped.filter("n > 1").drop("n")
+
+
+def mark_repeated(fetches: DataFrame) -> DataFrame:
+    """``outcome`` of fetches behind the final answer of their URL set to ``repeated``."""
+    marked = fetches.join(first_answers(fetches), "norm_url", "left")
+    repeated = F.col("fetch_seq") > F.col("final_seq")
+    return marked.withColumn("outcome", F.when(repeated, "repeated").otherwise(F.col("outcome"))).select(*fetches.columns)
 
 
 def accept_content(pages: DataFrame, pattern: str) -> DataFrame:

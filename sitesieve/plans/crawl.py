@@ -63,7 +63,7 @@ def judge_pages(
     narrow = detected.select(
         "fetch_seq", "norm_url", "host", "site", "status", "content_type", "location", "retry_after", "fetch_ts",
         "encoding", "lang",
-        F.octet_length("html").cast("bigint").alias("n_bytes"),
+        "n_bytes",
         # the outcome only asks whether there is text
         F.left("html", F.lit(1)).alias("html"),
     )
@@ -75,13 +75,27 @@ def judge_pages(
     return judged.drop("html", "allowed")
 
 
-def site_stops(judged: DataFrame, config: SieveConfig, policy: scout.Policy = scout.languages_policy) -> DataFrame:
-    """Why and where each site stops, by scout and budgets."""
+def _fetched():
+    """Pages that a crawler would have fetched."""
+    return ~F.col("outcome").isin("robots", "repeated")
+
+
+def numbered_once(judged: DataFrame) -> None:
+    """Raise unless every page has a number of its own; later steps tell pages apart by it."""
+    wrong = judged.groupBy("fetch_seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR fetch_seq IS NULL").limit(1).collect()
+    if wrong:
+        raise ValueError(f"fetch_seq {wrong[0]['fetch_seq']} stands for {wrong[0]['n']} pages")
+
+
+def site_stops(
+    judged: DataFrame, config: SieveConfig, policy: scout.Policy = scout.languages_policy, starts: DataFrame | None = None
+) -> DataFrame:
+    """Why and where each site stops, by scout and budgets; ``starts`` (``site``, ``crawl_starts``) of sites begun earlier."""
     kept = judged.filter(F.col("outcome") == "kept")
-    allowed = judged.filter(F.col("outcome") != "robots")
+    allowed = judged.filter(_fetched())
     decisions = scout.scout_decision(scout.scout_steps(kept, config.scout_steps), config, policy)
     size = None if config.max_size_per_site is None else budgets.size_budget(kept, config.max_size_per_site)
-    time = None if config.max_time_per_site is None else budgets.time_budget(allowed, config.max_time_per_site)
+    time = None if config.max_time_per_site is None else budgets.time_budget(allowed, config.max_time_per_site, starts)
     sites = judged.groupBy("site").agg(F.max("fetch_seq").alias("last_seq"))
     return budgets.site_status(sites, decisions.select("site", "stop_seq"), size, time)
 
@@ -89,20 +103,24 @@ def site_stops(judged: DataFrame, config: SieveConfig, policy: scout.Policy = sc
 def run(
     pages: DataFrame, config: SieveConfig, model: Mapping[str, Sequence[str]], robots_files: DataFrame | None = None,
     suffixes: Sequence[str] | DataFrame | None = None, visited: DataFrame | None = None,
-    policy: scout.Policy = scout.languages_policy, seeds: DataFrame | None = None,
+    policy: scout.Policy = scout.languages_policy, seeds: DataFrame | None = None, starts: DataFrame | None = None,
 ) -> Crawl:
     """Compose a run.
 
-    ``visited`` are URLs of earlier runs; ``seeds`` (``seed_seq``, ``url``) become pending unless they have been visited.
+    Each page has its own ``fetch_seq``; of several fetches of a URL those behind its final answer are ``repeated`` and
+    count for nothing. ``visited`` are URLs of earlier runs; ``seeds`` (``seed_seq``, ``url``) become pending unless they
+    have been visited; ``starts`` (``site``, ``crawl_starts``) tells when sites were begun for the time budget.
 
     The judged pages and the stops of sites are written to the shared folder: both are narrow, both have several
     consumers, and their real sizes let the planner broadcast the stops and the denied pages to the pass over the page
     text when they are small. That pass then keeps the text where it was read.
     """
-    judged = stage(judge_pages(pages, config, model, robots_files, suffixes), "judged")
-    sites = stage(site_stops(judged, config, policy), "sites")
+    judged = stage(judge_pages(pages, config, model, robots_files, suffixes), "judged_fetches")
+    numbered_once(judged)
+    judged = stage(page_ops.mark_repeated(judged), "judged")
+    sites = stage(site_stops(judged, config, policy, starts), "sites")
     stops = stage(sites.filter(F.col("stop_seq").isNotNull()).select("site", "stop_seq"), "stops")
-    denied = stage(judged.filter(F.col("outcome") == "robots").select("fetch_seq"), "denied")
+    denied = stage(judged.filter(~_fetched()).select("fetch_seq"), "denied")
     marked = judged.join(stops, "site", "left").withColumn("after_stop", F.coalesce(F.col("fetch_seq") > F.col("stop_seq"), F.lit(False))).drop("stop_seq")
 
     readable = page_ops.with_site(page_ops.decode_body(pages), suffixes).filter(eligible(config))
@@ -110,7 +128,7 @@ def run(
     documents = scout.apply_stops(documents.join(denied, "fetch_seq", "left_anti"), stops)
 
     arrays = scout.apply_stops(page_ops.link_arrays(readable).join(denied, "fetch_seq", "left_anti"), stops)
-    moved = scout.apply_stops(judged.filter(F.col("outcome") != "robots"), stops)
+    moved = scout.apply_stops(judged.filter(_fetched()), stops)
     found = page_ops.explode_links(arrays).unionByName(links.redirect_links(moved))
     admitted = links.admitted(links.admit_links(links.with_link_parts(found, suffixes), config))
     seen = judged.select("norm_url")
@@ -125,34 +143,71 @@ def run(
     return Crawl(marked, sites, documents, admitted, pending, discovered)
 
 
+def _open_urls(judged: DataFrame, config: SieveConfig, before: Mapping[str, DataFrame] | None) -> DataFrame:
+    """URLs whose last fetch asked for another one that is still granted: ``site``, ``norm_url``, ``n`` failures so far,
+    ``added`` and ``wait_until``."""
+    fetches = judged.filter(_fetched() & ~F.col("after_stop")).withColumn("action", content.status_action("status"))
+    failed = F.col("action").isin("retry", "wait")
+    last = fetches.groupBy("site", "norm_url").agg(
+        F.max_by(F.struct("action", budgets.wait_until("fetch_ts", "retry_after").alias("wake")), "fetch_seq").alias("last"),
+        F.max("fetch_seq").alias("added"),
+    )
+    last = last.filter(F.col("last.action").isin("retry", "wait"))
+    log = fetches.filter(failed).select("norm_url", F.col("fetch_seq").alias("attempt"), "action")
+    states = budgets.attempt_state(log, config.max_attempts, before and before["attempts"]).filter(F.col("state") == "retry")
+    return last.join(states, "norm_url").select(
+        "site", "norm_url", F.col("n_failures").alias("n"), "added",
+        F.when(F.col("last.action") == "wait", F.col("last.wake")).alias("wait_until"),
+    )
+
+
 def next_state(done: Crawl, config: SieveConfig, before: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-    """State for the next run, ready for ``save_state``: ``visited``, ``pending`` and ``attempts``.
+    """State for the next run, ready for ``save_state``.
+
+    ``visited`` (``site``, ``norm_url``): URLs that are done with. ``pending`` (``site``, ``norm_url``, ``added``,
+    ``wait_until``): new URLs, seeds discovered for sites that have not stopped, URLs to be fetched again, and what was
+    pending before and has not been fetched. ``attempts`` (``site``, ``norm_url``, ``n``): failures of URLs that are to
+    be fetched again, also of those that this run did not reach. ``sites`` (``site``, ``priority``, ``stopped``,
+    ``cause``): all sites in the order of their arrival; a site without a pending URL is exhausted.
 
-    A page that asked to be retried stays pending with its number of failures, those of earlier runs included, until it
-    is given up; everything else that was fetched has been visited.
+    The last fetch of a URL decides: a failure that was followed by an answer is forgotten.
     """
-    failed = (
-        done.judged.filter(
-            (F.col("outcome") == "status")
-            & content.status_action("status").isin("retry", "wait")
-            & ~F.col("after_stop")
-        )
-        .groupBy("site", "norm_url")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    if before is not None:
-        earlier = before["attempts"].select("norm_url", F.col("n").alias("n_before"))
-        failed = failed.join(earlier, "norm_url", "left").select(
-            "site", "norm_url", (F.col("n") + F.coalesce("n_before", F.lit(0))).alias("n")
-        )
-    attempts = failed.filter(F.col("n") < config.max_attempts + 2)
-    again = attempts.select("site", "norm_url")
+    spark = done.judged.sparkSession
+    again = stage(_open_urls(done.judged, config, before), "open_urls")
     seen = done.judged.select("site", "norm_url")
-    pending = done.pending.select("site", "norm_url").unionByName(again)
+    columns = ["site", "norm_url", "added", "wait_until"]
+    asleep = F.lit(None).cast("timestamp_ntz")
+    pending = done.pending.select("site", "norm_url", F.col("first_seq").alias("added"), asleep.alias("wait_until"))
+    pending = pending.unionByName(again.select(*columns))
+    attempts = again.select("site", "norm_url", "n")
+    known = spark.createDataFrame([], "site string, priority bigint, stopped boolean, cause string")
     if before is not None:
+        fetched = done.judged.filter(_fetched() & ~F.col("after_stop")).select("norm_url")
+        pending = pending.unionByName(before["pending"].select(*columns).join(fetched, "norm_url", "left_anti").select(*columns))
+        attempts = attempts.unionByName(before["attempts"].join(fetched, "norm_url", "left_anti").select("site", "norm_url", "n"))
+        known = before["sites"].select(*known.columns)
         seen = seen.unionByName(before["visited"].select("site", "norm_url"))
-        pending = pending.unionByName(
-            before["pending"].select("site", "norm_url").join(seen.select("norm_url"), "norm_url", "left_anti")
-        )
-    visited = seen.join(again.select("norm_url"), "norm_url", "left_anti").select("site", "norm_url").distinct()
-    return {"visited": visited, "pending": pending.select("site", "norm_url").distinct(), "attempts": attempts}
+    visited = stage(seen.join(again.select("norm_url"), "norm_url", "left_anti").select("site", "norm_url").distinct(), "visited")
+
+    # sites of the pages and of the discovered seeds, numbered behind those known before
+    arrived = done.judged.select("site", "norm_url", F.col("fetch_seq").alias("first_seq")).unionByName(
+        done.seeds.select("site", "norm_url", "first_seq")
+    )
+    expanded = frontier.expand_sites(arrived, known).filter(F.col("action") == "new")
+    sites = known.unionByName(
+        expanded.select("site", "priority", F.lit(False).alias("stopped"), F.lit("running").alias("cause"))
+    )
+    causes = done.sites.filter(F.col("cause") != "running").select("site", F.col("cause").alias("now"))
+    cause = F.when(F.col("stopped"), F.col("cause")).otherwise(F.coalesce("now", F.col("cause")))
+    sites = sites.join(causes, "site", "left").withColumn("cause", cause).withColumn("stopped", F.col("cause") != "running")
+    sites = stage(sites.select(*known.columns), "known_sites")
+    extended = frontier.frontier_of_running(done.seeds, sites)
+    pending = pending.unionByName(extended.select("site", "norm_url", F.col("first_seq").alias("added"), asleep.alias("wait_until")))
+    pending = frontier.new_links(pending, visited).groupBy("site", "norm_url").agg(
+        F.min("added").alias("added"), F.max("wait_until").alias("wait_until")
+    )
+    pending = stage(pending, "pending")
+    empty = budgets.exhausted_sites(sites.filter(~F.col("stopped")), pending).select("site", F.lit(True).alias("empty"))
+    sites = sites.join(empty, "site", "left").withColumn("cause", F.when(F.col("empty"), "exhausted").otherwise(F.col("cause")))
+    sites = sites.withColumn("stopped", F.col("cause") != "running").select(*known.columns)
+    return {"visited": visited, "pending": pending, "attempts": attempts, "sites": sites}

@@ -245,23 +245,29 @@ REPORT = """SELECT site, count(*) AS n_pages, count(*) FILTER (WHERE outcome = '
     coalesce(sum(n_bytes) FILTER (WHERE outcome = 'kept'), 0)::BIGINT AS kept_bytes,
     coalesce(string_agg(DISTINCT lang, ',' ORDER BY lang) FILTER (WHERE outcome = 'kept'), '') AS langs"""
 # The run: pages and links up to the stop of their site.
-RUN = f"""{JUDGED}, run_kept AS (SELECT * FROM judged WHERE outcome = 'kept'), {_scout('run_')},
-before_stop AS (SELECT j.* FROM judged j LEFT JOIN run_decisions d USING (site)
+RUN = f"""{JUDGED}, answers AS (SELECT *, min(CASE WHEN outcome <> 'robots' AND status NOT IN (408, 413, 428) THEN fetch_seq END)
+    OVER (PARTITION BY norm_url) AS final_seq FROM judged),
+run_judged AS (SELECT * REPLACE (CASE WHEN fetch_seq > final_seq THEN 'repeated' ELSE outcome END AS outcome) FROM answers),
+run_kept AS (SELECT * FROM run_judged WHERE outcome = 'kept'), {_scout('run_')},
+before_stop AS (SELECT j.* FROM run_judged j LEFT JOIN run_decisions d USING (site)
   WHERE d.stop_seq IS NULL OR j.fetch_seq <= d.stop_seq)"""
 RUN_FRESH = f"""{RUN},
 run_links AS (SELECT fetch_seq, parent_url, parent_site, href, regexp_replace({RESOLVED}, '^([^?#;]*)[?;]$', '\\1') AS link
   FROM (SELECT fetch_seq, norm_url AS parent_url, site AS parent_site,
       unnest(list_distinct(regexp_extract_all(html, {HREF}, 1))) AS href
-    FROM before_stop WHERE outcome NOT IN ('robots', 'status', 'content_type', 'no_text'))
+    FROM before_stop WHERE outcome NOT IN ('repeated', 'robots', 'status', 'content_type', 'no_text'))
   UNION ALL
   SELECT b.fetch_seq, b.norm_url, b.site, p.url, regexp_replace(p.url, '#[^#]*$', '')
   FROM before_stop b JOIN pages p ON p.page_id = b.fetch_seq + 1
-  WHERE outcome <> 'robots' AND b.status = 301),
+  WHERE outcome NOT IN ('repeated', 'robots') AND b.status = 301),
 run_normed AS (SELECT *, {_norm('link')} AS norm_url FROM run_links), run_parts AS ({_parts('run_normed', 'norm_url')}),
-fresh_urls AS (SELECT DISTINCT site, norm_url FROM run_parts
-  WHERE {_problem(CONFIG.prefix_filter)} = 'ok' AND NOT regexp_matches(norm_url, {_BLACK}) AND site = parent_site
+run_admitted AS (SELECT site, norm_url, parent_site, fetch_seq, suffix FROM run_parts
+  WHERE {_problem(CONFIG.prefix_filter)} = 'ok' AND NOT regexp_matches(norm_url, {_BLACK})
     AND {_depth('norm_url')} <= {CONFIG.max_folder_tree_depth}
-    AND norm_url NOT IN (SELECT norm_url FROM judged))"""
+    AND norm_url NOT IN (SELECT norm_url FROM judged)),
+fresh_urls AS (SELECT site, norm_url, min(fetch_seq) AS added FROM run_admitted WHERE site = parent_site GROUP BY site, norm_url),
+run_seeds AS (SELECT site, norm_url, min(fetch_seq) AS added FROM run_admitted
+  WHERE site <> parent_site AND suffix IN ({_list(CONFIG.accepted_tlds)}) GROUP BY site, norm_url)"""
 
 _ISO = ", ".join(f"('{a}', '{b}')" for a, b in ISO_639)
 _CODE = r"regexp_extract(label, '^(?:__label__)?([a-z]{2,3})(?:_[A-Za-z]{4})?$', 1)"
@@ -277,7 +283,8 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT site, count(*) AS n_seeds, min(fetch_seq) AS first_seed FROM sited GROUP BY site)""",
     "seed_frontier": f"WITH {SITED} SELECT norm_url, min(site) AS site, min(fetch_seq) AS added FROM sited GROUP BY norm_url",
     "doc_metadata": f"WITH {KEPT} SELECT norm_url AS url, 'utf-8' AS encoding, lang FROM kept",
-    "document_sink": f"WITH {KEPT} SELECT 0 AS run_id, site, fetch_seq, norm_url, lang, md5(html) AS html_md5 FROM kept",
+    "metadata_sink": f"WITH {KEPT} SELECT norm_url AS url, 'utf-8' AS encoding, lang FROM kept",
+    "document_sink": f"WITH {KEPT} SELECT 1 AS run_id, site, fetch_seq, norm_url, lang, md5(html) AS html_md5 FROM kept",
     "state_tables": f"""WITH {SITED}
         SELECT DISTINCT 'visited' AS state, site, norm_url, 0::BIGINT AS n FROM sited WHERE action = 'process'
         UNION ALL SELECT DISTINCT 'pending', site, norm_url, 0 FROM sited WHERE action IN ('retry', 'wait')
@@ -447,13 +454,22 @@ ORACLE_SQL: dict[str, str] = {
         SELECT r.*, CASE WHEN stop_seq IS NULL THEN 'running' ELSE 'scout' END AS cause, coalesce(n_pending, 0) AS n_pending
         FROM report r LEFT JOIN run_decisions USING (site) LEFT JOIN fresh USING (site)""",
     "crawl_state": f"""WITH {RUN_FRESH},
-        failed AS (SELECT site, norm_url, count(*) AS n FROM before_stop
-          WHERE outcome = 'status' AND status IN (408, 428) GROUP BY site, norm_url)
+        failed AS (SELECT site, norm_url, max(fetch_seq) AS added, count(*) FILTER (WHERE status IN (408, 413, 428)) AS n
+          FROM before_stop WHERE outcome NOT IN ('robots', 'repeated') GROUP BY site, norm_url
+          HAVING arg_max(status, fetch_seq) IN (408, 413, 428)),
+        arrived AS (SELECT site, min(added) AS first_seq FROM (
+          SELECT site, fetch_seq AS added FROM judged UNION ALL SELECT site, added FROM run_seeds) GROUP BY site),
+        open AS (SELECT site, norm_url, min(added) AS added FROM (
+          SELECT site, norm_url, added FROM fresh_urls UNION ALL SELECT site, norm_url, added FROM failed
+          UNION ALL SELECT site, norm_url, added FROM run_seeds
+            WHERE site NOT IN (SELECT site FROM run_decisions WHERE stop_seq IS NOT NULL)) GROUP BY site, norm_url)
         SELECT 'attempts' AS state, site, norm_url, n FROM failed
-        UNION ALL SELECT 'pending', site, norm_url, 0 FROM fresh_urls
-        UNION ALL SELECT 'pending', site, norm_url, 0 FROM failed
+        UNION ALL SELECT 'pending', site, norm_url, added FROM open
         UNION ALL SELECT DISTINCT 'visited', site, norm_url, 0 FROM judged
-          WHERE norm_url NOT IN (SELECT norm_url FROM failed)""",
+          WHERE norm_url NOT IN (SELECT norm_url FROM failed)
+        UNION ALL SELECT 'sites', site, CASE WHEN site IN (SELECT site FROM run_decisions WHERE stop_seq IS NOT NULL) THEN 'scout'
+          WHEN site NOT IN (SELECT site FROM open) THEN 'exhausted' ELSE 'running' END,
+          row_number() OVER (ORDER BY first_seq, site) - 1 FROM arrived""",
     "crawl_documents": f"""WITH {RUN} SELECT fetch_seq, norm_url, site, 'utf-8' AS encoding, lang, md5(html) AS html_md5
         FROM before_stop WHERE outcome = 'kept'""",
     "stream_links": f"""WITH {ADMISSION} SELECT DISTINCT norm_url, site FROM admitted

@@ -81,14 +81,25 @@ def doc_metadata(spark, sf_dir):
 
 @query
 def document_sink(spark, sf_dir):
-    """Kept documents written as a run and read back."""
+    """Kept documents written as a run and read back, after a run that kept none."""
     path = new_path(spark, "documents")
-    sinks.write_documents(inputs.kept(spark, sf_dir, with_html=True), path)
+    kept = inputs.kept(spark, sf_dir, with_html=True)
+    sinks.write_documents(kept.filter(F.lit(False)), path)
+    sinks.write_documents(kept, path)
     return sinks.read_documents(spark, path).select(
         "run_id", "site", "fetch_seq", "norm_url", "lang", F.md5("html").alias("html_md5")
     )
 
 
+@query
+def metadata_sink(spark, sf_dir):
+    """Metadata written from a finished run as compressed lines and read back."""
+    path, lines = new_path(spark, "documents"), new_path(spark, "metadata")
+    run = sinks.write_documents(inputs.kept(spark, sf_dir, with_html=True), path)
+    sinks.write_metadata_of_run(spark, path, lines, run)
+    return sinks.read_metadata(spark, lines, run)
+
+
 @query
 def state_tables(spark, sf_dir):
     """State saved and loaded: visited and pending URLs with their attempts."""
@@ -97,7 +108,9 @@ def state_tables(spark, sf_dir):
     again = content.status_action("status").isin("retry", "wait")
     key = pages.select("site", "norm_url", done.alias("done"), again.alias("again"))
     path = new_path(spark, "state")
+    running = F.lit("running").alias("cause")
     tables = {
+        "sites": inputs.sites(spark, sf_dir).select("site", "priority", "stopped", running),
         "visited": key.filter("done").select("site", "norm_url").distinct(),
         "pending": key.filter("again").select("site", "norm_url").distinct(),
         "attempts": key.filter("again").groupBy("site", "norm_url").agg(F.count(F.lit(1)).alias("n")),
@@ -577,15 +590,18 @@ def crawl_documents(spark, sf_dir):
 
 @query
 def crawl_state(spark, sf_dir):
-    """State that the whole run leaves to the next one."""
+    """State that the whole run leaves to the next one; sites with their cause in the place of a URL."""
     pages = inputs.fetched(spark, sf_dir, with_location=True)
     done = crawl.run(pages, CONFIG, inputs.model(spark, sf_dir), inputs.robots_files(spark, sf_dir))
     tables = crawl.next_state(done, CONFIG)
-    out = tables["attempts"].withColumn("state", F.lit("attempts"))
-    for name in ("visited", "pending"):
-        rows = tables[name].withColumns({"state": F.lit(name), "n": F.lit(0).cast("bigint")})
-        out = out.unionByName(rows)
-    return out.select("state", "site", "norm_url", "n")
+    parts = {
+        "attempts": tables["attempts"],
+        "visited": tables["visited"].withColumn("n", F.lit(0).cast("bigint")),
+        "pending": tables["pending"].select("site", "norm_url", F.col("added").alias("n")),
+        "sites": tables["sites"].select("site", F.col("cause").alias("norm_url"), F.col("priority").alias("n")),
+    }
+    out = [rows.select(F.lit(name).alias("state"), "site", "norm_url", "n") for name, rows in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 # Streams

@@ -22,11 +22,13 @@ _FROM_HEADERS = {"content_type": "content-type", "location": "location", "retry_
 def as_pages(df: DataFrame) -> DataFrame:
     """Bring a table of responses to the page schema.
 
-    ``fetch_seq`` may be called ``page_id``; a page has ``html`` text or ``body`` bytes. A missing status is 200, and
+    ``fetch_seq``, a number of its own for each page, may be called ``page_id``; a page has ``html`` text or ``body`` bytes. A missing status is 200, and
     what the header columns lack is taken from the ``headers`` map. Only columns that a query reads are scanned.
     """
     have = set(df.columns)
-    if "fetch_seq" not in have and "page_id" in have:
+    if "fetch_seq" not in have:
+        if "page_id" not in have:
+            raise ValueError("pages need a number, fetch_seq or page_id")
         df = df.withColumnRenamed("page_id", "fetch_seq")
         have = set(df.columns)
     out = []

@@ -1,10 +1,10 @@
 """Kept documents and their metadata as files, one run after the other.
 
-A run writes a folder ``run_id=N`` and never touches an earlier one. Rows are brought together by site and block of
-``fetch_seq``, which takes one shuffle and, unlike a range partitioning, no second evaluation of the documents for a
-sample; a very large site is spread over as many tasks as it has blocks. Documents lie in a fixed number of folders by
-hash of the site and are sorted by site in each file, so that a reader of one site opens one folder and skips most row
-groups there. One folder per site is offered as well, for runs over few sites.
+A run writes a folder ``run_id=N`` and never touches an earlier one; it counts once a marker row names it, so a failed
+run is replaced by the next and a run without documents is a run. Rows are brought together by folder with a rebalancing
+shuffle, which sizes its partitions by what it finds and splits those of a very large site. Documents lie in a fixed
+number of folders by hash of the site and are sorted by site in each file, so that a reader of one site opens one folder
+and skips most row groups there. One folder per site is offered as well, for runs over few sites; a path has one layout.
 """
 
 from __future__ import annotations
@@ -12,50 +12,74 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.ordered import SPAN
-
 SITE_BUCKETS = 32
-DOCUMENT_COLUMNS = ("site", "fetch_seq", "norm_url", "status", "content_type", "encoding", "lang", "html")
+DOCUMENT_COLUMNS = ("site", "fetch_seq", "norm_url", "status", "content_type", "encoding", "lang", "headers", "html")
+# hidden from readers of the documents
+MARKERS = "_runs"
 
 
 def _bucket(site: Column) -> Column:
     return F.pmod(F.xxhash64(site), F.lit(SITE_BUCKETS)).cast("int")
 
 
-def _clustered(documents: DataFrame, *first: str) -> DataFrame:
-    block = F.expr(f"fetch_seq div {SPAN}")
-    return documents.repartition("site", block).sortWithinPartitions(*first, "site", "fetch_seq")
+def _clustered(documents: DataFrame, folder: str) -> DataFrame:
+    order = dict.fromkeys([folder, "site", "fetch_seq"])
+    return documents.hint("rebalance", folder).sortWithinPartitions(*order)
 
 
-def next_run_id(spark: SparkSession, path: str) -> int:
-    """One more than the largest run in the folder, 0 for a new folder."""
+def runs(spark: SparkSession, path: str) -> DataFrame | None:
+    """Finished runs: ``run_id``, ``per_site`` and the columns of the documents; None when there is none."""
     try:
-        runs = spark.read.parquet(path).agg(F.max("run_id")).first()[0]
-    except AnalysisException:
-        return 0
-    return 0 if runs is None else int(runs) + 1
+        return spark.read.schema("run_id bigint, per_site boolean, columns string").parquet(f"{path}/{MARKERS}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def next_run_id(spark: SparkSession, path: str) -> int:
+    """One more than the largest finished run, 0 for a new folder."""
+    done = runs(spark, path)
+    return 0 if done is None else done.agg(F.max("run_id")).first()[0] + 1
 
 
 def write_documents(documents: DataFrame, path: str, run_id: int | None = None, per_site: bool = False) -> int:
-    """Append the documents as a new run and return its number; an existing run is never overwritten."""
-    run_id = next_run_id(documents.sparkSession, path) if run_id is None else run_id
-    columns = [c for c in DOCUMENT_COLUMNS if c in documents.columns]
-    rows = documents.select(*columns)
-    if per_site:
-        writer = _clustered(rows).write.partitionBy("site")
-    else:
-        bucketed = rows.withColumn("site_bucket", _bucket(F.col("site")))
-        writer = _clustered(bucketed, "site_bucket").write.partitionBy("site_bucket")
-    writer.mode("errorifexists").parquet(f"{path}/run_id={run_id}")
+    """Append the documents as a new run and return its number; a finished run is never overwritten."""
+    spark = documents.sparkSession
+    done = runs(spark, path)
+    if done is not None:
+        last, taken, other = done.agg(
+            F.max("run_id"), F.bool_or(F.col("run_id") == run_id) if run_id is not None else F.lit(False),
+            F.bool_or(F.col("per_site") != per_site),
+        ).first()
+        if taken:
+            raise ValueError(f"run {run_id} exists")
+        if other:
+            raise ValueError(f"the runs in {path} are {'not ' if per_site else ''}laid out per site")
+        run_id = last + 1 if run_id is None else run_id
+    run_id = run_id or 0
+    rows = documents.select(*(c for c in DOCUMENT_COLUMNS if c in documents.columns))
+    folder = "site" if per_site else "site_bucket"
+    placed = rows if per_site else rows.withColumn(folder, _bucket(F.col("site")))
+    # a folder without its marker is left from a failed run
+    _clustered(placed, folder).write.partitionBy(folder).mode("overwrite").parquet(f"{path}/run_id={run_id}")
+    columns = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
+    marker = spark.range(run_id, run_id + 1).select(
+        F.col("id").alias("run_id"), F.lit(per_site).alias("per_site"), F.lit(columns).alias("columns")
+    )
+    marker.write.mode("append").parquet(f"{path}/{MARKERS}")
     return run_id
 
 
 def read_documents(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
-    """Documents of all runs, or of one site; the filter on the site prunes folders and reaches the scan."""
-    documents = spark.read.parquet(path)
+    """Documents of all finished runs, or of one site; the filter on the site prunes folders and reaches the scan."""
+    done = [(r["run_id"], r["per_site"], r["columns"]) for r in runs(spark, path).orderBy("run_id").collect()]
+    _, per_site, columns = done[-1]
+    schema = f"{columns}, run_id int" + ("" if per_site else ", site_bucket int")
+    documents = spark.read.schema(schema).parquet(path).filter(F.col("run_id").isin([r[0] for r in done]))
     if site is not None:
         documents = documents.filter(F.col("site") == site)
-        if "site_bucket" in documents.columns:
+        if not per_site:
             documents = documents.filter(F.col("site_bucket") == _bucket(F.lit(site)))
     return documents.drop("site_bucket")
 
@@ -67,7 +91,7 @@ def metadata_rows(documents: DataFrame) -> DataFrame:
 
 def write_metadata(documents: DataFrame, path: str, run_id: int, per_site: bool = False) -> None:
     """Tab-separated, gzipped lines of URL, encoding and language."""
-    rows = _clustered(documents.select("site", "fetch_seq", "norm_url", "encoding", "lang"))
+    rows = _clustered(documents.select("site", "fetch_seq", "norm_url", "encoding", "lang"), "site")
     columns = [F.col("norm_url").alias("url"), F.col("encoding"), F.col("lang")]
     if per_site:
         columns.insert(0, F.col("site"))
@@ -77,6 +101,11 @@ def write_metadata(documents: DataFrame, path: str, run_id: int, per_site: bool
     writer.csv(f"{path}/run_id={run_id}")
 
 
+def write_metadata_of_run(spark: SparkSession, documents: str, path: str, run_id: int, per_site: bool = False) -> None:
+    """Metadata of a finished run, from the narrow columns of what it wrote: nothing is evaluated again."""
+    write_metadata(read_documents(spark, documents).filter(F.col("run_id") == run_id), path, run_id, per_site)
+
+
 def read_metadata(spark: SparkSession, path: str, run_id: int) -> DataFrame:
     return spark.read.options(sep="\t", quote="\u0000").schema("url string, encoding string, lang string").csv(
         f"{path}/run_id={run_id}"

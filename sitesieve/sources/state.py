@@ -1,4 +1,4 @@
-"""State of a run between runs: visited URLs, pending URLs and failed attempts.
+"""State of a run between runs: visited URLs, pending URLs, failed attempts and sites.
 
 Each save is a new version; a marker table written last names it, so a reader never sees half a state and a run can
 read one version while it writes the next.
@@ -11,23 +11,26 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
-TABLES = ("visited", "pending", "attempts")
+# tables by the column that spreads them
+TABLES = {"visited": "norm_url", "pending": "norm_url", "attempts": "norm_url", "sites": "site"}
 
 
 def last_version(spark: SparkSession, path: str) -> int | None:
     try:
         return spark.read.schema("version bigint").parquet(f"{path}/versions").agg(F.max("version")).first()[0]
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
 def save_state(tables: Mapping[str, DataFrame], path: str) -> int:
-    """Save the three tables, spread by URL and sorted by site, and return the version."""
+    """Save the tables, spread by URL and sorted by site, and return the version."""
     spark = tables["visited"].sparkSession
     last = last_version(spark, path)
     version = 0 if last is None else last + 1
-    for name in TABLES:
-        clustered = tables[name].repartition("norm_url").sortWithinPartitions("site", "norm_url")
+    for name, key in TABLES.items():
+        clustered = tables[name].repartition(key).sortWithinPartitions("site", key)
         # a version without its marker is left from a failed save and may be replaced
         clustered.write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
     spark.range(version, version + 1).select(F.col("id").alias("version")).write.mode("append").parquet(

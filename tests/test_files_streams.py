@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sitesieve.config import SieveConfig
@@ -40,8 +39,26 @@ def test_document_sink(spark, tmp_path, per_site):
     plan = one._jdf.queryExecution().executedPlan().toString()
     folders = plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "site" in folders if per_site else "site_bucket" in folders and "EqualTo(site,s1.com)" in plan
-    with pytest.raises(AnalysisException):
+    with pytest.raises(ValueError, match="exists"):
         sinks.write_documents(docs, path, run_id=1)
+    with pytest.raises(ValueError, match="laid out"):
+        sinks.write_documents(docs, path, per_site=not per_site)
+
+
+def test_runs_without_documents_and_failed_runs(spark, tmp_path):
+    path = str(tmp_path / "documents")
+    docs = documents(spark)
+    assert sinks.next_run_id(spark, path) == 0
+    assert sinks.write_documents(docs.limit(0), path) == 0
+    assert sinks.read_documents(spark, path).collect() == []
+    docs.write.parquet(f"{path}/run_id=1/site_bucket=0")  # a run that did not come to its end
+    assert sinks.read_documents(spark, path).count() == 0
+    assert sinks.write_documents(docs.limit(3), path) == 1
+    assert sinks.write_documents(docs.limit(0), path) == 2
+    assert sinks.read_documents(spark, path).count() == 3
+    out = str(tmp_path / "metadata")
+    sinks.write_metadata_of_run(spark, path, out, 1)
+    assert sinks.read_metadata(spark, out, 1).count() == 3
 
 
 def test_metadata_sink(spark, tmp_path):
@@ -57,7 +74,8 @@ def test_state_versions(spark, tmp_path):
     path = str(tmp_path / "state")
     assert state.load_state(spark, path) is None
     urls = spark.createDataFrame([("a.com", "http://a.com/1"), ("b.com", "http://b.com/1")], "site string, norm_url string")
-    tables = {"visited": urls, "pending": urls.limit(1), "attempts": urls.withColumn("n", F.lit(2))}
+    sites = urls.select("site", F.lit(0).alias("priority"), F.lit(False).alias("stopped"), F.lit("running").alias("cause"))
+    tables = {"visited": urls, "pending": urls.limit(1), "attempts": urls.withColumn("n", F.lit(2)), "sites": sites}
     assert state.save_state(tables, path) == 0
     loaded = state.load_state(spark, path)
     # the next version is computed from the one before
