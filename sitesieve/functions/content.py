@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+from encodings.aliases import aliases
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -21,6 +23,23 @@ MARKUP_ENTITIES = (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos
 # Characters of windows-1252 at the bytes 0x80 to 0x9F (five bytes are undefined and stay).
 WINDOWS_1252_EXTRA = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 
+# Charsets of two or four bytes a character, with their names in Spark, and those of one byte; the characters of the upper
+# half of these come from the codecs of the standard library.
+WIDE = {"utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE", "utf-16": "UTF-16", "utf-32": "UTF-32"}
+SINGLE_BYTE = (
+    *(f"windows-{n}" for n in range(1250, 1259)),
+    *(f"iso-8859-{n}" for n in (*range(2, 12), *range(13, 17))),
+    "koi8-r", "koi8-u", "cp866", "mac-roman",
+)
+UPPER_HALF = "".join(chr(b) for b in range(0x80, 0x100))
+
+
+def _upper_half(name: str) -> str:
+    """Characters of the bytes from 0x80 on; an undefined byte stays as it is."""
+    text = (bytes([b]).decode(name, "ignore") or chr(b) for b in range(0x80, 0x100))
+    return "".join(text)
+
+
 # What is not text: prolog, comments, head, scripts, styles and every other tag. One pass; an unclosed comment, script
 # or style reaches to the end, and a tag never runs past the next "<", so that the time stays linear in the page.
 NOT_TEXT = (
@@ -72,28 +91,43 @@ def _declared_charset(content_type: Column, body: Column) -> Column:
     return F.lower(F.when(from_header != "", from_header).otherwise(from_meta))
 
 
+def _labels(name: str) -> list[str]:
+    """Labels of a charset: its name and what the standard library calls it, with either kind of stroke."""
+    codec = codecs.lookup(name).name.replace("-", "_")
+    known = {name, codec, *(alias for alias, of in aliases.items() if of == codec)}
+    if name.startswith("windows-"):
+        known |= {"cp" + name[8:], "x-cp" + name[8:]}
+    return sorted({label.replace("_", "-") for label in known} | {label.replace("_", "") for label in known})
+
+
 def body_encoding(body: Column | str, content_type: Column | str) -> Column:
-    """Declared single-byte charset, else utf-8 if the bytes are valid utf-8, else iso-8859-1, which fits any bytes."""
+    """Charset of a byte order mark, else the declared one if it is known, else utf-8 if the bytes are valid utf-8, else
+    iso-8859-1, which fits any bytes. A body declared utf-8 that is not is iso-8859-1 as well."""
     body, content_type = _col(body), _col(content_type)
-    declared = _declared_charset(content_type, body)
-    return (
-        F.when(declared.isin("windows-1252", "cp1252", "x-cp1252"), F.lit("windows-1252"))
-        .when(declared.isin("iso-8859-1", "iso8859-1", "latin1", "latin-1", "l1"), F.lit("iso-8859-1"))
-        .when(F.is_valid_utf8(body.cast("string")), F.lit("utf-8"))
-        .otherwise(F.lit("iso-8859-1"))
-    )
+    marks = ((b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be"), (b"\xef\xbb\xbf", "utf-8"))
+
+    def of(declared: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for mark, name in marks:
+            out = out.when(F.startswith(body, F.lit(mark)), F.lit(name))
+        for name in (*WIDE, *SINGLE_BYTE, "iso-8859-1"):
+            out = out.when(declared.isin(*_labels(name)), F.lit(name))
+        return out.when(F.is_valid_utf8(body.cast("string")), F.lit("utf-8")).otherwise(F.lit("iso-8859-1"))
+
+    return let(F.translate(_declared_charset(content_type, body), "_", "-"), of)
 
 
 def decoded(body: Column | str, encoding: Column | str) -> Column:
-    """Text of the bytes in the encoding found by ``body_encoding``."""
+    """Text of the bytes in the encoding found by ``body_encoding``, without a byte order mark."""
     body, encoding = _col(body), _col(encoding)
     latin = F.decode(body, "ISO-8859-1")
-    low = "".join(chr(b) for b in range(0x80, 0xA0))
-    return (
-        F.when(encoding == "utf-8", body.cast("string"))
-        .when(encoding == "windows-1252", F.translate(latin, low, WINDOWS_1252_EXTRA))
-        .otherwise(latin)
-    )
+    out = F.when(encoding == "utf-8", body.cast("string"))
+    for name in WIDE:
+        # UTF-32 is read in the order of the network
+        out = out.when(encoding == name, F.decode(body, WIDE[name]))
+    for name in SINGLE_BYTE:
+        out = out.when(encoding == name, F.translate(latin, UPPER_HALF, _upper_half(name)))
+    return F.regexp_replace(out.otherwise(latin), "^\ufeff", "")
 
 
 def hrefs(html: Column | str) -> Column:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import urls
 from ..functions.tables import TWO_LABEL_SUFFIXES
 from ..session import stage
 
 HOST_COLUMNS = ("host", "suffix", "site")
+KINDS = ("normal", "wildcard", "exception")
 _ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\]|)$"
 
 
@@ -53,11 +55,14 @@ def with_host_parts(df: DataFrame, norm: str, suffixes: Sequence[str] | DataFram
 
     ``suffixes`` is a list of suffixes of several labels (the default table when None), evaluated as an expression, or
     a DataFrame of rules (``suffix``, ``kind``: ``normal``, ``wildcard`` for the rule ``*.suffix``, ``exception`` for
-    ``!suffix``), looked up by one equi-join per suffix length, without exploding rows.
+    ``!suffix``), looked up by one equi-join per suffix length, without exploding rows. Rules that are used several times
+    are made ready once by ``prepared``.
     """
     # names of hosts have no case: what they are looked up and grouped by is in lower case
     df = df.withColumn("host", F.lower(urls.host_of(F.col(norm))))
     if isinstance(suffixes, DataFrame):
+        suffixes = prepared(suffixes)
+    if isinstance(suffixes, SuffixRules):
         return _with_rules(df, suffixes)
     listed = TWO_LABEL_SUFFIXES if suffixes is None else tuple(suffixes)
     host = F.col("host")
@@ -74,14 +79,39 @@ def split_host(df: DataFrame) -> DataFrame:
     )
 
 
-def _with_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
-    kinds = ("normal", "wildcard", "exception")
-    rules = rules.groupBy(F.lower("suffix").alias("__rule")).agg(
-        *(F.bool_or(F.col("kind") == kind).alias(f"__{kind}") for kind in kinds)
-    )
-    # staged, so that the planner knows how small the rules are; the longest one decides how many joins there are
-    rules = stage(rules, "suffix_rules")
-    longest = rules.agg(F.max(F.size(F.split("__rule", r"\.")))).first()[0] or 1
+def suffix_rules(lines: DataFrame) -> DataFrame:
+    """Rules from the lines (``value``) of a list in the published format: one rule a line up to the first blank, ``//``
+    before a comment, ``*.`` before a wildcard and ``!`` before an exception."""
+    rule = F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1))
+    rows = lines.select(rule.alias("rule")).filter((F.col("rule") != "") & ~F.startswith("rule", F.lit("//")))
+    kind = F.when(F.startswith("rule", F.lit("!")), "exception").when(F.startswith("rule", F.lit("*.")), "wildcard").otherwise("normal")
+    return rows.select(F.regexp_replace("rule", r"^(?:!|\*\.)", "").alias("suffix"), kind.alias("kind")).distinct()
+
+
+def read_suffix_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Rules of a public suffix list stored as text."""
+    return suffix_rules(spark.read.text(path))
+
+
+@dataclass(frozen=True)
+class SuffixRules:
+    """Rules made ready for lookups; one instance serves a whole run."""
+
+    table: DataFrame
+    #: labels of the longest rule, which is the number of joins
+    longest: int
+
+
+def prepared(rules: DataFrame) -> SuffixRules:
+    """One row per suffix, staged so that the planner knows how few they are."""
+    kinds = (F.bool_or(F.col("kind") == kind).alias(f"__{kind}") for kind in KINDS)
+    table = stage(rules.groupBy(F.lower("suffix").alias("__rule")).agg(*kinds), "suffix_rules")
+    longest = table.agg(F.max(F.size(F.split("__rule", r"\.")))).first()[0] or 1
+    return SuffixRules(table, longest)
+
+
+def _with_rules(df: DataFrame, rules: SuffixRules) -> DataFrame:
+    kinds, longest, rules = KINDS, rules.longest, rules.table
     labels = F.size(F.split("host", r"\."))
     found, exceptions = [F.lit(1)], []
     for k in range(1, longest + 1):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import SieveConfig
 from ..functions import content
-from ..operators import budgets, frontier, language, links, pages as page_ops, robots, scout
+from ..operators import budgets, frontier, hosts, language, links, pages as page_ops, robots, scout
 from ..session import stage
 
 # ``first_seq`` of a pending URL that is a seed
@@ -115,6 +115,8 @@ def run(
     consumers, and their real sizes let the planner broadcast the stops and the denied pages to the pass over the page
     text when they are small. That pass then keeps the text where it was read.
     """
+    if isinstance(suffixes, DataFrame):
+        suffixes = hosts.prepared(suffixes)
     judged = stage(judge_pages(pages, config, model, robots_files, suffixes), "judged_fetches")
     numbered_once(judged)
     judged = stage(page_ops.mark_repeated(judged), "judged")

@@ -315,8 +315,11 @@ ORACLE_SQL: dict[str, str] = {
         FROM candidates)""",
     "status_actions": f"WITH {FETCHED} SELECT status, {ACTION} AS action, count(*) AS n FROM fetched GROUP BY 1, 2",
     "content_filter": f"WITH {FETCHED} SELECT fetch_seq, content_type FROM fetched WHERE {TYPE_OK}",
-    "doc_encoding": r"""SELECT page_id AS fetch_seq, CASE WHEN page_id % 10 = 0 AND regexp_matches(html, '[^\x00-\x7f]')
-        AND NOT regexp_matches(html, '[^\x00-\x{ff}]') THEN 'iso-8859-1' ELSE 'utf-8' END AS encoding, md5(html) AS html_md5
+    "doc_encoding": r"""SELECT page_id AS fetch_seq, CASE WHEN page_id % 10 = 2 THEN 'utf-16le' WHEN page_id % 10 = 3 THEN 'utf-16be'
+          WHEN page_id % 10 = 4 THEN 'utf-32' WHEN regexp_matches(html, '[^\x00-\x{ff}]') THEN 'utf-8'
+          WHEN page_id % 10 = 0 AND regexp_matches(html, '[^\x00-\x7f]') THEN 'iso-8859-1' WHEN page_id % 10 = 1 THEN 'iso-8859-1'
+          WHEN page_id % 10 = 5 THEN 'windows-1252' WHEN page_id % 10 = 6 THEN 'iso-8859-15'
+          WHEN page_id % 10 = 7 THEN 'windows-1254' ELSE 'utf-8' END AS encoding, md5(html) AS html_md5
         FROM pages""",
     "link_extract": f"SELECT page_id AS fetch_seq, url, unnest(regexp_extract_all(html, {HREF}, 1)) AS href FROM pages",
     "link_distinct": f"""SELECT page_id AS fetch_seq, url, unnest(list_distinct(regexp_extract_all(html, {HREF}, 1))) AS href

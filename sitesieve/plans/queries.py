@@ -225,11 +225,20 @@ def content_filter(spark, sf_dir):
 
 @query
 def doc_encoding(spark, sf_dir):
-    """Page texts as bytes, some of them in another encoding than they declare, brought back to text."""
+    """Page texts as bytes in eight encodings, one of them not declared, brought back to text."""
     pages = _raw_pages(spark, sf_dir)
-    latin = (F.col("fetch_seq") % 10 == 0) & ~F.col("html").rlike("[^\\x00-\\xff]")
-    body = F.when(latin, F.encode("html", "ISO-8859-1")).otherwise(F.encode("html", "UTF-8"))
-    stored = pages.withColumn("body", body).drop("html")
+    kind, latin = F.col("fetch_seq") % 10, ~F.col("html").rlike("[^\\x00-\\xff]")
+    cases = {
+        0: ("ISO-8859-1", None), 1: ("ISO-8859-1", "Latin1"), 2: ("UTF-16LE", "utf-16le"), 3: ("UTF-16BE", "UTF-16BE"),
+        4: ("UTF-32", "utf-32"), 5: ("ISO-8859-1", "cp1252"), 6: ("ISO-8859-1", "iso8859-15"), 7: ("ISO-8859-1", "windows-1254"),
+    }
+    body, declared = F.encode("html", "UTF-8"), F.lit(None).cast("string")
+    for case, (charset, label) in cases.items():
+        fits = (kind == case) & (latin if charset == "ISO-8859-1" else F.lit(True))
+        body = F.when(fits, F.encode("html", charset)).otherwise(body)
+        if label:
+            declared = F.when(fits, F.lit(f"text/html; charset={label}")).otherwise(declared)
+    stored = pages.withColumns({"body": body, "content_type": declared}).drop("html")
     back = page_ops.decode_body(stored)
     return back.select("fetch_seq", "encoding", F.md5("html").alias("html_md5"))
 

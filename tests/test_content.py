@@ -34,6 +34,15 @@ BODIES = [
     ("“é”".encode("cp1252"), 'text/html; charset="windows-1252"', "windows-1252", "“é”"),
     (b'<meta charset="latin1">' + "ñ".encode("latin-1"), None, "iso-8859-1", '<meta charset="latin1">ñ'),
     (b"", None, "utf-8", ""),
+    ("Привет".encode("cp1251"), "text/html; charset=windows-1251", "windows-1251", "Привет"),
+    ("Привет".encode("koi8-r"), "text/html; charset=KOI8_R", "koi8-r", "Привет"),
+    ("žluťoučký".encode("iso8859-2"), "text/html; charset=ISO-8859-2", "iso-8859-2", "žluťoučký"),
+    ("žluť".encode("cp1250"), "text/html; charset=x-cp1250", "windows-1250", "žluť"),
+    ("καλά".encode("iso8859-7"), "text/html; charset=greek8", "iso-8859-7", "καλά"),
+    ("漢字 x".encode("utf-16le"), "text/html; charset=utf-16le", "utf-16le", "漢字 x"),
+    ("漢字 x".encode("utf-16"), None, "utf-16le", "漢字 x"),
+    ("\ufeffé".encode(), None, "utf-8", "é"),
+    ("é".encode(), "text/html; charset=x-unknown", "utf-8", "é"),
 ]
 
 
@@ -48,8 +57,8 @@ def test_decode_body(spark):
 
 def test_header_map(spark):
     rows = spark.createDataFrame(
-        [("http://a.com", "x", {"Content-Type": "text/html", "LOCATION": "/n"})],
-        "url string, html string, headers map<string,string>",
+        [(1, "http://a.com", "x", {"Content-Type": "text/html", "LOCATION": "/n"})],
+        "fetch_seq int, url string, html string, headers map<string,string>",
     )
     row = as_pages(rows).first()
     assert (row.content_type, row.location, row.retry_after, row.status) == ("text/html", "/n", None, 200)

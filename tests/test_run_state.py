@@ -99,3 +99,15 @@ def test_hosts_have_no_case(spark):
     pages = spark.createDataFrame([("http://Example.com/x",), ("http://example.com/no",)], "norm_url string")
     allowed = robots.robots_allowed(hosts.with_host_parts(pages, "norm_url"), robots.robots_lookup(files, "Bot"))
     assert {r.norm_url: r.allowed for r in allowed.collect()} == {"http://Example.com/x": True, "http://example.com/no": False}
+
+
+def test_published_suffix_list(spark):
+    lines = ["// a comment", "", "com", "do", "com.do  // behind the rule", "*.ck", "!www.ck", "  co.uk", "uk", "COM.do"]
+    rules = hosts.suffix_rules(spark.createDataFrame([(x,) for x in lines], "value string"))
+    names = ["http://foo.com.do/", "http://a.b.ck/", "http://www.ck/", "http://x.y.co.uk/", "http://com/", "http://10.0.0.1/"]
+    urls = spark.createDataFrame([(x,) for x in names], "norm_url string")
+    parts = {r.norm_url: (r.suffix, r.site) for r in hosts.with_host_parts(urls, "norm_url", hosts.prepared(rules)).collect()}
+    assert parts == {
+        "http://foo.com.do/": ("com.do", "foo.com.do"), "http://a.b.ck/": ("b.ck", "a.b.ck"), "http://www.ck/": ("ck", "www.ck"),
+        "http://x.y.co.uk/": ("co.uk", "y.co.uk"), "http://com/": ("com", "com"), "http://10.0.0.1/": ("", "10.0.0.1"),
+    }
