@@ -12,15 +12,8 @@ from ..functions.binding import computed
 from .hosts import with_host_parts
 
 
-MAX_PATTERNS = 10_000
-
-
-def patterns_of(table: DataFrame, column: str = "pattern") -> list[str]:
-    """Patterns of a small table as a list for the functions here; a table that is not small is an error."""
-    rows = table.select(column).distinct().orderBy(column).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns")
-    return [row[0] for row in rows]
+# Patterns of a table that are tested as one expression.
+PATTERNS_AT_ONCE = 2_000
 
 
 def blacklisted(url: Column | str, patterns: Sequence[str]) -> Column:
@@ -29,8 +22,17 @@ def blacklisted(url: Column | str, patterns: Sequence[str]) -> Column:
     return url.rlike(urls.any_pattern(patterns)) if patterns else F.lit(False)
 
 
-def drop_blacklisted(links: DataFrame, patterns: Sequence[str], url: str = "norm_url") -> DataFrame:
-    return links.filter(~blacklisted(url, patterns))
+def drop_blacklisted(links: DataFrame, patterns: Sequence[str] | DataFrame, url: str = "norm_url") -> DataFrame:
+    """Links that no pattern matches. ``patterns`` is a list, or a table with a column ``pattern`` of any length, which is
+    fetched and tested block by block, so that each link is dropped by the first block that matches."""
+    if not isinstance(patterns, DataFrame):
+        return links.filter(~blacklisted(url, patterns))
+    known = patterns.select("pattern").filter("pattern IS NOT NULL").distinct()
+    blocks = -(-known.count() // PATTERNS_AT_ONCE)
+    for i in range(blocks):
+        block = known.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == i).orderBy("pattern").collect()
+        links = links.filter(~blacklisted(url, [row["pattern"] for row in block]))
+    return links
 
 
 def with_link_parts(links: DataFrame, suffixes: Sequence[str] | DataFrame | None = None) -> DataFrame:

@@ -3,7 +3,9 @@
 A plain window per key sends every row of a key to one task. The functions here first cut each key into blocks of
 ``span`` consecutive sequence numbers, summarise the blocks (with map-side aggregation), run the window over the small
 block summaries, and only then work inside single blocks. With unique sequence numbers a block holds at most ``span``
-rows, whatever the key holds, and the summaries are smaller than the rows by about that factor.
+rows, whatever the key holds, and the summaries are smaller than the rows by about that factor. Where numbers repeat and
+other columns decide between equal ones, blocks are instead the parts of a range partitioning by key, number and those
+columns, written out once: they are of about the same size, however many rows share a number.
 """
 
 from __future__ import annotations
@@ -12,8 +14,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stage
+
 SPAN = 1 << 18
 SPREAD = 64
+# Up to here one window cuts each key before it is shuffled (the planner's own limit for that).
+WINDOW_LIMIT = 1000
 
 _BLOCK = "__block"
 
@@ -22,6 +28,12 @@ def _block(seq: str, span: int) -> Column:
     return F.expr(f"`{seq}` div {span}")
 
 
+def ranged_blocks(df: DataFrame, keys: Sequence[str], seq: str, tie: Sequence[str]) -> DataFrame:
+    """Blocks in the order of key, ``seq`` and ``tie`` that are about equal in size."""
+    ranged = df.repartitionByRange(*keys, seq, *tie)
+    return stage(ranged.withColumn(_BLOCK, F.spark_partition_id()), "ranged")
+
+
 def running_before(
     df: DataFrame, keys: Sequence[str], seq: str, value: Column, name: str, span: int = SPAN, tie: Sequence[str] = ()
 ) -> DataFrame:
@@ -30,7 +42,11 @@ def running_before(
     ``seq`` orders the rows of a key, ``tie`` the rows of equal ``seq``.
     """
     keys = list(keys)
-    rows = df.withColumn(_BLOCK, _block(seq, span)).withColumn("__value", value.cast("bigint"))
+    rows = df.withColumn("__value", value.cast("bigint"))
+    if tie:
+        rows = ranged_blocks(rows, keys, seq, tie)
+    else:
+        rows = rows.withColumn(_BLOCK, _block(seq, span))
     earlier_blocks = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy(*keys, _BLOCK)
@@ -116,11 +132,14 @@ def top_per_key(
 ) -> DataFrame:
     """The first ``k`` rows of each key in the given order, with their place in ``name``.
 
-    Rows of a key are first spread over ``spread`` parts by a hash of the row and cut to ``k`` per part, so one task
+    Up to ``WINDOW_LIMIT`` rows, every task keeps its first ``k`` of a key before the one shuffle. Beyond it, rows of a key are first spread over ``spread`` parts by a hash of the row and cut to ``k`` per part, so one task
     never holds more of a hot key than its share, and the last step sees at most ``k * spread`` rows per key. The order
     must be total for the result to be defined.
     """
     keys = list(keys)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if k <= WINDOW_LIMIT:
+        return df.withColumn(name, place).filter(F.col(name) <= k)
     part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(spread))
     narrowed = (
         df.withColumn("__part", part)
@@ -128,5 +147,4 @@ def top_per_key(
         .filter(F.col(name) <= k)
         .drop("__part", name)
     )
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return narrowed.withColumn(name, place).filter(F.col(name) <= k)

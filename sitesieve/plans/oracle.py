@@ -375,15 +375,36 @@ ORACLE_SQL: dict[str, str] = {
               FROM moved_parts)""",
     "discovered_seeds": f"WITH {ADMISSION}, {SEEDS} SELECT site, norm_url, first_seq FROM seeds",
     "expand_sites": f"""WITH {ADMISSION}, {SEEDS},
-        ordered AS (SELECT site, row_number() OVER (ORDER BY first_page) - 1 AS priority FROM (
+        known AS (SELECT site, row_number() OVER (ORDER BY first_page) - 1 AS priority, site = 'example.org' AS stopped FROM (
           SELECT site, min(fetch_seq) AS first_page FROM sited GROUP BY site)),
-        known AS (SELECT site, priority, site = 'example.org' AS stopped FROM ordered WHERE site <> 'example.net'),
-        found AS (SELECT site, count(*) AS n_seeds, min(first_seq) AS first_seq FROM seeds GROUP BY site)
+        found AS (SELECT name AS site, count(*) AS n_seeds, min(first_seq) AS first_seq FROM (
+          SELECT CASE WHEN first_seq % 2 = 0 THEN 'new-' || site ELSE site END AS name, first_seq FROM seeds) GROUP BY name)
         SELECT site, n_seeds, CASE WHEN stopped THEN 'ignore' ELSE 'extend' END AS action, priority
         FROM found JOIN known USING (site)
         UNION ALL
         SELECT site, n_seeds, 'new', (SELECT max(priority) FROM known) + row_number() OVER (ORDER BY first_seq, site)
         FROM found WHERE site NOT IN (SELECT site FROM known)""",
+    "seed_file": """SELECT row_number() OVER (ORDER BY page_id) - 1 + skipped AS seed_seq, url FROM (
+          SELECT page_id, url, count(*) FILTER (WHERE page_id % 9 = 4) OVER (ORDER BY page_id) AS skipped FROM pages)
+        WHERE page_id % 9 <> 4""",
+    "pages_with_text": """SELECT page_id AS fetch_seq, url FROM pages WHERE page_id % 7 <> 0 AND page_id % 11 <> 1 AND html <> ''""",
+    "page_prolog": "SELECT page_id AS fetch_seq, md5(html) AS html_md5 FROM pages",
+    "link_blacklist_table": f"""WITH {LINKS}, bad AS (SELECT DISTINCT split_part(host, '.', 1) AS pattern FROM sited
+          WHERE fetch_seq % 5 = 0 AND split_part(host, '.', 1) NOT IN ('blog', 'www', 'm'))
+        SELECT fetch_seq, norm_url FROM links WHERE NOT regexp_matches(norm_url, (SELECT string_agg(pattern, '|') FROM bad))""",
+    "link_reasons": f"""WITH {SITED}, roots AS (SELECT *, regexp_extract(norm_url, '^https?://[^/?#]*') AS root FROM sited)
+        SELECT fetch_seq, CASE fetch_seq % 9 WHEN 0 THEN 7 WHEN 1 THEN length(root) + 3001 WHEN 2 THEN length(host) + 9
+            WHEN 3 THEN length(host) + 6 WHEN 4 THEN length(root) + 50 WHEN 5 THEN length(root) + 10 WHEN 6 THEN length(site) + 11
+            WHEN 7 THEN length(site) + 14 ELSE length(norm_url) END AS n_chars,
+          CASE fetch_seq % 9 WHEN 0 THEN 'empty' WHEN 1 THEN 'too_long' WHEN 2 THEN 'prefix' WHEN 3 THEN 'scheme' WHEN 4 THEN 'depth'
+            WHEN 5 THEN 'blacklist' WHEN 6 THEN 'tld' WHEN 7 THEN 'other_site' ELSE 'same_site' END AS reason
+        FROM roots WHERE fetch_seq % 9 <> 8 OR NOT regexp_matches(norm_url, {_BLACK})
+        UNION ALL SELECT fetch_seq, length(norm_url), 'blacklist' FROM roots WHERE fetch_seq % 9 = 8 AND regexp_matches(norm_url, {_BLACK})""",
+    "robots_latest": f"WITH {ROBOTS} SELECT host, policy FROM policies",
+    "robots_allowed_any_case": f"WITH {SITED}, {ROBOTS}, {ALLOWED} SELECT fetch_seq, host, allowed FROM allowed",
+    "stop_causes": f"""WITH {SITED}, h AS (SELECT host AS site, min(fetch_seq) % 5 AS n, max(fetch_seq) AS last_seq FROM sited GROUP BY host)
+        SELECT site, CASE n WHEN 0 THEN 'scout' WHEN 1 THEN 'size' WHEN 2 THEN 'time' WHEN 3 THEN 'running' ELSE 'exhausted' END AS cause,
+          CASE WHEN n <> 3 THEN last_seq END AS stop_seq FROM h""",
     "next_urls": f"""WITH {SITED},
         ordered AS (SELECT site, row_number() OVER (ORDER BY first_page) - 1 AS priority FROM (
           SELECT site, min(fetch_seq) AS first_page FROM sited GROUP BY site)),

@@ -12,7 +12,7 @@ from ..operators import (
     budgets, frontier, hosts, language, links, pages as page_ops, reach, robots, scout,
 )
 from ..session import new_path, stage, tune
-from ..sources import sinks, state
+from ..sources import seeds, sinks, state
 from ..sources.pages import as_pages
 from ..streaming.evidence import read_evidence, stream_evidence, write_evidence
 from ..streaming.frontier import stream_frontier, write_frontier
@@ -123,6 +123,33 @@ def state_tables(spark, sf_dir):
     return out.select("state", "site", "norm_url", "n")
 
 
+@query
+def seed_file(spark, sf_dir):
+    """Page URLs written as a file of seeds, with blank lines and blanks, and read back."""
+    path = new_path(spark, "seeds")
+    pages = _raw_pages(spark, sf_dir)
+    line = F.when(F.col("fetch_seq") % 9 == 4, "  ").otherwise(F.concat(F.lit(" "), "url", F.lit(" ")))
+    pages.coalesce(1).orderBy("fetch_seq").select(line.alias("value")).coalesce(1).write.text(path)
+    found = seeds.read_seeds(spark, path)
+    return found.select("seed_seq", "url")
+
+
+@query
+def pages_with_text(spark, sf_dir):
+    """Pages of which some have lost their text."""
+    number = F.col("fetch_seq")
+    text = F.when(number % 7 == 0, "").when(number % 11 == 1, F.lit(None)).otherwise(F.col("html"))
+    return page_ops.non_empty(_raw_pages(spark, sf_dir).withColumn("html", text)).select("fetch_seq", "url")
+
+
+@query
+def page_prolog(spark, sf_dir):
+    """Pages with an XML prolog before some of them, taken away again."""
+    prolog = F.when(F.col("fetch_seq") % 2 == 0, '  <?xml version="1.0" encoding="utf-8"?>').otherwise("")
+    written = _raw_pages(spark, sf_dir).select("fetch_seq", F.concat(prolog, "html").alias("html"))
+    return written.select("fetch_seq", F.md5(content.without_prolog("html")).alias("html_md5"))
+
+
 # URL functions
 
 
@@ -331,6 +358,33 @@ def link_blacklist(spark, sf_dir):
     return kept.select("fetch_seq", "norm_url")
 
 
+@query
+def link_blacklist_table(spark, sf_dir):
+    """Links without those that match a table of patterns, the first labels of some hosts."""
+    hosts_of = inputs.sited(spark, sf_dir).filter("fetch_seq % 5 = 0").select(F.split_part("host", F.lit("."), F.lit(1)).alias("pattern"))
+    kept = links.drop_blacklisted(inputs.link_parts(spark, sf_dir), hosts_of.filter("pattern <> 'blog' AND pattern <> 'www' AND pattern <> 'm'"))
+    return kept.select("fetch_seq", "norm_url")
+
+
+@query
+def link_reasons(spark, sf_dir):
+    """Links of every kind, made from the page URLs: each meets one of the reasons."""
+    pages = inputs.sited(spark, sf_dir)
+    number, own = F.col("fetch_seq"), F.col("norm_url")
+    root = urls.root_url("norm_url")
+    made = {
+        0: F.lit("http://"), 1: F.concat(root, F.lit("/"), F.repeat(F.lit("x"), 3000)), 2: F.concat(F.lit("mailto:a@"), "host"),
+        3: F.concat(F.lit("ftp://"), "host"), 4: F.concat(root, F.repeat(F.lit("/d"), 25)), 5: F.concat(root, F.lit("/spam-farm")),
+        6: F.concat(F.lit("http://"), F.col("site"), F.lit(".zz/")), 7: F.concat(F.lit("http://other-"), F.col("site"), F.lit("/")),
+    }
+    link = own
+    for case, value in made.items():
+        link = F.when(number % 9 == case, value).otherwise(link)
+    found = pages.select("fetch_seq", own.alias("parent_url"), F.col("site").alias("parent_site"), link.alias("link"))
+    judged = links.admit_links(links.with_link_parts(found), CONFIG)
+    return judged.select("fetch_seq", F.length("link").cast("bigint").alias("n_chars"), "reason")
+
+
 @query
 def link_classify(spark, sf_dir):
     classed = links.classify_links(inputs.link_parts(spark, sf_dir), ("com", "net"))
@@ -381,9 +435,11 @@ def discovered_seeds(spark, sf_dir):
 @query
 def expand_sites(spark, sf_dir):
     """Seeds for sites of which one is running, one has stopped and the rest are new."""
-    seeds = stage(frontier.discovered_seeds(inputs.admission(spark, sf_dir)), "seeds")
-    known = stage(inputs.sites(spark, sf_dir), "sites").filter(F.col("site") != "example.net")
-    return frontier.expand_sites(seeds, known).select("site", "n_seeds", "action", "priority")
+    found = stage(frontier.discovered_seeds(inputs.admission(spark, sf_dir)), "seeds")
+    # what is new: the sites of a part of the seeds under a name that no page has
+    renamed = found.withColumn("site", F.when(F.col("first_seq") % 2 == 0, F.concat(F.lit("new-"), "site")).otherwise(F.col("site")))
+    known = stage(inputs.sites(spark, sf_dir), "sites")
+    return frontier.expand_sites(renamed, known).select("site", "n_seeds", "action", "priority")
 
 
 @query
@@ -425,6 +481,27 @@ def robots_policy(spark, sf_dir):
     return robots.robots_policy(inputs.robots_files(spark, sf_dir)).select("host", "policy")
 
 
+@query
+def robots_latest(spark, sf_dir):
+    """Policy of hosts whose robots file was read twice, the first time with an error."""
+    files = inputs.robots_files(spark, sf_dir)
+    twice = files.withColumn("read_seq", F.lit(2)).unionByName(
+        files.select("host", F.lit(500).alias("status"), F.lit("").alias("body"), F.lit(1).alias("read_seq"))
+    )
+    return robots.robots_policy(twice).select("host", "policy")
+
+
+@query
+def robots_allowed_any_case(spark, sf_dir):
+    """Verdict on pages whose host is written in capitals, with the rules of the host in small letters."""
+    raw = _raw_pages(spark, sf_dir)
+    root = urls.root_url("url")
+    capital = F.concat(F.lit("http://"), F.upper(urls.url_host("url")), F.substr("url", F.length(root) + 1))
+    pages = page_ops.with_site(raw.withColumn("url", capital))
+    lookup = robots.robots_lookup(inputs.robots_files(spark, sf_dir), CONFIG.user_agent)
+    return robots.robots_allowed(pages, lookup).select("fetch_seq", "host", "allowed")
+
+
 @query
 def robots_rules(spark, sf_dir):
     return robots.robots_rules(inputs.robots_files(spark, sf_dir)).select(
@@ -536,6 +613,18 @@ def site_status(spark, sf_dir):
     return status.select("site", "cause", F.coalesce("stop_seq", F.lit(-1).cast("bigint")).alias("stop_seq"))
 
 
+@query
+def stop_causes(spark, sf_dir):
+    """Sites, one for each host, that stop for every cause, some for two at once."""
+    first = inputs.sited(spark, sf_dir).groupBy(F.col("host").alias("site")).agg(F.min("fetch_seq").alias("n"), F.max("fetch_seq").alias("last_seq"))
+    first = stage(first, "hosts")
+    at = {rest: first.filter(F.col("n") % 5 == rest).select("site", F.col("last_seq").alias("stop_seq")) for rest in range(3)}
+    both = first.filter("n % 5 = 4").select("site", (F.col("last_seq") + 1).alias("stop_seq"))
+    return budgets.site_status(
+        first.select("site", "last_seq"), at[0].unionByName(both), at[0].unionByName(at[1]), at[2], first.filter("n % 5 = 4").select("site")
+    )
+
+
 @query
 def attempt_state(spark, sf_dir):
     """One to seven failed attempts of each page, the second one final where there are two."""

@@ -140,11 +140,15 @@ def test_reachable(spark):
 
 
 def test_blacklist_from_a_table(spark):
-    patterns = links.patterns_of(spark.createDataFrame([("b",), ("a[0-9]",), ("b",)], "pattern string"))
-    assert patterns == ["a[0-9]", "b"]
+    patterns = spark.createDataFrame([("b",), ("a[0-9]",), ("b",), (None,)], "pattern string")
     rows = spark.createDataFrame([("http://a1/",), ("http://ax/",), ("http://xb/",)], "norm_url string")
     assert [r.norm_url for r in links.drop_blacklisted(rows, patterns).collect()] == ["http://ax/"]
     assert links.drop_blacklisted(rows, []).count() == 3
+    assert links.drop_blacklisted(rows, patterns.filter("false")).count() == 3
+    # a table of more patterns than are tested at once
+    many = spark.range(links.PATTERNS_AT_ONCE + 300).selectExpr("concat('n', id, '/') AS pattern")
+    rows = spark.createDataFrame([("http://n7/",), ("http://n2299/",), ("http://n2300/",)], "norm_url string")
+    assert [r.norm_url for r in links.drop_blacklisted(rows, many).collect()] == ["http://n2300/"]
 
 
 def test_seeds_get_only_two_checks(spark):

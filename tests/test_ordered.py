@@ -89,3 +89,28 @@ def test_result_does_not_depend_on_partitions(table):
     one = ordered.first_over(table.coalesce(1), ["k"], "seq", F.col("v"), 40, 7).collect()
     many = ordered.first_over(table.repartition(11), ["k"], "seq", F.col("v"), 40, 7).collect()
     assert sorted(one) == sorted(many)
+
+
+def test_many_rows_of_one_number_are_spread(spark):
+    """One site, one number and many URLs: the order within the number comes from the URL, and no block has them all."""
+    from sitesieve.operators import budgets
+
+    rows = spark.range(5000).selectExpr("'a.com' AS site", "concat('http://a.com/', id) AS norm_url", "7L AS added")
+    delays = spark.createDataFrame([("a.com", 2)], "site string, delay int")
+    slots = budgets.fetch_slots(rows, delays, F.lit("2024-01-01").cast("timestamp_ntz")).orderBy("slot").collect()
+    assert [r.slot for r in slots] == list(range(1, 5001))
+    assert [r.norm_url for r in slots] == sorted(f"http://a.com/{i}" for i in range(5000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = ordered.running_before(rows, ["site"], "added", F.lit(1), "n", tie=["norm_url"])
+        blocks = ordered.ranged_blocks(rows, ["site"], "added", ["norm_url"]).groupBy("__block").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert ranged.agg(F.sum("n")).first()[0] == 5000 * 4999 // 2
+    assert len(blocks) > 1 and max(r["count"] for r in blocks) < 3000
+
+
+def test_cut_before_the_one_shuffle(spark):
+    rows = spark.range(100).selectExpr("id % 3 AS k", "id")
+    plan = ordered.top_per_key(rows, ["k"], [F.asc("id")], 5, "place")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Partial" in plan
