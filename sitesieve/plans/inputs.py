@@ -6,10 +6,7 @@ that every operator meets all of its cases and its input grows with the tables.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
 
 from ..config import SieveConfig
 from ..operators import language, links, pages as page_ops, robots, frontier
@@ -48,14 +45,8 @@ ROBOTS_FILES = (
 )
 
 
-@lru_cache(maxsize=64)
-def _schema(spark: SparkSession, path: str) -> StructType:
-    return spark.read.parquet(path).schema
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_schema(spark, path)).parquet(path)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _cases(remainders: list[tuple[int, int, int]], default: int, number: Column) -> Column:
@@ -150,9 +141,8 @@ def other_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", written.alias("text"))
 
 
-@lru_cache(maxsize=8)
 def model(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
-    """Word profiles of the documents, trained once per session and folder."""
+    """Word profiles of the documents; every query that needs them trains them."""
     return language.profile_words(language.train_profiles(table(spark, sf_dir, "documents"), LANGS), LANGS)
 
 

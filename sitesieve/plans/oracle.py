@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import content, urls
-from ..functions.tables import ISO_639, TWO_LABEL_SUFFIXES
+from ..functions.tables import TWO_LABEL_SUFFIXES
 from . import inputs
 from .inputs import CONFIG
 
@@ -269,7 +269,8 @@ fresh_urls AS (SELECT site, norm_url, min(fetch_seq) AS added FROM run_admitted
 run_seeds AS (SELECT site, norm_url, min(fetch_seq) AS added FROM run_admitted
   WHERE site <> parent_site AND suffix IN ({_list(CONFIG.accepted_tlds)}) GROUP BY site, norm_url)"""
 
-_ISO = ", ".join(f"('{a}', '{b}')" for a, b in ISO_639)
+# languages of the documents, said here once more
+_ISO = "('eng', 'en'), ('fra', 'fr'), ('deu', 'de'), ('spa', 'es')"
 _CODE = r"regexp_extract(label, '^(?:__label__)?([a-z]{2,3})(?:_[A-Za-z]{4})?$', 1)"
 _QUOTED = (
     "replace(replace(replace(replace(replace(url_encode(path), '%3F', '?'), '%3D', '='), '%26', '&'), '%2F', '/'), "

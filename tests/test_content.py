@@ -101,7 +101,8 @@ def test_without_prolog(evaluate):
 
 
 def test_language_labels(spark):
-    labels = {"__label__eng_Latn": "en", "__label__fra": "fr", "es": "es", "__label__xyz": None, "Latn": None, "cat_Latn": "ca"}
+    labels = {"__label__eng_Latn": "en", "__label__fra": "fr", "es": "es", "__label__xyz": None, "Latn": None, "cat_Latn": "ca", "ara": "ar",
+              "__label__fas_Arab": "fa", "ind": "id", "tha": "th", "ger": "de"}
     rows = spark.createDataFrame([(v,) for v in labels], "label string")
     assert {r.label: r.lang for r in language.normalise_lang(rows, "label").collect()} == labels
 
