@@ -143,7 +143,7 @@ HOSTS = {
     "http://localhost:80/": ("", "localhost", "", "localhost"),
     "http://127.0.0.1/x": ("", "127.0.0.1", "", "127.0.0.1"),
     "http://[::1]/": ("", "[::1]", "", "[::1]"),
-    "http://WWW.Example.COM/": ("WWW", "Example", "COM", "Example.COM"),
+    "http://WWW.Example.COM/": ("www", "example", "com", "example.com"),
 }
 
 
