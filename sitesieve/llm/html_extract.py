@@ -34,7 +34,7 @@ from ..session import stage
 from .url_reputation import host_and_path
 
 LONG = 8
-CHUNK = 8 << 20
+CHUNK = 1 << 20
 COVERED = 0.5
 
 # Elements of HTML by role.
