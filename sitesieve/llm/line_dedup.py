@@ -1,6 +1,8 @@
 """Line dedup by a deletion-neighbourhood join over words.
 
-Two lines are near if one word inserted, deleted or replaced turns one into the other (edit distance at most 1 over words, white space normalised).
+Two lines are near if one word inserted, deleted or replaced turns one into the other (edit distance at most 1 over words, white space normalised)
+and both have at least ``least`` words; shorter ones match only when equal, as one word of theirs is much of what they say. The query and
+``drop_repeated_lines`` ask for ``LEAST`` words.
 Each line emits the hash of every variant with one word left out; a replaced word makes two lines of one length meet in the variant without
 that word, and a line that is a variant of a longer one meets it as a whole. Pairs are then verified on the words. In a variant of one place all
 lines are near each other, so each is linked to the earliest there only, never to all.
@@ -24,6 +26,8 @@ ANCHOR = 4
 # lines up to here may be changed in both anchors by one edit
 SHORT = 2 * ANCHOR + 1
 PARTS = 4
+#: headings, list items and table cells below this many words go only if an equal line occurs earlier
+LEAST = 5
 #: a table of at most so many rows of two hashes is broadcast; a larger one is joined by sort and merge
 BROADCAST_ROWS = 500_000
 
@@ -92,8 +96,9 @@ def _spots(texts: DataFrame) -> DataFrame:
     return cut.select("id", "n", "begin", "end", "longer", outside.alias("key"))
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(h1, h2) of the lines to which an earlier line is near."""
+def near_lines(docs: DataFrame, distinct: DataFrame, least: int = 1) -> DataFrame:
+    """(h1, h2) of the lines of at least ``least`` words to which an earlier one is near."""
+    distinct = distinct.filter(F.col("n") >= least)
     wanted = distinct.join(_candidates(distinct), list(LINE), "left_semi").select(*LINE, "first")
     # numbered in the order of their first place: partitions are in order, and so are the rows in each
     wanted = stage(wanted.orderBy("first").withColumn("id", F.monotonically_increasing_id()), "candidates")
@@ -130,8 +135,11 @@ def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return wanted.join(verified.select("id").distinct(), "id", "left_semi").select(*LINE)
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """For every row of ``docs``: doc_id, key, n_lines (with a word), n_dropped and dropped, the places of the lines that go."""
+def dropped_lines(docs: DataFrame, least: int = 1) -> DataFrame:
+    """For every row of ``docs``: doc_id, key, n_lines (with a word), n_dropped and dropped, the places of the lines that go.
+
+    Lines of fewer than ``least`` words go only if an equal one occurs earlier.
+    """
     every = lines(docs).select(
         "doc_id", "key", "place", *LINE,
         (F.char_length("line") - F.char_length(F.replace("line", F.lit(" "))) + 1).alias("n"),
@@ -143,7 +151,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         F.min(_place()).alias("first"), F.count("*").alias("times"), *(F.min(c).alias(c) for c in ("n", "prefix", "suffix"))
     )
     distinct = stage(distinct, "distinct_lines")
-    near = stage(near_lines(docs, distinct), "near_lines").withColumn("near", F.lit(True))
+    near = stage(near_lines(docs, distinct, least), "near_lines").withColumn("near", F.lit(True))
     doomed = distinct.join(near, list(LINE), "left").filter("times > 1 OR near").select(*LINE, "first", F.coalesce("near", F.lit(False)).alias("near"))
     earlier = F.col("near") | (_place() != F.col("first"))
     marked = every.join(doomed, list(LINE), "left").withColumn("goes", F.coalesce(earlier, F.lit(False)))
@@ -166,9 +174,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with the lines that go taken out of the texts; a text of which nothing goes stays as it is."""
-    gone = dropped_lines(docs).filter("n_dropped > 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("dropped").alias("__gone")).distinct()
+    gone = dropped_lines(docs, least).filter("n_dropped > 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("dropped").alias("__gone")).distinct()
     rows = docs.withColumn("__own", text_key())
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")

@@ -59,7 +59,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dropped = line_dedup.dropped_lines(table(tune(spark), sf_dir, "documents"))
+    dropped = line_dedup.dropped_lines(table(tune(spark), sf_dir, "documents"), line_dedup.LEAST)
     return dropped.select("doc_id", "n_lines", "n_dropped", F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped_lines"))
 
 

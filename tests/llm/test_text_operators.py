@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitesieve.llm import license_scan, line_dedup, quality
+from sitesieve.llm import license_scan, line_dedup, quality, queries
 
 DATA = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, line string, score double, place int"
@@ -166,3 +166,17 @@ def test_lines_of_template_family_stay_linear(spark):
     assert left.columns == docs.columns and left.count() == len(rows)
     assert left.filter("text <> ''").count() == 1
     assert line_dedup.dropped_lines(frame(spark, [])).collect() == []
+
+
+def test_short_lines_stay_unless_equal(spark, tmp_path):
+    five = "these five words stand here"
+    rows = [(1, f"Intro\nMethods\nfirst part\n{five}"), (2, "Results\nfirst step\nfirst\none two three four"), (3, "one two three five\n Intro \none two three four five")]
+    rows += [(4, f"these five words stay here\n{five} now\nfirst  part\nthese five words stand")]
+    docs = frame(spark, rows)
+    gone = {1: [], 2: [], 3: [1], 4: [0, 1, 2]}
+    assert {r.doc_id: r.dropped for r in line_dedup.dropped_lines(docs, line_dedup.LEAST).collect()} == gone
+    kept = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()} == kept
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    asked = queries.op7_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.dropped_lines for r in asked} == {i: ",".join(map(str, g)) for i, g in gone.items()}
