@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags; scripts, styles, comments, the head and markup go, character references are decoded and white
 space in a block becomes one space. What the page itself declares comes first: blocks inside menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments (by element, role, class or id) are never main text, and if there is an ``article`` or ``main`` element, only
+adverts, forms and reader comments (by element, role, class or id) are never main text (the class or id of the document, of an article and of what
+holds the longest article says nothing), and if there is an ``article`` or ``main`` element, only
 what is inside it is. Everything else is undecided, and is decided by repetition.
 
 For that the token streams of the pages of a host are concatenated, with a different mark after each page, and their suffixes are sorted to the
@@ -48,6 +49,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 # elements whose end tag may be left out: a block that starts inside ends them
 LOOSE = frozenset("p li dt dd option td th tr caption".split())
 CONTENT = frozenset(["article", "main"])
+# elements that a word of their class or id does not make boilerplate
+WHOLE = CONTENT | {"html", "body"}
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
@@ -59,7 +62,10 @@ TAG = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[/!?a-zA-Z][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+# any attribute with its whole name, so that a value is read over and data-id is not id
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# what words name such an element holds articles of readers, not the page's
+REMARKS = frozenset("comment comments reply replies disqus respond discussion".split())
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -71,10 +77,10 @@ class Block:
     content: bool
 
 
-def _declared(name: str, attributes: str, in_content: bool) -> tuple[bool, bool]:
-    """Whether an element is declared boilerplate, and whether it is declared main text."""
+def _declared(name: str, attributes: str, in_content: bool) -> tuple[bool, set[str], bool]:
+    """Whether an element is declared boilerplate, the words of its class or id if only they say so, and whether it is declared main text."""
     chrome = name in CHROME or (name == "header" and not in_content)
-    content = name in CONTENT
+    content, words = name in CONTENT, set()
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "role" and value.lower() in CHROME_ROLES):
@@ -82,31 +88,43 @@ def _declared(name: str, attributes: str, in_content: bool) -> tuple[bool, bool]
         elif (key == "role" and value.lower() in CONTENT) or (key == "itemprop" and value == "articleBody"):
             content = True
         elif key in ("class", "id"):
-            words = {w.lower() for w in PIECES.findall(value)}
-            chrome |= bool(words & CHROME_WORDS) or ("header" in words and not in_content and not content)
-    return chrome, content and not chrome
+            words |= {w.lower() for w in PIECES.findall(value)}
+    said = words & (CHROME_WORDS if in_content else CHROME_WORDS | {"header"})
+    # an article among the comments of another one is boilerplate already by what it lies in
+    return chrome, said if not (chrome or content or name in WHOLE) else set(), content and not chrome
 
 
 def blocks_of(page: str | None) -> list[Block]:
-    """The blocks of a page with text in them, in order."""
+    """The blocks of a page with text in them, in order.
+
+    Words of a class or id do not make boilerplate of what holds the longest article, unless they name comments and the page has other text.
+    """
     page = page or ""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    # outside of articles: the elements that only words mark and the article that a block lies in
+    where: list[tuple[tuple[int, ...], int | None]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
     parts: list[str] = []
     chrome = content = 0  # open elements that are declared so
+    worded: list[int] = []  # open elements that words mark, by number
+    said_of: list[set[str]] = []
+    holders: list[tuple[int, ...]] = []  # of each article
 
     def close() -> None:
         text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         if text:
             found.append(Block(text, chrome > 0, content > 0))
+            where.append((tuple(worded), len(holders) - 1 if content > 0 and holders else None))
         parts.clear()
 
     def pop(to: int) -> None:
         nonlocal chrome, content
         while len(stack) > to:
-            _, was_chrome, was_content = stack.pop()
+            _, was_chrome, was_worded, was_content = stack.pop()
             chrome -= was_chrome
             content -= was_content
+            if was_worded:
+                worded.pop()
 
     at = 0
     for m in TAG.finditer(page):
@@ -119,7 +137,7 @@ def blocks_of(page: str | None) -> list[Block]:
         is_block = name in BLOCKS
         if m[2]:  # an end tag
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if is_block or depth is not None and (stack[depth][1] or stack[depth][2]):
+            if is_block or depth is not None and any(stack[depth][1:]):
                 close()
             if depth is not None:
                 pop(depth)
@@ -132,16 +150,35 @@ def blocks_of(page: str | None) -> list[Block]:
                 pop(len(stack) - 1)
         if name in VOID:
             continue
-        said, main = _declared(name, m[4], content > 0)
-        if is_block or said or main:
-            if (said or main) and not is_block:
+        said, words, main = _declared(name, m[4], content > 0)
+        if is_block or said or words or main:
+            if (said or words or main) and not is_block:
                 close()
-            stack.append((name, said, main))
+            apart = bool(words) and content == 0
+            said = said or bool(words) and not apart
+            stack.append((name, said, apart, main))
+            if apart:
+                worded.append(len(said_of))
+                said_of.append(words)
+            if main and content == 0:
+                holders.append(tuple(worded))
             chrome += said
             content += main
     if at < len(page):
         parts.append(page[at:])
     close()
+    sizes: dict[int, int] = {}
+    for b, (_, article) in zip(found, where):
+        if article is not None and not b.chrome:
+            sizes[article] = sizes.get(article, 0) + len(b.text)
+    lifted: set[int] = set()
+    if sizes:
+        around = holders[max(sizes, key=sizes.get)]
+        other = any(not b.chrome and not marks for b, (marks, _) in zip(found, where))
+        if not (other and any(said_of[k] & REMARKS for k in around)):
+            lifted.update(around)
+    for b, (marks, _) in zip(found, where):
+        b.chrome = b.chrome or not lifted.issuperset(marks)
     return found
 
 

@@ -32,6 +32,22 @@ def test_declared_main_text():
     assert removed == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article><p style="overflow:hidden">Kept text.</p></article>', '<article><p aria-hidden="false">Kept text.</p></article>',
+        '<article><div data-id="menu" title="a class=ad hidden">Kept text.</div></article>', '<body class="has-sidebar"><article>Kept text.</article>',
+        '<body class="has-sidebar"><p>Kept text.</p>', '<article class="post comments-open"><p>Kept text.</p></article>', "<main id=search>Kept text.</main>",
+        '<h1>Site</h1><div id="search-results"><div class="header"><article>Kept text.</article></div></div>',
+        '<div class="related-work"><main>Kept text.</main></div><div class="sidebar"><article>Other</article></div><div hidden>No</div>',
+        '<div class="post">Kept text.</div><div class="comments"><article>A reader says much more than the page does.</article></div>',
+        '<article>Kept text.<div class="ad">No</div><p hidden>No</p><p HIDDEN="">No</p><p id=\'cookie-bar\'>No</p></article>',
+    ],
+)
+def test_attributes_by_whole_name_and_articles_in_marked_elements(page):
+    assert html_extract.main_text(html_extract.blocks_of(page), np.zeros(1000, bool))[0] == "Kept text."
+
+
 @pytest.mark.parametrize("page", [None, "", " \n ", "<", "<p", "<!-- open", "<script>never closed", "</p></div>", "<article>", "<a href='x>y", "&#xFFFFFFFF; &bogus;"])
 def test_broken_pages(page):
     html_extract.main_text(html_extract.blocks_of(page), np.zeros(1000, bool))
