@@ -5,8 +5,8 @@ whole part of it is taken as it is. The fractions are rounded in pairs: mass, in
 the other until one of the two is whole, which leaves the words of the pair and the expected copies of each unchanged; the other one meets
 the next document. Each source is dealt into blocks of about ``BLOCK`` documents by a hash; a block leaves at most one fractional document,
 and these residuals are combined in blocks again, up a reduction tree, until a source has one. That one is rounded to the nearer side,
-and what this adds or lacks is made up by turning smaller documents of the last block, so that the words taken come closer to the
-target than half a document. All randomness is a hash of seed, level and the pair.
+and what this adds or lacks is made up by turning smaller documents of the source, wherever they were settled, so that the words taken come
+closer to the target than the smallest document that can be turned, as far as there are such documents. All randomness is a hash of seed, level and the pair.
 
 Size of a document: runs of characters other than ASCII white space. Null text has size 0 and is never taken. A null source is a source
 of its own, last in order. Rows that repeat are rows of their own, numbered; no group of one source, hash or id is ever
@@ -130,25 +130,43 @@ def _fold(members: Column, level: int) -> Column:
     return rest
 
 
-def _closed(entries: Column) -> Column:
-    """Decide the last fractional document and make up for the words that this adds or lacks, larger documents first."""
+def _changed(decided: DataFrame, masses: DataFrame) -> DataFrame:
+    """``decided`` with documents turned so that the words of each source come closer to ``masses(of, mass)``, the larger sizes first.
 
-    def turn(acc: Column, e: Column) -> Column:
-        up = F.when(e["up"].isNull(), F.round(e["p"]).cast("int")).otherwise(e["up"])
-        words = e["unit"]["size"].cast("double")
-        over, under = (up == 1) & (words <= acc["err"]), (up == 0) & (words <= -acc["err"])
-        return F.struct(
-            F.when(over, acc["err"] - words).when(under, acc["err"] + words).otherwise(acc["err"]).alias("err"),
-            F.concat(acc["done"], F.array(F.struct(e["unit"].alias("unit"), e["p"].alias("p"), F.when(over | under, 1 - up).otherwise(up).alias("up")))).alias("done"),
-        )
-
-    def error(acc: Column, e: Column) -> Column:
-        return acc + F.when(e["up"].isNull(), (F.round(e["p"]) - e["p"]) * e["unit"]["size"]).otherwise(0.0)
+    How many documents of a size are turned follows from the number of each size; which ones, from a hash.
+    """
+    taken = decided.groupBy("source").agg(F.sum(F.col("up") * F.col("size")).alias("taken"))
+    errors = taken.join(masses, F.col("source").eqNullSafe(F.col("of"))).select("of", (F.col("taken") - F.col("mass")).alias("err"))
+    rows = decided.join(errors, F.col("source").eqNullSafe(F.col("of"))).withColumn("room", F.abs("err") + F.lit(1e-6))
+    rows = rows.filter((F.col("size") <= F.col("room")) & (F.col("up") == F.when(F.col("err") > 0, 1).otherwise(0)))
+    sizes = rows.groupBy("source", "size", "room").agg(F.count("*").alias("n"))
+    each = sizes.groupBy("source", "room").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
 
-    kind = KIND.format(id=_fold.id_type)
-    err = F.aggregate(entries, F.lit(0.0), error)
-    zero = F.struct(err.alias("err"), F.array().cast(kind).alias("done"))
-    return F.aggregate(F.sort_array(entries, asc=False), zero, turn)["done"]
+    def turn(acc: Column, e: Column) -> Column:
+        def after(k: Column) -> Column:
+            more = F.array(F.struct(e["size"].alias("size"), e["n"].alias("n"), k.alias("k")))
+            return F.struct((acc["left"] - k * e["size"]).alias("left"), F.when(k > 0, F.concat(acc["turned"], more)).otherwise(acc["turned"]).alias("turned"))
+
+        return let(F.least(e["n"], F.floor(acc["left"] / e["size"]).cast("long")), after)
+
+    none = F.array().cast("array<struct<size:bigint,n:bigint,k:bigint>>")
+    plan = each.select("source", F.explode(F.aggregate("sizes", F.struct(F.col("room").alias("left"), none.alias("turned")), turn)["turned"]).alias("e"))
+    plan = stage(plan.select(F.col("source").alias("to"), F.col("e.size").alias("words"), F.col("e.n").alias("several"), "e.k"), "turned_sizes")
+    # the first k of a size in the order of a hash, counted over small ranges of the hash, then inside of one
+    u = _uniform(F.lit(SEED), F.lit(-1), "doc_id", "key", "nth")
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("to")) & (F.col("size") == F.col("words"))).withColumn("u", u)
+    rows = rows.select("source", *UNIT, "k", "u", F.floor(F.col("u") * F.ceil(F.col("several") / BLOCK)).alias("range"))
+    ranges = rows.groupBy("source", "size", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("source").alias("to"), F.col("size").alias("words"), F.col("range").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = rows.join(ranges, F.col("source").eqNullSafe(F.col("to")) & (F.col("size") == F.col("words")) & (F.col("range") == F.col("at")))
+    place = F.row_number().over(Window.partitionBy("source", "size", "range").orderBy("u", "doc_id", "key", "nth"))
+    rows = rows.filter("before < k").withColumn("place", place + F.col("before")).filter("place <= k")
+    turned = stage(rows.select(F.col("source").alias("to"), *(F.col(c).alias(f"__{c}") for c in UNIT), F.lit(True).alias("turned")), "turned")
+    same = F.col("source").eqNullSafe(F.col("to"))
+    for c in UNIT:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return decided.join(turned, same, "left").select("source", *UNIT, F.when(F.col("turned"), 1 - F.col("up")).otherwise(F.col("up")).alias("up"))
 
 
 def rounded(fractions: DataFrame, most_rows: int) -> DataFrame:
@@ -164,18 +182,21 @@ def rounded(fractions: DataFrame, most_rows: int) -> DataFrame:
         # the larger documents of a block meet each other first
         member = F.struct((-F.col("size")).alias("rank"), F.struct("size", "doc_id", "key", "nth").alias("unit"), "p")
         most = -(-most // BLOCK)
-        close = _closed if most <= 1 else lambda entries: entries
+        # the last one of a source is rounded where the source has one block, whatever other sources have
+        up = F.when(F.col("blocks") <= 1, F.coalesce("e.up", F.round("e.p").cast("int"))).otherwise(F.col("e.up"))
         folded = (
             open_rows.groupBy("source", "blocks", block.alias("block"))
             .agg(F.sort_array(F.collect_list(member)).alias("members"))
-            .select("source", "blocks", F.explode(let(_fold(F.col("members"), level), close)).alias("e"))
-            .select("source", "blocks", "e.unit.*", "e.p", "e.up")
+            .select("source", "blocks", F.explode(_fold(F.col("members"), level)).alias("e"))
+            .select("source", "blocks", "e.unit.*", "e.p", up.alias("up"))
         )
         folded = stage(folded, f"rounded_{level}")
         done = folded.filter("up IS NOT NULL").select("source", *UNIT, "up")
         decided = done if decided is None else decided.unionByName(done)
         if most <= 1:
-            return decided
+            # p is the same for all rows of a source
+            masses = fractions.groupBy(F.col("source").alias("of")).agg((F.max("p") * F.sum("size")).alias("mass"))
+            return _changed(decided, stage(masses, "masses"))
         open_rows = folded.filter("up IS NULL").withColumn("blocks", F.ceil(F.col("blocks") / BLOCK))
         level += 1
 

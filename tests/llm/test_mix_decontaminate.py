@@ -83,6 +83,14 @@ def test_no_source_is_systematically_short_of_copies(spark):
         assert abs(r.taken - r.target) <= 10
 
 
+@pytest.mark.parametrize("small", [100, 300])
+def test_a_dominant_document_is_made_up_for_beside_a_large_source(spark, small):
+    rows = [(i, "w " * 200, "a") for i in range(small)] + [(10_000, "w " * 20_000, "a")] + [(20_000 + i, "w " * 300, "b") for i in range(1200)]
+    by = {r.source: r for r in mix.mixed(frame(spark, rows), (1, 8), 0.5).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect()}
+    for s, words in (("a", 200), ("b", 300)):
+        assert 0 < by[s].target and abs(by[s].taken - by[s].target) <= words
+
+
 def words_of(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
