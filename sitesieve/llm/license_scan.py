@@ -140,7 +140,8 @@ class Index:
         for t, starts in diagonals.items():
             m = len(self.words[t])
             band = max(4, m // 8)
-            done = -1
+            # a template whose first words are missing at the start of the text has its diagonal below zero
+            done = min(starts) - 1
             for start in sorted(set(starts)):
                 if start <= done:
                     continue

@@ -86,6 +86,21 @@ def test_scan_finds_every_template_and_its_edits(spark):
     assert license_scan.scan(frame(spark, [])).collect() == []
 
 
+def test_template_cut_off_at_the_start_of_a_text():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES:
+        words = text.split()
+        if len(words) < 12:
+            continue
+        for cut in (1, 2):
+            rest = " ".join(words[cut:])
+            found = [f for f in index.scan(rest + " and so on", 0.8) if f[0] == name]
+            m = len(license_scan.words_of(text))
+            left = len(license_scan.words_of(rest))
+            assert [(f[3], f[4]) for f in found] == [(left, left / m)]
+            assert license_scan.words_of(rest) == license_scan.words_of((rest + " and so on")[found[0][1] : found[0][2]])
+
+
 def test_winnowing_leaves_an_entry_in_every_window():
     rng = random.Random(3)
     for n in range(1, 40):
