@@ -13,7 +13,7 @@ repeated substrings; the tokens they cover are boilerplate. An undecided block o
 runs stays. Pages with equal streams are one page here, so a mirrored page does not delete itself.
 
 A host is cut into chunks of about ``CHUNK`` bytes by a hash of the page, each with its own suffix array, so no task holds a whole host.
-Substrings that repeat only between chunks are found by joining hashes of the ``LONG``-token windows of undecided pages, which are aggregated by
+Substrings that repeat only between chunks are found by joining hashes of the ``LONG``-token windows of all pages, declared ones too, which are aggregated by
 hash before they meet, and reach the chunks as marks along with the pages. The text is shuffled once.
 
 Null html is an empty page and a page without text has the empty string. Null URLs form a host of their own. Rows that repeat give a row each.
@@ -271,16 +271,13 @@ def main_text(blocks: list[Block], covered: np.ndarray) -> tuple[str, int]:
 
 
 def _marks(pages: DataFrame, long: int) -> DataFrame:
-    """(page_id, key, starts) of windows of undecided pages that occur in other pages of the host, wherever they are."""
+    """(page_id, key, starts) of windows that occur in other pages of the host, wherever they are."""
     id_type = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, page in enumerate(batch.column("html")):
-                blocks = blocks_of(page.as_py())
-                if not is_open(blocks):
-                    continue
-                tokens = stream_of(blocks)
+                tokens = stream_of(blocks_of(page.as_py()))
                 found = windows_of(tokens, long)
                 same = pa.repeat(i, found.size)
                 stream = int.from_bytes(stream_hash(tokens)[:8], "little", signed=True)

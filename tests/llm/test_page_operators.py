@@ -91,6 +91,19 @@ def test_repeated_blocks_go_within_and_across_chunks(spark, monkeypatch, chunk):
     assert html_extract.extract(frame(spark, [])).collect() == []
 
 
+def test_chunks_of_mixed_pages_give_what_one_chunk_gives(spark, monkeypatch):
+    menu = "<div>Welcome to our little site, please read all of the rules first</div>"
+    pages = [undeclared(0)[:3]]
+    pages += [(i, f"http://x.example.com/{i}", f"<body>{menu}<article><p>{undeclared(i)[3]}</p></article>") for i in range(1, 30)]
+    columns = ("page_id", "text", "n_repeated", "n_removed")
+    monkeypatch.setattr(html_extract, "CHUNK", 1 << 23)
+    whole = html_extract.extract(frame(spark, pages)).select(*columns).orderBy("page_id").collect()
+    monkeypatch.setattr(html_extract, "CHUNK", 300)
+    assert html_extract.extract(frame(spark, pages)).select(*columns).orderBy("page_id").collect() == whole
+    assert whole[0].n_removed == 1 and menu[5:12] not in whole[0].text
+    assert all(r.n_repeated == 12 for r in whole)
+
+
 def warc_rows():
     big = "<p>é" + "x" * 200_000
     return [
