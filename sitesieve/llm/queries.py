@@ -12,6 +12,7 @@ from . import (
     license_scan,
     line_dedup,
     mix,
+    prefix_trie,
     quality,
     simhash_dedup,
     url_reputation,
@@ -78,6 +79,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = prefix_trie.turns(table(tune(spark), sf_dir, "conversations"))
+    return prefix_trie.nodes(*prefix_trie.with_shared_heads(placed))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,9 +97,22 @@ QUERIES = {
         op8_warc,
         op9_mixing,
         op10_simhash_dedup,
+        op11_conversation_prefix_trie,
     )
 }
 
+# CRC-32 of lists of bytes, table by table of its 256 steps
+_CRC_TABLE = """
+    crc AS (
+        SELECT list(list_reduce([n] || range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS steps
+        FROM range(256) r(n)
+    )"""
+
+
+def _crc(of_bytes: str) -> str:
+    return f"xor(4294967295, list_reduce([4294967295] || ({of_bytes}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"
+
+
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
         WITH d AS (
@@ -140,4 +159,39 @@ ORACLE_SQL = {
                CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
         FROM g
     """,
+    "op11_conversation_prefix_trie": f"""
+        WITH {_CRC_TABLE}, said AS (
+            SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS item,
+                   length(coalesce(text, '')) AS chars
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), placed AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, item) - 1 AS pos, item, chars FROM said
+        ), conv AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS opener,
+                   {_crc("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x))")} % 6 AS h
+            FROM (SELECT DISTINCT conv_id FROM placed), crc
+        ), row_of AS (
+            SELECT c.conv_id, p.pos, 0 AS own, item, chars FROM conv c JOIN placed p ON p.conv_id = c.opener AND p.pos < c.h
+            UNION ALL SELECT c.conv_id, p.pos, 1, item, chars FROM conv c JOIN placed p ON p.conv_id = c.conv_id AND p.pos >= c.h
+        ), step AS (
+            SELECT conv_id, row_number() OVER w AS depth, chars, sha256(string_agg(item, ',') OVER w) AS node
+            FROM row_of WINDOW w AS (PARTITION BY conv_id ORDER BY own, pos ROWS UNBOUNDED PRECEDING)
+            UNION ALL SELECT conv_id, 0, 0, 'root' FROM conv
+        ), member AS (
+            SELECT *, lag(node) OVER w AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM step
+            WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+        ), node AS (
+            SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, any_value(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+            FROM member GROUP BY node
+        ), child AS (SELECT parent AS node, count(*) AS n_children FROM node GROUP BY parent),
+        below AS (
+            SELECT m.node, sum((w.n - 1) * w.chars) AS saved, count(*) FILTER (c.node IS NULL) AS leaves
+            FROM node w JOIN member m ON m.conv_id = w.conv_id AND m.depth <= w.depth LEFT JOIN child c ON c.node = w.node GROUP BY m.node
+        )
+        SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs,
+               CAST(coalesce(n_children, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+               v.ends_sha256
+        FROM node v JOIN below USING (node) LEFT JOIN child USING (node) LEFT JOIN node p ON p.node = v.parent
+    """,
 }
