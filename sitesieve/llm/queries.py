@@ -15,6 +15,7 @@ from . import (
     prefix_trie,
     quality,
     simhash_dedup,
+    spelling,
     url_reputation,
     warc,
 )
@@ -84,6 +85,10 @@ def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame
     return prefix_trie.nodes(*prefix_trie.with_shared_heads(placed))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.words(table(tune(spark), sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,6 +103,7 @@ QUERIES = {
         op9_mixing,
         op10_simhash_dedup,
         op11_conversation_prefix_trie,
+        op12_spelling_variants,
     )
 }
 
@@ -194,4 +200,33 @@ ORACLE_SQL = {
                v.ends_sha256
         FROM node v JOIN below USING (node) LEFT JOIN child USING (node) LEFT JOIN node p ON p.node = v.parent
     """,
+    "op12_spelling_variants": f"""
+        WITH RECURSIVE {_CRC_TABLE}, run AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+            FROM documents
+        ), counted AS (SELECT doc_id, run, count(*) AS c FROM run WHERE length(run) >= 6 GROUP BY ALL),
+        coded AS (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS code FROM counted),
+        marked AS (
+            SELECT run, c, {_crc("list_transform(range(length(code) // 2), lambda i: CAST('0x' || substr(code, 2 * i + 1, 2) AS BIGINT))")} AS h FROM coded, crc
+        ), word AS (
+            SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+                SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM marked
+            ) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+        ), less AS (
+            SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM word)
+        ), near AS (
+            SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT l.word, w.word FROM less l JOIN word w ON w.word = l.rest
+            UNION SELECT w.word, l.word FROM less l JOIN word w ON w.word = l.rest
+        ), ranked AS (
+            SELECT a.word, a.n, b.word AS near, b.n AS near_n, count(*) OVER (PARTITION BY a.word) AS n_near,
+                   row_number() OVER (PARTITION BY a.word ORDER BY b.n DESC, encode(b.word)) AS place
+            FROM near JOIN word a ON a.word = near.word JOIN word b ON b.word = near.near
+        ), form AS (SELECT word, near AS form, near_n AS form_n FROM ranked WHERE place = 1 AND near_n >= 5 * n),
+        path AS (
+            SELECT word, form AS onto FROM form UNION SELECT path.word, form.form FROM path JOIN form ON form.word = path.onto
+        ), root AS (SELECT word, onto AS root FROM path WHERE onto NOT IN (SELECT word FROM form))
+        SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n
+        FROM word w LEFT JOIN form USING (word) LEFT JOIN root USING (word) LEFT JOIN (SELECT word, n_near FROM ranked WHERE place = 1) USING (word)
+    """,
 }
