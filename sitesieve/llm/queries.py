@@ -11,6 +11,7 @@ from . import (
     html_extract,
     license_scan,
     line_dedup,
+    minhash_dedup,
     mix,
     prefix_trie,
     quality,
@@ -89,6 +90,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(spelling.words(table(tune(spark), sf_dir, "documents")))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(table(tune(spark), sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -104,6 +109,7 @@ QUERIES = {
         op10_simhash_dedup,
         op11_conversation_prefix_trie,
         op12_spelling_variants,
+        op13_minhash_dedup,
     )
 }
 
@@ -229,4 +235,24 @@ ORACLE_SQL = {
         SELECT w.word, form, coalesce(root, w.word) AS root, w.n, coalesce(n_near, 0) AS n_near, form_n
         FROM word w LEFT JOIN form USING (word) LEFT JOIN root USING (word) LEFT JOIN (SELECT word, n_near FROM ranked WHERE place = 1) USING (word)
     """,
+    "op13_minhash_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents
+        ), s AS (
+            SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 2, 1) + 1), lambda i: array_to_string(words[i:i + 2], ' '))) AS shingles
+            FROM w WHERE len(words) > 0
+        ), n AS (SELECT doc_id, len(shingles) AS n FROM s),
+        g AS (SELECT doc_id, n, hash(sh) AS sh FROM (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS sh FROM s)),
+        link AS (
+            SELECT a.doc_id AS u, b.doc_id AS v FROM g a JOIN g b ON a.sh = b.sh AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT u, v FROM link UNION SELECT r.u, l.v FROM reach r JOIN link l ON l.u = r.v
+        ), least AS (SELECT u AS doc_id, min(v) AS v FROM reach GROUP BY u)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(v, doc_id)) AS component_id,
+               doc_id = least(doc_id, coalesce(v, doc_id)) AS kept
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least USING (doc_id)
+    """,
 }
