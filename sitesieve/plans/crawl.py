@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import SieveConfig
-from ..functions import content
+from ..functions import content, urls
+from ..functions.binding import computed
 from ..operators import budgets, frontier, hosts, language, links, pages as page_ops, robots, scout
-from ..session import stage
+from ..session import bucketed, buckets, stage
 
 # ``first_seq`` of a pending URL that is a seed
 BEFORE_ALL_PAGES = -1
@@ -49,6 +50,43 @@ def _with_language(df: DataFrame, text: str, model: Mapping[str, Sequence[str]],
     )
 
 
+# Pages of consecutive numbers that lie in one bucket: about a file of page text
+PAGE_BLOCK = 1 << 14
+NARROW = (
+    "fetch_seq", "norm_url", "status", "content_type", "location", "retry_after", "fetch_ts", "encoding", "lang", "n_bytes", "has_text",
+)
+
+
+def read_texts(pages: DataFrame, config: SieveConfig, model: Mapping[str, Sequence[str]]) -> DataFrame:
+    """All that is ever read off the text of a page, in one pass: ``encoding``, ``n_bytes``, ``has_text``, and of eligible pages ``lang`` and
+    ``hrefs`` (each link once). ``html`` is left only where it may become a document, in a language of interest."""
+    decoded = page_ops.decode_body(pages)
+    named = computed(decoded, {"norm_url": urls.norm_url("url")})
+    parsed = named.withColumn("__text", F.when(eligible(config), F.col("html")))
+    detected = _with_language(parsed.drop("lang"), "__text", model, config)
+    found = detected.withColumns({
+        "has_text": F.coalesce(F.length("html"), F.lit(0)) > 0,
+        "hrefs": F.array_distinct(content.hrefs("__text")),
+        "html": F.when(F.col("lang").isin(*config.langs_of_interest), F.col("__text")),
+    })
+    return found.drop("__text")
+
+
+def judge_texts(
+    read: DataFrame, config: SieveConfig, robots_files: DataFrame | None = None, suffixes: Sequence[str] | DataFrame | None = None
+) -> DataFrame:
+    """One narrow row per page of ``read_texts`` with its site and outcome."""
+    narrow = hosts.with_host_parts(read.select(*(c for c in ("block", *NARROW) if c in read.columns)), "norm_url", suffixes)
+    if robots_files is not None:
+        narrow = robots.robots_allowed(narrow, robots.robots_lookup(robots_files, config.user_agent))
+    # the outcome only asks whether there is text
+    narrow = narrow.withColumn("html", F.when(F.col("has_text"), "x"))
+    judged = page_ops.page_outcomes(
+        narrow, config.langs_of_interest, config.accepted_content, "allowed" if robots_files is not None else None
+    )
+    return judged.drop("html", "has_text", "allowed", "suffix")
+
+
 def judge_pages(
     pages: DataFrame, config: SieveConfig, model: Mapping[str, Sequence[str]], robots_files: DataFrame | None = None,
     suffixes: Sequence[str] | DataFrame | None = None,
@@ -57,22 +95,7 @@ def judge_pages(
 
     The text of a page is dropped before the join with the robots rules; pages that are not eligible are not parsed.
     """
-    decoded = page_ops.with_site(page_ops.decode_body(pages), suffixes)
-    parsed = decoded.withColumn("__text", F.when(eligible(config), F.col("html")))
-    detected = _with_language(parsed, "__text", model, config)
-    narrow = detected.select(
-        "fetch_seq", "norm_url", "host", "site", "status", "content_type", "location", "retry_after", "fetch_ts",
-        "encoding", "lang",
-        "n_bytes",
-        # the outcome only asks whether there is text
-        F.left("html", F.lit(1)).alias("html"),
-    )
-    if robots_files is not None:
-        narrow = robots.robots_allowed(narrow, robots.robots_lookup(robots_files, config.user_agent))
-    judged = page_ops.page_outcomes(
-        narrow, config.langs_of_interest, config.accepted_content, "allowed" if robots_files is not None else None
-    )
-    return judged.drop("html", "allowed")
+    return judge_texts(read_texts(pages, config, model), config, robots_files, suffixes)
 
 
 def _fetched():
@@ -80,6 +103,14 @@ def _fetched():
     return ~F.col("outcome").isin("robots", "repeated")
 
 
+def with_blocks(pages: DataFrame, n_buckets: int) -> DataFrame:
+    """Add ``block``, the same for ``PAGE_BLOCK`` consecutive numbers, or fewer where buckets would stay empty."""
+    low, high = pages.agg(F.min("fetch_seq"), F.max("fetch_seq")).first()
+    span = 0 if low is None else high - low + 1
+    size = max(1, min(PAGE_BLOCK, span // (4 * n_buckets)))
+    return pages.withColumn("block", F.expr(f"fetch_seq div {size}"))
+
+
 def numbered_once(judged: DataFrame) -> None:
     """Raise unless every page has a number of its own; later steps tell pages apart by it."""
     wrong = judged.groupBy("fetch_seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR fetch_seq IS NULL").limit(1).collect()
@@ -111,26 +142,29 @@ def run(
     count for nothing. ``visited`` are URLs of earlier runs; ``seeds`` (``seed_seq``, ``url``) become pending unless they
     have been visited; ``starts`` (``site``, ``crawl_starts``) tells when sites were begun for the time budget.
 
-    The judged pages and the stops of sites are written to the shared folder: both are narrow, both have several
-    consumers, and their real sizes let the planner broadcast the stops and the denied pages to the pass over the page
-    text when they are small. That pass then keeps the text where it was read.
+    The text of a page is read once: that pass writes what it found in buckets by block of ``fetch_seq``, where it was read, without a shuffle.
+    Judging works on the narrow columns of this table; its result is written in the same buckets, so that documents and links get their site and
+    lose the pages that are denied or behind a stop in joins of bucket with bucket, however many these are. The narrow side is the one
+    that is hashed.
     """
     if isinstance(suffixes, DataFrame):
         suffixes = hosts.prepared(suffixes)
-    judged = stage(judge_pages(pages, config, model, robots_files, suffixes), "judged_fetches")
+    spark = pages.sparkSession
+    n_buckets = buckets(spark)
+    read = bucketed(read_texts(with_blocks(pages, n_buckets), config, model), "read", "block", n_buckets)
+    judged = stage(judge_texts(read, config, robots_files, suffixes), "judged_fetches")
     numbered_once(judged)
     judged = stage(page_ops.mark_repeated(judged), "judged")
     sites = stage(site_stops(judged, config, policy, starts), "sites")
-    stops = stage(sites.filter(F.col("stop_seq").isNotNull()).select("site", "stop_seq"), "stops")
-    denied = stage(judged.filter(~_fetched()).select("fetch_seq"), "denied")
+    stops = sites.filter(F.col("stop_seq").isNotNull()).select("site", "stop_seq")
     marked = judged.join(stops, "site", "left").withColumn("after_stop", F.coalesce(F.col("fetch_seq") > F.col("stop_seq"), F.lit(False))).drop("stop_seq")
+    marked = bucketed(marked.repartition(n_buckets, "block"), "marked", "block", n_buckets)
 
-    readable = page_ops.with_site(page_ops.decode_body(pages), suffixes).filter(eligible(config))
-    documents = language.keep_langs(_with_language(readable, "html", model, config), config.langs_of_interest)
-    documents = scout.apply_stops(documents.join(denied, "fetch_seq", "left_anti"), stops)
-
-    arrays = scout.apply_stops(page_ops.link_arrays(readable).join(denied, "fetch_seq", "left_anti"), stops)
-    moved = scout.apply_stops(judged.filter(_fetched()), stops)
+    going = marked.filter(_fetched() & ~F.col("after_stop")).select("block", "fetch_seq", "host", "site", "outcome").hint("shuffle_hash")
+    key = ["block", "fetch_seq"]
+    documents = read.drop("hrefs", "has_text").join(going.filter(F.col("outcome") == "kept"), key).drop("block", "outcome")
+    arrays = read.filter(F.size("hrefs") > 0).select(*key, "norm_url", "hrefs").join(going, key)
+    moved = marked.filter(_fetched() & ~F.col("after_stop"))
     found = page_ops.explode_links(arrays).unionByName(links.redirect_links(moved))
     admitted = links.admitted(links.admit_links(links.with_link_parts(found, suffixes), config))
     seen = judged.select("norm_url")
@@ -142,7 +176,7 @@ def run(
         own = own.unionByName(first.select("norm_url", F.lit(BEFORE_ALL_PAGES).alias("fetch_seq")))
     pending = frontier.new_links(frontier.dedup_links(own, suffixes), seen)
     discovered = frontier.discovered_seeds(frontier.new_links(admitted, seen))
-    return Crawl(marked, sites, documents, admitted, pending, discovered)
+    return Crawl(marked.drop("block"), sites, documents, admitted, pending, discovered)
 
 
 def _open_urls(judged: DataFrame, config: SieveConfig, before: Mapping[str, DataFrame] | None) -> DataFrame:

@@ -16,6 +16,8 @@ PLAN_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # tables bucketed by the block of a page meet on block and number without an exchange
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
     # state of streams on local disk and in the checkpoint, not on the heap
     "spark.sql.streaming.stateStore.providerClass": (
@@ -64,3 +66,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def buckets(spark: SparkSession) -> int:
+    """Buckets of tables that are to meet: as many as the shuffle has partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """Write a table to the shared folder in ``n`` buckets by ``key``, each task its own files, and read it back.
+
+    Nothing is shuffled: a task writes a file for each bucket it has rows of, so ``key`` should follow the order in which rows are stored. Tables
+    with the same buckets join on the key without an exchange.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(n, key).option("path", new_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
