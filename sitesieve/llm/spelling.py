@@ -5,7 +5,7 @@ The letters are put into ``GROUPS``; a word is the vector of how many of its let
 and a depth-first search for a word follows the branches that spend at most one surplus and one deficit; the words at the leaves it reaches
 are verified letter by letter.
 
-The counts of the first ``TOP`` groups are the top of the trie and tell which cell a word lies in. Each word is looked for in its own cell and in
+Sums of the counts of the first ``TOP`` pairs of groups, the coarse top of the trie, tell which cell a word lies in. Each word is looked for in its own cell and in
 the cells that one surplus and one deficit lead to; of the two ways to meet between two cells only the upward one is taken. Cells with more than ``TILE`` words are cut into tiles by
 hash and asked tile by tile, so a task holds the trie of one tile, however many words share their counts. A word has a bounded number of neighbours (its length times the alphabet), so links
 grow with the words.
@@ -27,8 +27,8 @@ from .common import text_of
 RUN = "[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: letters of each group; the last group holds all others
-GROUPS = ("ea", "ti", "no", "rs", "hl", "du", "cm", "gpf", "bvwy")
-#: groups whose counts make the cell
+GROUPS = ("e", "a", "t", "i", "n", "o", "r", "s", "h", "l", "d", "u", "cm", "gpf", "bvwy")
+#: pairs of groups whose counts make the cell
 TOP = 4
 #: words in the trie of a task
 TILE = 20_000
@@ -69,7 +69,7 @@ def _cell(step: tuple[int, ...]) -> Column:
     """Number of the cell that differs by ``step`` from that of ``counts``; null where a count would be below zero."""
     number, possible = F.lit(0).cast("long"), F.lit(True)
     for i, change in enumerate(step):
-        count = F.least(F.col("counts")[i], F.lit(MOST)).cast("long") + change
+        count = F.least(F.col("counts")[2 * i] + F.col("counts")[2 * i + 1], F.lit(MOST)).cast("long") + change
         number = number * (MOST + 2) + count
         if change < 0:
             possible = possible & (count >= 0)
@@ -101,17 +101,24 @@ def is_near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else i < end and a[i + 1 :] == b[i + 1 :]
 
 
-def trie_of(members: list[tuple[list[int], str, int]]) -> dict:
-    """Nested by the counts of one group after the other; leaves are lists of (word, n)."""
+def trie_of(members: list[tuple[str, str, int]]) -> dict:
+    """Nested by the counts of one group after the other, from (counts, word, n); leaves are lists of (word, n)."""
     root: dict = {}
-    for counts, word, n in members:
-        node = root
-        for count in counts[:-1]:
-            node = node.setdefault(count, {})
-        node.setdefault(counts[-1], []).append((word, n))
+    at, leaf = None, None
+    for written, word, n in members:
+        if written != at:
+            at, node, counts = written, root, parsed(written)
+            for count in counts[:-1]:
+                node = node.setdefault(count, {})
+            leaf = node.setdefault(counts[-1], [])
+        leaf.append((word, n))
     return root
 
 
+def parsed(counts: str) -> list[int]:
+    return [int(count) for count in counts.split(",")]
+
+
 def within_budget(root: dict, counts: list[int]) -> list[tuple[str, int]]:
     """The words whose counts have at most one surplus and one deficit against ``counts``, depth first."""
     found, depth = [], len(counts)
@@ -136,16 +143,18 @@ NEAR = "word string, n long, near string, near_n long"
 
 def near_words(vocabulary: DataFrame, tile: int = TILE) -> DataFrame:
     """word, n, near, near_n of all pairs of near words of ``vocabulary`` (word, n), in both directions."""
-    counted = vocabulary.select("word", "n", vector().alias("counts")).withColumn("cell", _cell((0,) * TOP))
-    counted = stage(counted, "counted")
+    counted = vocabulary.select("word", "n", vector().alias("counts"))
+    # counts travel as text: most rows share them with the row before, and are not taken apart again
+    written = F.array_join(F.col("counts").cast("array<string>"), ",")
+    asked = [F.struct(_cell((0,) * TOP).alias("cell"), F.lit(1).alias("role"))]
+    asked += [F.struct(_cell(step).alias("cell"), F.lit(2).alias("role")) for step in _steps_up()]
+    counted = stage(counted.select("word", "n", written.alias("counts"), _cell((0,) * TOP).alias("cell"), F.array(*asked).alias("asked")), "counted")
     cells = counted.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     # 0: in the trie, 1: asked in the own cell, 2: asked in a cell further up
     members = counted.join(cells, "cell").select(
         "cell", F.pmod(F.xxhash64("word"), F.col("tiles").cast("long")).cast("int").alias("tile"), F.lit(0).alias("role"), "counts", "word", "n"
     )
-    asked = [F.struct(_cell((0,) * TOP).alias("cell"), F.lit(1).alias("role"))]
-    asked += [F.struct(_cell(step).alias("cell"), F.lit(2).alias("role")) for step in _steps_up()]
-    probes = counted.select("counts", "word", "n", F.explode(F.array(*asked)).alias("at")).select("at.cell", "at.role", "counts", "word", "n")
+    probes = counted.select("counts", "word", "n", F.explode("asked").alias("at")).select("at.cell", "at.role", "counts", "word", "n")
     probes = probes.join(cells, "cell").select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "role", "counts", "word", "n"
     )
@@ -163,7 +172,7 @@ def near_words(vocabulary: DataFrame, tile: int = TILE) -> DataFrame:
                 if root is None:
                     root, members = trie_of(members), []
                 if counts != last:
-                    last, reached = counts, within_budget(root, counts)
+                    last, reached = counts, within_budget(root, parsed(counts))
                 for other, m in reached:
                     if is_near(word, other):
                         out.append((word, n, other, m))
