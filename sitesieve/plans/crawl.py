@@ -57,9 +57,11 @@ NARROW = (
 )
 
 
-def read_texts(pages: DataFrame, config: SieveConfig, model: Mapping[str, Sequence[str]]) -> DataFrame:
-    """All that is ever read off the text of a page, in one pass: ``encoding``, ``n_bytes``, ``has_text``, and of eligible pages ``lang`` and
-    ``hrefs`` (each link once). ``html`` is left only where it may become a document, in a language of interest."""
+def read_texts(
+    pages: DataFrame, config: SieveConfig, model: Mapping[str, Sequence[str]], policy: scout.SitePolicy | None = None
+) -> DataFrame:
+    """All that is ever read off the text of a page, in one pass: ``encoding``, ``n_bytes``, ``has_text``, of eligible pages ``lang`` and
+    ``hrefs`` (each link once), and what a page in a language of interest gives to the state of its site under ``policy``. ``html`` is left only where it may become a document, in a language of interest."""
     decoded = page_ops.decode_body(pages)
     named = computed(decoded, {"norm_url": urls.norm_url("url")})
     parsed = named.withColumn("__text", F.when(eligible(config), F.col("html")))
@@ -69,14 +71,16 @@ def read_texts(pages: DataFrame, config: SieveConfig, model: Mapping[str, Sequen
         "hrefs": F.array_distinct(content.hrefs("__text")),
         "html": F.when(F.col("lang").isin(*config.langs_of_interest), F.col("__text")),
     })
-    return found.drop("__text")
+    found = found.drop("__text")
+    return found if policy is None else scout.measured(found, policy)
 
 
 def judge_texts(
-    read: DataFrame, config: SieveConfig, robots_files: DataFrame | None = None, suffixes: Sequence[str] | DataFrame | None = None
+    read: DataFrame, config: SieveConfig, robots_files: DataFrame | None = None, suffixes: Sequence[str] | DataFrame | None = None,
+    more: Sequence[str] = (),
 ) -> DataFrame:
-    """One narrow row per page of ``read_texts`` with its site and outcome."""
-    narrow = hosts.with_host_parts(read.select(*(c for c in ("block", *NARROW) if c in read.columns)), "norm_url", suffixes)
+    """One narrow row per page of ``read_texts`` with its site and outcome; ``more`` names columns to carry along."""
+    narrow = hosts.with_host_parts(read.select(*(c for c in ("block", *NARROW, *more) if c in read.columns)), "norm_url", suffixes)
     if robots_files is not None:
         narrow = robots.robots_allowed(narrow, robots.robots_lookup(robots_files, config.user_agent))
     # the outcome only asks whether there is text
@@ -119,12 +123,15 @@ def numbered_once(judged: DataFrame) -> None:
 
 
 def site_stops(
-    judged: DataFrame, config: SieveConfig, policy: scout.Policy = scout.languages_policy, starts: DataFrame | None = None
+    judged: DataFrame, config: SieveConfig, policy: scout.Policy | scout.SitePolicy = scout.languages_policy, starts: DataFrame | None = None
 ) -> DataFrame:
     """Why and where each site stops, by scout and budgets; ``starts`` (``site``, ``crawl_starts``) of sites begun earlier."""
     kept = judged.filter(F.col("outcome") == "kept")
     allowed = judged.filter(_fetched())
-    decisions = scout.scout_decision(scout.scout_steps(kept, config.scout_steps), config, policy)
+    if isinstance(policy, scout.SitePolicy):
+        decisions = scout.policy_decision(kept, policy)
+    else:
+        decisions = scout.scout_decision(scout.scout_steps(kept, config.scout_steps), config, policy)
     size = None if config.max_size_per_site is None else budgets.size_budget(kept, config.max_size_per_site)
     time = None if config.max_time_per_site is None else budgets.time_budget(allowed, config.max_time_per_site, starts)
     sites = judged.groupBy("site").agg(F.max("fetch_seq").alias("last_seq"))
@@ -134,13 +141,14 @@ def site_stops(
 def run(
     pages: DataFrame, config: SieveConfig, model: Mapping[str, Sequence[str]], robots_files: DataFrame | None = None,
     suffixes: Sequence[str] | DataFrame | None = None, visited: DataFrame | None = None,
-    policy: scout.Policy = scout.languages_policy, seeds: DataFrame | None = None, starts: DataFrame | None = None,
+    policy: scout.Policy | scout.SitePolicy = scout.languages_policy, seeds: DataFrame | None = None, starts: DataFrame | None = None,
 ) -> Crawl:
     """Compose a run.
 
     Each page has its own ``fetch_seq``; of several fetches of a URL those behind its final answer are ``repeated`` and
     count for nothing. ``visited`` are URLs of earlier runs; ``seeds`` (``seed_seq``, ``url``) become pending unless they
-    have been visited; ``starts`` (``site``, ``crawl_starts``) tells when sites were begun for the time budget.
+    have been visited; ``starts`` (``site``, ``crawl_starts``) tells when sites were begun for the time budget. The measures of a ``SitePolicy``
+    may use every column of a page, its text included.
 
     The text of a page is read once: that pass writes what it found in buckets by block of ``fetch_seq``, where it was read, without a shuffle.
     Judging works on the narrow columns of this table; its result is written in the same buckets, so that documents and links get their site and
@@ -151,8 +159,10 @@ def run(
         suffixes = hosts.prepared(suffixes)
     spark = pages.sparkSession
     n_buckets = buckets(spark)
-    read = bucketed(read_texts(with_blocks(pages, n_buckets), config, model), "read", "block", n_buckets)
-    judged = stage(judge_texts(read, config, robots_files, suffixes), "judged_fetches")
+    own = policy if isinstance(policy, scout.SitePolicy) else None
+    measures = [] if own is None else list(own.measures)
+    read = bucketed(read_texts(with_blocks(pages, n_buckets), config, model, own), "read", "block", n_buckets)
+    judged = stage(judge_texts(read, config, robots_files, suffixes, measures), "judged_fetches")
     numbered_once(judged)
     judged = stage(page_ops.mark_repeated(judged), "judged")
     sites = stage(site_stops(judged, config, policy, starts), "sites")
@@ -162,7 +172,7 @@ def run(
 
     going = marked.filter(_fetched() & ~F.col("after_stop")).select("block", "fetch_seq", "host", "site", "outcome").hint("shuffle_hash")
     key = ["block", "fetch_seq"]
-    documents = read.drop("hrefs", "has_text").join(going.filter(F.col("outcome") == "kept"), key).drop("block", "outcome")
+    documents = read.drop("hrefs", "has_text", *measures).join(going.filter(F.col("outcome") == "kept"), key).drop("block", "outcome")
     arrays = read.filter(F.size("hrefs") > 0).select(*key, "norm_url", "hrefs").join(going, key)
     moved = marked.filter(_fetched() & ~F.col("after_stop"))
     found = page_ops.explode_links(arrays).unionByName(links.redirect_links(moved))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import SieveConfig
-from ..operators import language, links, pages as page_ops, robots, frontier
+from ..operators import language, links, pages as page_ops, robots, frontier, scout
 from ..sources.pages import as_pages
 
 LANGS = ("de", "en", "es", "fr")
@@ -28,6 +28,21 @@ CONFIG = SieveConfig(
 )
 SIZE_BUDGET_MB = 0.1
 TIME_BUDGET_S = 600
+# A site is judged when it has so many bytes of documents, one of them of some length, and goes on with three languages, or
+# two if no document holds half of it.
+POLICY_BYTES = 8_000
+POLICY_LONGEST = 1_500
+POLICY = scout.SitePolicy(
+    {
+        "n_docs": scout.Measure("1"),
+        "bytes": scout.Measure("n_bytes"),
+        "n_langs": scout.Measure("lang", "distinct"),
+        "longest": scout.Measure("n_bytes", "max"),
+        "first_fetch": scout.Measure("fetch_seq", "min"),
+    },
+    ready=lambda state: (state["bytes"] >= POLICY_BYTES) & (state["longest"] >= POLICY_LONGEST),
+    keep=lambda state: (state["n_langs"] >= 3) | ((state["n_langs"] >= 2) & (state["longest"] * 2 <= state["bytes"])),
+)
 START = "2024-01-01 00:00:00"
 NOW = "2024-01-01 00:20:00"
 

@@ -155,7 +155,7 @@ detected AS (SELECT s.fetch_seq, len(s.words) AS n_words, best_lang, coalesce(be
   FROM split s LEFT JOIN picked USING (fetch_seq))"""
 READABLE = f"action = 'process' AND {TYPE_OK} AND length(html) > 0"
 KEPT = f"""{SITED}, {SCORES}, kept AS (
-  SELECT fetch_seq, norm_url, site, lang, strlen(html)::BIGINT AS n_bytes, html
+  SELECT fetch_seq, norm_url, host, site, lang, strlen(html)::BIGINT AS n_bytes, html
   FROM sited JOIN detected USING (fetch_seq) WHERE {READABLE} AND lang IN ({_WANTED}))"""
 
 
@@ -277,6 +277,20 @@ _QUOTED = (
     "'%25', '%')"
 )
 
+POLICY = f"""hosted AS (SELECT host AS site, fetch_seq, lang, n_bytes FROM kept),
+folded AS (
+  SELECT site, fetch_seq, count(*) OVER w AS n_docs, CAST(sum(n_bytes) OVER w AS BIGINT) AS bytes, CAST(sum(new) OVER w AS BIGINT) AS n_langs,
+    max(n_bytes) OVER w AS longest, min(fetch_seq) OVER w AS first_fetch
+  FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY site, lang ORDER BY fetch_seq) = 1 THEN 1 ELSE 0 END AS new FROM hosted)
+  WINDOW w AS (PARTITION BY site ORDER BY fetch_seq)),
+ready AS (SELECT *, bytes >= {inputs.POLICY_BYTES} AND longest >= {inputs.POLICY_LONGEST} AS judged FROM folded),
+decided AS (
+  SELECT *, row_number() OVER (PARTITION BY site ORDER BY judged DESC, CASE WHEN judged THEN fetch_seq ELSE -fetch_seq END) AS place,
+    NOT judged OR n_langs >= 3 OR (n_langs >= 2 AND longest * 2 <= bytes) AS keep
+  FROM ready),
+verdicts AS (SELECT site, n_docs, bytes, n_langs, longest, first_fetch, judged, keep, CASE WHEN keep THEN -1 ELSE fetch_seq END AS stop_seq
+  FROM decided WHERE place = 1)"""
+
 ORACLE_SQL: dict[str, str] = {
     "pages_scan": f"WITH {FETCHED} SELECT fetch_seq, url, status, content_type, strlen(html)::BIGINT AS n_bytes FROM fetched",
     "page_headers": f"WITH {FETCHED} SELECT fetch_seq, content_type, retry_after FROM fetched",
@@ -433,6 +447,9 @@ ORACLE_SQL: dict[str, str] = {
         coalesce(stop_seq, -1) AS stop_seq FROM decisions""",
     "scout_apply": f"""WITH {SCOUT} SELECT fetch_seq, site, norm_url FROM sited LEFT JOIN decisions USING (site)
         WHERE stop_seq IS NULL OR fetch_seq <= stop_seq""",
+    "scout_policy": f"""WITH {KEPT}, {POLICY} SELECT site, n_docs, bytes, n_langs, longest, first_fetch, judged, keep, stop_seq FROM verdicts""",
+    "stream_policy": f"""WITH {KEPT}, {POLICY} SELECT h.site, lang, fetch_seq, n_bytes FROM hosted h JOIN verdicts v USING (site)
+      WHERE stop_seq = -1 OR fetch_seq <= stop_seq""",
     "scout_links": f"""WITH {CANDIDATES}, {SCORES}, kept AS (
           SELECT fetch_seq, norm_url, site, lang FROM sited JOIN detected USING (fetch_seq)
           WHERE {READABLE} AND lang IN ({_WANTED})), {_scout()}

@@ -563,6 +563,14 @@ def scout_apply(spark, sf_dir):
     return scout.apply_stops(pages, _decisions(spark, sf_dir))
 
 
+@query
+def scout_policy(spark, sf_dir):
+    """Verdicts of a policy over bytes and languages, on hosts taken as sites."""
+    kept = inputs.kept(spark, sf_dir).select(F.col("host").alias("site"), "fetch_seq", "lang", "n_bytes")
+    decided = scout.policy_decision(scout.measured(kept, inputs.POLICY), inputs.POLICY)
+    return decided.withColumn("stop_seq", F.coalesce("stop_seq", F.lit(-1).cast("bigint")))
+
+
 @query
 def scout_links(spark, sf_dir):
     """Links of the pages up to the stop of their site, pages in other languages included."""
@@ -731,6 +739,22 @@ def stream_scouted(spark, sf_dir):
     return read_scouted(spark, path).select("site", "lang", "fetch_seq", "norm_url")
 
 
+@query
+def stream_policy(spark, sf_dir):
+    """Documents that pass a policy over bytes and languages, on hosts taken as sites, read as a stream of several batches in the order of fetching."""
+    path, kept_state, source = new_path(spark, "scouted"), new_path(spark, "scout_state"), new_path(spark, "kept")
+    kept = inputs.kept(spark, sf_dir).select(F.col("host").alias("site"), "lang", "fetch_seq", "n_bytes")
+    kept = stage(kept, "kept")
+    bounds = kept.agg(F.min("fetch_seq"), F.max("fetch_seq")).first()
+    # pages arrive in four parts, one after the other
+    for part in range(4):
+        low, high = (bounds[0] + (bounds[1] + 1 - bounds[0]) * i // 4 for i in (part, part + 1))
+        kept.filter((F.col("fetch_seq") >= low) & (F.col("fetch_seq") < high)).write.parquet(f"{source}/part={part}")
+        arrived = stream_parquet(spark, f"{source}/*", kept.schema)
+        stream_scout(arrived, CONFIG, path, kept_state, inputs.POLICY).awaitTermination()
+    return read_scouted(spark, path).select("site", "lang", "fetch_seq", "n_bytes")
+
+
 @query
 def stream_lang_evidence(spark, sf_dir):
     """Running counts of kept documents per site and language after the stream has been read."""
