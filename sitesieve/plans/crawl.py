@@ -12,6 +12,7 @@ from ..functions import content, urls
 from ..functions.binding import computed
 from ..operators import budgets, frontier, hosts, language, links, pages as page_ops, robots, scout
 from ..session import bucketed, buckets, stage
+from ..sources import state
 
 # ``first_seq`` of a pending URL that is a seed
 BEFORE_ALL_PAGES = -1
@@ -257,3 +258,59 @@ def next_state(done: Crawl, config: SieveConfig, before: Mapping[str, DataFrame]
     sites = sites.join(empty, "site", "left").withColumn("cause", F.when(F.col("empty"), "exhausted").otherwise(F.col("cause")))
     sites = sites.withColumn("stopped", F.col("cause") != "running").select(*known.columns)
     return {"visited": visited, "pending": pending, "attempts": attempts, "sites": sites}
+
+
+def next_changes(done: Crawl, config: SieveConfig, before: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """What a run changes in the state ``before`` (as loaded), ready for ``save_changes``: the tables of ``next_state`` with the column ``gone``.
+
+    Rows are those of this run: URLs it met, URLs it found, sites it touched. The visited URLs of earlier runs are asked through their filter,
+    and of the pending ones and the sites only those that the run names are looked at beyond their key.
+    """
+    columns = ["site", "norm_url", "added", "wait_until"]
+    asleep = F.lit(None).cast("timestamp_ntz")
+    again = stage(_open_urls(done.judged, config, before), "open_urls")
+    fetched = stage(done.judged.filter(_fetched() & ~F.col("after_stop")).select("norm_url").distinct(), "fetched")
+    # visited: what this run met and is done with; a URL that asks to be fetched again is no longer visited
+    met = done.judged.select("site", "norm_url").join(again.select("norm_url"), "norm_url", "left_anti").select("site", "norm_url").distinct()
+    met = stage(met, "met")
+    new = state.not_visited(met, before)
+    reopened = before["visited"].join(again.select("norm_url"), "norm_url", "left_semi").select("site", "norm_url")
+    visited = new.withColumn("gone", F.lit(False)).unionByName(reopened.withColumn("gone", F.lit(True)))
+
+    failed = again.select("site", "norm_url", "n").withColumn("gone", F.lit(False))
+    settled = before["attempts"].join(fetched, "norm_url", "left_semi").join(again.select("norm_url"), "norm_url", "left_anti")
+    attempts = failed.unionByName(settled.select("site", "norm_url", "n").withColumn("gone", F.lit(True)))
+
+    known = before["sites"].select("site", "priority", "stopped", "cause")
+    arrived = done.judged.select("site", "norm_url", F.col("fetch_seq").alias("first_seq")).unionByName(
+        done.seeds.select("site", "norm_url", "first_seq")
+    )
+    expanded = frontier.expand_sites(arrived, known).filter(F.col("action") == "new")
+    added = expanded.select("site", "priority", F.lit(False).alias("stopped"), F.lit("running").alias("cause"))
+    causes = done.sites.filter(F.col("cause") != "running").select("site", F.col("cause").alias("now"))
+    touched = stage(arrived.select("site").union(done.pending.select("site")).distinct(), "touched")
+    sites = known.join(touched, "site", "left_semi").unionByName(added).join(causes, "site", "left")
+    cause = F.when(F.col("stopped"), F.col("cause")).otherwise(F.coalesce("now", F.col("cause")))
+    sites = stage(sites.withColumn("cause", cause).withColumn("stopped", F.col("cause") != "running").drop("now"), "touched_sites")
+
+    # pending: what arrives and is not visited, merged with what was pending and not fetched
+    found = done.pending.select("site", "norm_url", F.col("first_seq").alias("added"), asleep.alias("wait_until"))
+    onward = frontier.frontier_of_running(done.seeds, sites)
+    found = found.unionByName(onward.select("site", "norm_url", F.col("first_seq").alias("added"), asleep.alias("wait_until")))
+    found = state.not_visited(found.join(met, "norm_url", "left_anti").select(*columns), before)
+    arrivals = stage(found.unionByName(again.select(*columns)), "arrivals")
+    old = before["pending"].select(*columns)
+    named = arrivals.select("norm_url").distinct()
+    merged = arrivals.unionByName(old.join(named, "norm_url", "left_semi").join(fetched, "norm_url", "left_anti").select(*columns))
+    merged = merged.groupBy("site", "norm_url").agg(F.min("added").alias("added"), F.max("wait_until").alias("wait_until"))
+    merged = stage(merged, "merged")
+    taken = fetched.unionByName(met.select("norm_url")).distinct().join(named, "norm_url", "left_anti")
+    removed = stage(old.join(taken, "norm_url", "left_semi").select(*columns), "removed")
+    pending = merged.withColumn("gone", F.lit(False)).unionByName(removed.withColumn("gone", F.lit(True)))
+
+    # only a touched site can have lost its last pending URL
+    still = old.join(touched, "site", "left_semi").join(removed.select("norm_url"), "norm_url", "left_anti").select(*columns).unionByName(merged)
+    empty = budgets.exhausted_sites(sites.filter(~F.col("stopped")), still).select("site", F.lit(True).alias("empty"))
+    sites = sites.join(empty, "site", "left").withColumn("cause", F.when(F.col("empty"), "exhausted").otherwise(F.col("cause")))
+    sites = sites.withColumn("stopped", F.col("cause") != "running").select("site", "priority", "stopped", "cause", F.lit(False).alias("gone"))
+    return {"visited": visited, "pending": pending, "attempts": attempts, "sites": sites}

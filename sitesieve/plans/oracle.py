@@ -304,6 +304,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT DISTINCT 'visited' AS state, site, norm_url, 0::BIGINT AS n FROM sited WHERE action = 'process'
         UNION ALL SELECT DISTINCT 'pending', site, norm_url, 0 FROM sited WHERE action IN ('retry', 'wait')
         UNION ALL SELECT 'attempts', site, norm_url, count(*) FROM sited WHERE action IN ('retry', 'wait') GROUP BY 2, 3""",
+    "state_versions": f"""WITH {SITED}, part AS (
+        SELECT *, (fetch_seq - min(fetch_seq) OVER ()) * 3 // (max(fetch_seq) OVER () - min(fetch_seq) OVER () + 1) AS part FROM sited),
+      visited AS (SELECT DISTINCT site, norm_url FROM sited WHERE action = 'process'),
+      failed AS (SELECT site, norm_url, part, max(fetch_seq) AS added, count(*) AS n FROM part WHERE action IN ('retry', 'wait')
+        AND norm_url NOT IN (SELECT norm_url FROM visited) GROUP BY ALL),
+      last AS (SELECT * FROM failed QUALIFY row_number() OVER (PARTITION BY norm_url ORDER BY part DESC) = 1)
+      SELECT 'visited' AS state, site, norm_url, 0::BIGINT AS n FROM visited UNION ALL SELECT 'pending', site, norm_url, added FROM last
+      UNION ALL SELECT 'attempts', site, norm_url, n FROM last UNION ALL SELECT 'sites', site, '', max(fetch_seq) FROM sited GROUP BY site""",
     "url_strip_fragment": "SELECT page_id AS fetch_seq, regexp_replace(url, '#[^#]*$', '') AS stripped FROM pages",
     "url_normalise": f"""SELECT page_id AS fetch_seq, {_norm('url')} AS norm_url,
         {_norm("regexp_replace(url, '^https?://', '')")} AS from_bare FROM pages""",

@@ -123,6 +123,42 @@ def state_tables(spark, sf_dir):
     return out.select("state", "site", "norm_url", "n")
 
 
+@query
+def state_versions(spark, sf_dir):
+    """State after three runs over the first, second and last third of the pages, each saved as its changes and loaded by the next."""
+    pages = inputs.sited(spark, sf_dir).withColumn("action", content.status_action("status"))
+    pages = stage(pages.select("fetch_seq", "site", "norm_url", "action"), "fetches")
+    low, high = pages.agg(F.min("fetch_seq"), F.max("fetch_seq")).first()
+    path = new_path(spark, "state")
+    for part in range(3):
+        of_run = pages.filter(F.expr(f"(fetch_seq - {low}) * 3 div {high - low + 1}") == part)
+        done = of_run.filter("action = 'process'").select("site", "norm_url").distinct()
+        again = of_run.filter(F.col("action").isin("retry", "wait")).groupBy("site", "norm_url").agg(
+            F.max("fetch_seq").alias("added"), F.count(F.lit(1)).alias("n")
+        ).join(done.select("norm_url"), "norm_url", "left_anti")
+        before = state.load_state(spark, path)
+        if before is not None:
+            done, again = state.not_visited(done, before), state.not_visited(again, before)
+        added, gone = F.lit(False).alias("gone"), F.lit(True).alias("gone")
+        changes = {
+            "visited": done.select("*", added),
+            "pending": again.select("site", "norm_url", "added", added).unionByName(done.select("site", "norm_url", F.lit(None).cast("bigint").alias("added"), gone)),
+            "attempts": again.select("site", "norm_url", "n", added).unionByName(done.select("site", "norm_url", F.lit(None).cast("bigint").alias("n"), gone)),
+            "sites": of_run.groupBy("site").agg(F.max("fetch_seq").alias("last")).select("*", added),
+        }
+        state.save_changes(changes, path)
+    loaded = state.load_state(spark, path)
+    none = F.lit(0).cast("bigint")
+    rows = {
+        "visited": loaded["visited"].select("site", "norm_url", none.alias("n")),
+        "pending": loaded["pending"].select("site", "norm_url", F.col("added").alias("n")),
+        "attempts": loaded["attempts"].select("site", "norm_url", "n"),
+        "sites": loaded["sites"].select("site", F.lit("").alias("norm_url"), F.col("last").alias("n")),
+    }
+    out = [found.withColumn("state", F.lit(name)) for name, found in rows.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).select("state", "site", "norm_url", "n")
+
+
 @query
 def seed_file(spark, sf_dir):
     """Page URLs written as a file of seeds, with blank lines and blanks, and read back."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -83,3 +84,22 @@ def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
     table = f"{name}_{uuid.uuid4().hex}"
     df.write.format("parquet").bucketBy(n, key).option("path", new_path(spark, name)).saveAsTable(table)
     return spark.table(table)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file that must not exist yet; False when another writer was first. Creation is atomic in the file system of the path."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(where.getParent())
+    if system.getScheme() == "file":
+        # the local file system of Hadoop looks first and then creates
+        local = jvm.java.io.File(where.toUri().getPath())
+        return bool(local.createNewFile())
+    try:
+        system.create(where, False).close()
+    except Py4JJavaError as error:
+        if "AlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    return True

@@ -1,7 +1,7 @@
 """Kept documents and their metadata as files, one run after the other.
 
-A run writes a folder ``run_id=N`` and never touches an earlier one; it counts once a marker row names it, so a failed
-run is replaced by the next and a run without documents is a run. Rows are brought together by folder with a rebalancing
+A run writes a folder ``run_id=N`` and never touches an earlier one. Its number is claimed first by a file that only one writer can create, so two
+writers at once take different numbers; it counts once a marker row names it, so the number of a failed run is left out and a run without documents is a run. Rows are brought together by folder with a rebalancing
 shuffle, which sizes its partitions by what it finds and splits those of a very large site. Documents lie in a fixed
 number of folders by hash of the site and are sorted by site in each file, so that a reader of one site opens one folder
 and skips most row groups there. One folder per site is offered as well, for runs over few sites; a path has one layout.
@@ -12,10 +12,13 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import claim
+
 SITE_BUCKETS = 32
 DOCUMENT_COLUMNS = ("site", "fetch_seq", "norm_url", "status", "content_type", "encoding", "lang", "headers", "html")
 # hidden from readers of the documents
 MARKERS = "_runs"
+CLAIMS = "_claims"
 
 
 def _bucket(site: Column) -> Column:
@@ -38,30 +41,38 @@ def runs(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def next_run_id(spark: SparkSession, path: str) -> int:
-    """One more than the largest finished run, 0 for a new folder."""
+    """One more than the largest finished run, 0 for a new folder. Another writer may get it too: ``claim_run`` makes sure."""
     done = runs(spark, path)
     return 0 if done is None else done.agg(F.max("run_id")).first()[0] + 1
 
 
+def claim_run(spark: SparkSession, path: str) -> int:
+    """A number for a new run that no other writer gets: the first unclaimed one behind the finished runs."""
+    run_id = next_run_id(spark, path)
+    while not claim(spark, f"{path}/{CLAIMS}/run_id={run_id}"):
+        run_id += 1
+    return run_id
+
+
 def write_documents(documents: DataFrame, path: str, run_id: int | None = None, per_site: bool = False) -> int:
-    """Append the documents as a new run and return its number; a finished run is never overwritten."""
+    """Append the documents as a new run and return its number; a finished run is never overwritten. A ``run_id`` is one that the caller has claimed
+    with ``claim_run``, also to write a failed run again."""
     spark = documents.sparkSession
     done = runs(spark, path)
     if done is not None:
-        last, taken, other = done.agg(
-            F.max("run_id"), F.bool_or(F.col("run_id") == run_id) if run_id is not None else F.lit(False),
-            F.bool_or(F.col("per_site") != per_site),
+        taken, other = done.agg(
+            F.bool_or(F.col("run_id") == run_id) if run_id is not None else F.lit(False), F.bool_or(F.col("per_site") != per_site)
         ).first()
         if taken:
             raise ValueError(f"run {run_id} exists")
         if other:
             raise ValueError(f"the runs in {path} are {'not ' if per_site else ''}laid out per site")
-        run_id = last + 1 if run_id is None else run_id
-    run_id = run_id or 0
+    if run_id is None:
+        run_id = claim_run(spark, path)
     rows = documents.select(*(c for c in DOCUMENT_COLUMNS if c in documents.columns))
     folder = "site" if per_site else "site_bucket"
     placed = rows if per_site else rows.withColumn(folder, _bucket(F.col("site")))
-    # a folder without its marker is left from a failed run
+    # a folder of this number without its marker is left from a failed run
     _clustered(placed, folder).write.partitionBy(folder).mode("overwrite").parquet(f"{path}/run_id={run_id}")
     columns = ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes)
     marker = spark.range(run_id, run_id + 1).select(
