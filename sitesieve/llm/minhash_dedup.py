@@ -10,7 +10,7 @@ far more rarely).
   no other document has come first and need no list: a document with enough of them has no partner at all.
 * *Skip*: in a list, documents that are already connected are not counted against each other again. Lists of more than ``LIST`` documents are taken as
   connected as a whole, which can only add candidates.
-* Candidates form clusters. The full sets of a cluster meet once, in tiles of bounded size, and links are confirmed on them exactly; a tile keeps a
+* Candidates form clusters. The texts of clusters are read again, the others pass by a filter of fixed size; their full sets meet once, in tiles of bounded size, and links are confirmed on them exactly; a tile keeps a
   spanning forest of its links. Where a cluster has several tiles, documents outside its largest part are then held against every tile, so no link
   between two parts is lost.
 
@@ -38,6 +38,8 @@ MATCHES = 38
 LIST = 1_000
 #: shingles of a cluster that one task holds
 TILE = 4_000_000
+#: bits of the filter that tells which texts are needed again; of fixed size (2 MB), so it may be broadcast
+FILTER_BITS, BLOCK_BITS = 1 << 24, 1 << 15
 #: word hashes kept at a time, and hashes minimised at a time
 CACHE, CHUNK = 1 << 20, 1 << 12
 
@@ -198,6 +200,19 @@ def confirmed(sids: list[int], parts: list[int], asks: list[bool], sets: list[np
     return found
 
 
+def needed_again(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (key) that may be among ``named`` (key): a bit for each key, so that texts that are surely not needed stay where they are.
+
+    With many more keys than bits every row passes, which costs a shuffle of the texts but loses nothing.
+    """
+    place = F.col("key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = named.groupBy(F.floor(place / BLOCK_BITS).alias("__block")).agg(F.bitmap_construct_agg(place % BLOCK_BITS).alias("__bits"))
+    asked = docs.withColumns({"__block": F.floor(place / BLOCK_BITS), "__place": place % BLOCK_BITS})
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = asked.join(F.broadcast(bits), "__block").withColumn("__byte", byte)
+    return met.filter("(shiftright(__byte, cast(__place % 8 AS int)) & 1) = 1").select(*docs.columns)
+
+
 def links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES, longest: int = LIST, tile: int = TILE) -> DataFrame:
     """Confirmed links (u, v) that connect all sets that links connect."""
     cluster = stage(components(candidates(sets, percent, matches, longest)).withColumnRenamed("node", "sid"), "clusters")
@@ -224,7 +239,7 @@ def links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE, percent: int
                     yield _edges(found)
 
         named = asked.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "root", "tile", "part", "asks", "sid")
-        texts = docs.select("doc_id", "text", text_key().alias("__own"))
+        texts = needed_again(docs.select("doc_id", "text", text_key().alias("key")), asked.select("key")).withColumnRenamed("key", "__own")
         met = texts.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
         sets_of = met.select("root", "tile", "part", "asks", "sid", "text").mapInArrow(hashed, "root long, tile int, part long, asks boolean, sid long, hashes binary")
         return sets_of.repartition("root", "tile").sortWithinPartitions("root", "tile").mapInArrow(run, "u long, v long")
