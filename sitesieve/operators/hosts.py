@@ -9,11 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import urls
+from ..functions.binding import let
 from ..functions.tables import TWO_LABEL_SUFFIXES
 from ..session import stage
 
 HOST_COLUMNS = ("host", "suffix", "site")
 KINDS = ("normal", "wildcard", "exception")
+# Rules that are sent with the tasks as hash sets; a published list has about a fifth of them.
+RULES_IN_ROW = 50_000
 _ADDRESS = r"^(?:\d{1,3}(?:\.\d{1,3}){3}|\[.*\]|)$"
 
 
@@ -55,7 +58,7 @@ def with_host_parts(df: DataFrame, norm: str, suffixes: Sequence[str] | DataFram
 
     ``suffixes`` is a list of suffixes of several labels (the default table when None), evaluated as an expression, or
     a DataFrame of rules (``suffix``, ``kind``: ``normal``, ``wildcard`` for the rule ``*.suffix``, ``exception`` for
-    ``!suffix``), looked up by one equi-join per suffix length, without exploding rows. Rules that are used several times
+    ``!suffix``), walked inside the row, or joined once where they are very many. Rules that are used several times
     are made ready once by ``prepared``.
     """
     # names of hosts have no case: what they are looked up and grouped by is in lower case
@@ -98,39 +101,66 @@ class SuffixRules:
     """Rules made ready for lookups; one instance serves a whole run."""
 
     table: DataFrame
-    #: labels of the longest rule, which is the number of joins
+    #: labels of the longest rule
     longest: int
+    #: rules of each kind, as paths of labels; None where there are more than ``RULES_IN_ROW``
+    paths: dict[str, list[str]] | None
 
 
 def prepared(rules: DataFrame) -> SuffixRules:
-    """One row per suffix, staged so that the planner knows how few they are."""
+    """One row per suffix, staged so that the planner knows how few they are; up to ``RULES_IN_ROW`` of them are fetched."""
     kinds = (F.bool_or(F.col("kind") == kind).alias(f"__{kind}") for kind in KINDS)
     table = stage(rules.groupBy(F.lower("suffix").alias("__rule")).agg(*kinds), "suffix_rules")
     longest = table.agg(F.max(F.size(F.split("__rule", r"\.")))).first()[0] or 1
-    return SuffixRules(table, longest)
+    rows = table.limit(RULES_IN_ROW + 1).collect()
+    paths = None
+    if len(rows) <= RULES_IN_ROW:
+        paths = {kind: sorted(row["__rule"] for row in rows if row[f"__{kind}"]) for kind in KINDS}
+    return SuffixRules(table, longest, paths)
+
+
+def _tails(host: Column, longest: int) -> Column:
+    """The last label of a host, the last two, and so on up to ``longest``: (k, tail)."""
+    n = F.least(F.size(F.split(host, r"\.")), F.lit(longest))
+    return F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(k.alias("k"), F.call_function("substring_index", host, F.lit("."), -k).alias("tail")))
+
+
+def _n_labels(normal: Column, wildcard: Column, exception: Column, labels: Column) -> Column:
+    """Labels of the suffix, from the longest match of each kind (0 for none)."""
+    beyond = F.when((wildcard > 0) & (labels > wildcard), wildcard + 1).otherwise(0)
+    return F.when(exception > 0, exception - 1).otherwise(F.greatest(F.lit(1), normal, beyond))
 
 
 def _with_rules(df: DataFrame, rules: SuffixRules) -> DataFrame:
-    kinds, longest, rules = KINDS, rules.longest, rules.table
-    labels = F.size(F.split("host", r"\."))
-    found, exceptions = [F.lit(1)], []
-    for k in range(1, longest + 1):
-        level = rules.filter(F.size(F.split("__rule", r"\.")) == k).select(
-            F.col("__rule").alias(f"__rule{k}"), *(F.col(f"__{kind}").alias(f"__{kind}{k}") for kind in kinds)
+    """Rules that are few are walked inside the row, label by label from the end, as hash sets in the expression: no join, whatever the longest
+    rule. More of them meet the tails of the different hosts in one join, and hosts then their rows."""
+    host = F.col("host")
+    labels = F.size(F.split(host, r"\."))
+    if rules.paths is not None:
+
+        def longest(kind: str, tails: Column) -> Column:
+            known = rules.paths[kind]
+            if not known:
+                return F.lit(0)
+            # a wildcard needs one label more
+            fits = (lambda t: t["tail"].isin(*known) & (t["k"] < labels)) if kind == "wildcard" else (lambda t: t["tail"].isin(*known))
+            return F.coalesce(F.array_max(F.transform(F.filter(tails, fits), lambda t: t["k"])), F.lit(0))
+
+        found = let(_tails(host, rules.longest), lambda tails: F.struct(*(longest(kind, tails).alias(kind) for kind in KINDS)))
+        df = df.withColumn("__found", found)
+    else:
+        tails = df.select("host").filter("host IS NOT NULL").distinct().select("host", F.size(F.split("host", r"\.")).alias("n"), F.inline(_tails(host, rules.longest)))
+        best = {
+            "normal": F.when(F.col("__normal"), F.col("k")), "wildcard": F.when(F.col("__wildcard") & (F.col("k") < F.col("n")), F.col("k")),
+            "exception": F.when(F.col("__exception"), F.col("k")),
+        }
+        of_host = tails.join(rules.table, F.col("tail") == F.col("__rule")).groupBy("host").agg(
+            F.struct(*(F.coalesce(F.max(k), F.lit(0)).alias(kind) for kind, k in best.items())).alias("__found")
         )
-        tail = F.when(labels >= k, F.substring_index(F.lower("host"), ".", -k))
-        df = df.withColumn(f"__rule{k}", tail).join(level, f"__rule{k}", "left").drop(f"__rule{k}")
-        found.append(F.when(F.col(f"__normal{k}"), F.lit(k)))
-        found.append(F.when(F.col(f"__wildcard{k}") & (labels > k), F.lit(k + 1)))
-        exceptions.append(F.when(F.col(f"__exception{k}"), F.lit(k - 1)))
-    n_labels = F.coalesce(*exceptions[::-1], F.greatest(*found))
-    alone = (labels == 1) & ~F.coalesce(F.col("__normal1"), F.lit(False))
-    suffix = F.when(F.col("host").rlike(_ADDRESS) | alone, F.lit("")).otherwise(
-        F.expr("substring_index(host, '.', -__n_labels)")
-    )
-    registered = F.when(F.col("suffix") == "", F.col("host")).otherwise(
-        F.expr("substring_index(host, '.', -(__n_labels + 1))")
-    )
-    drop = [f"__{kind}{k}" for k in range(1, longest + 1) for kind in kinds]
-    df = df.withColumn("__n_labels", n_labels).withColumn("suffix", suffix).withColumn("site", registered)
-    return df.drop("__n_labels", *drop)
+        df = df.join(of_host, "host", "left").select(*df.columns, "__found")
+    kinds = [F.coalesce(F.col(f"__found.{kind}"), F.lit(0)) for kind in KINDS]
+    alone = (labels == 1) & (kinds[0] == 0)
+    suffix = F.when(host.rlike(_ADDRESS) | alone, F.lit("")).otherwise(F.expr("substring_index(host, '.', -__n_labels)"))
+    registered = F.when(F.col("suffix") == "", host).otherwise(F.expr("substring_index(host, '.', -(__n_labels + 1))"))
+    named = df.withColumn("__n_labels", _n_labels(*kinds, labels)).withColumn("suffix", suffix).withColumn("site", registered)
+    return named.drop("__n_labels", "__found")

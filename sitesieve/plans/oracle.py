@@ -412,9 +412,9 @@ ORACLE_SQL: dict[str, str] = {
         WHERE page_id % 9 <> 4""",
     "pages_with_text": """SELECT page_id AS fetch_seq, url FROM pages WHERE page_id % 7 <> 0 AND page_id % 11 <> 1 AND html <> ''""",
     "page_prolog": "SELECT page_id AS fetch_seq, md5(html) AS html_md5 FROM pages",
-    "link_blacklist_table": f"""WITH {LINKS}, bad AS (SELECT DISTINCT split_part(host, '.', 1) AS pattern FROM sited
-          WHERE fetch_seq % 5 = 0 AND split_part(host, '.', 1) NOT IN ('blog', 'www', 'm'))
-        SELECT fetch_seq, norm_url FROM links WHERE NOT regexp_matches(norm_url, (SELECT string_agg(pattern, '|') FROM bad))""",
+    "link_blacklist_table": f"""WITH {LINKS}, bad AS (
+          SELECT string_agg(DISTINCT '://' || split_part(host, '.', 1) || '\\.[^/]*/de/', '|') AS pattern FROM sited)
+        SELECT fetch_seq, norm_url FROM links, bad WHERE NOT regexp_matches(norm_url, pattern)""",
     "link_reasons": f"""WITH {SITED}, roots AS (SELECT *, regexp_extract(norm_url, '^https?://[^/?#]*') AS root FROM sited)
         SELECT fetch_seq, CASE fetch_seq % 9 WHEN 0 THEN 7 WHEN 1 THEN length(root) + 3001 WHEN 2 THEN length(host) + 9
             WHEN 3 THEN length(host) + 6 WHEN 4 THEN length(root) + 50 WHEN 5 THEN length(root) + 10 WHEN 6 THEN length(site) + 11

@@ -396,10 +396,10 @@ def link_blacklist(spark, sf_dir):
 
 @query
 def link_blacklist_table(spark, sf_dir):
-    """Links without those that match a table of patterns, the first labels of some hosts."""
-    hosts_of = inputs.sited(spark, sf_dir).filter("fetch_seq % 5 = 0").select(F.split_part("host", F.lit("."), F.lit(1)).alias("pattern"))
-    kept = links.drop_blacklisted(inputs.link_parts(spark, sf_dir), hosts_of.filter("pattern <> 'blog' AND pattern <> 'www' AND pattern <> 'm'"))
-    return kept.select("fetch_seq", "norm_url")
+    """Links without those that match a table of patterns: German sections under the first label of any host of the pages."""
+    label = F.split_part("host", F.lit("."), F.lit(1))
+    patterns = inputs.sited(spark, sf_dir).select(F.concat(F.lit("://"), label, F.lit(r"\.[^/]*/de/")).alias("pattern"))
+    return links.drop_blacklisted(inputs.link_parts(spark, sf_dir), patterns).select("fetch_seq", "norm_url")
 
 
 @query

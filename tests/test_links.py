@@ -1,5 +1,8 @@
 """Admission, frontier and reachable set."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +160,37 @@ def test_seeds_get_only_two_checks(spark):
     assert sorted((r.norm_url, r.added) for r in first.collect()) == [
         ("http://a.com", 5), ("http://a.com/", 3), ("http://mailto:x@spam.zz", 0),
     ]
+
+
+PIECES = ("shop", "://www", "/de/", "buy-now", r"\.", ".", ".*", "[a-z]+", "[^/]*", r"\d", "x?", "ab+", "s{2}", "$", "^http", r"\\", "(?i)SHOP", "a|b", "(spam|farm)", "é", "]")
+
+
+def test_blacklist_table_equals_a_plain_loop(spark):
+    random.seed(11)
+    patterns = ["".join(random.choices(PIECES[:16] + PIECES[19:], k=random.choice((1, 2, 3, 4)))) for _ in range(300)] + list(PIECES)
+    patterns = [p for p in patterns if not re.search(r"[*+?}][*+?{]|^[*+?{]", p)]
+    urls = ["http://" + "".join(random.choices(("www.", "shop", "/de/", "spam", "buy-now", "1", "ab", "ss", ".com", "é", "/", "x", "\\", "]"), k=6)) for _ in range(150)]
+    urls += ["http://", "", "http://www.shop.com/de/"]
+    for chosen in (patterns[:60], patterns[60:200], [p for p in patterns if len(p) > 9], ["(?i)BUY", "/de/$"]):
+        rows = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "gram long, norm_url string, pattern string")
+        table = spark.createDataFrame([(p,) for p in [*chosen, chosen[0], None]], "pattern string")
+        got = {r.gram for r in links.drop_blacklisted(rows, table).collect()}
+        assert got == {i for i, u in enumerate(urls) if not any(re.search(p, u) for p in chosen)}
+
+
+def test_literals_of_patterns(spark):
+    cases = {
+        "cheap-pills": ["cheap-pills"], r"://shop\.[^/]*/de/x": ["://shop.", "/de/x"], "abcde?": ["abcd"], "abcdef+gh": ["abcde"], "a.b.c": [], "(abcd)": [],
+        "abcd|efgh": [], r"\Qabcd": [], r"abcd\d{3}efgh": ["abcd", "efgh"], "[abcd]efgh": ["efgh"], "[^]x]long": ["long"], r"abcd\\.efgh": ["abcd\\", "efgh"],
+        "[a[bc]]defgh": [], "abcd{2}": [], "abc": [],
+    }
+    rows = spark.createDataFrame([(p,) for p in cases], "pattern string")
+    got = {r.pattern: r.found for r in rows.select("pattern", links.required_literals("pattern").alias("found")).collect()}
+    assert got == cases
+
+
+def test_blacklist_table_needs_no_driver_and_no_nested_loop(spark):
+    rows = spark.createDataFrame([("http://a.com/",)], "norm_url string")
+    kept = links.drop_blacklisted(rows, rows.select(F.lit("spam-farm").alias("pattern")))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and kept.count() == 1

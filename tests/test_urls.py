@@ -168,3 +168,23 @@ def test_wildcard_and_exception_rules(spark):
     rows = spark.createDataFrame([(f"http://{h}",) for h in cases], "norm_url string")
     found = {r.host: (r.suffix, r.site) for r in hosts.with_host_parts(rows, "norm_url", rules).collect()}
     assert found == cases
+
+
+@pytest.mark.parametrize("in_row", [True, False])
+def test_rules_of_any_length_are_one_lookup(spark, monkeypatch, in_row):
+    if not in_row:
+        monkeypatch.setattr(hosts, "RULES_IN_ROW", 2)
+    listed = [("com", "normal"), ("co.uk", "normal"), ("a.b.c.d.e", "normal"), ("ck", "wildcard"), ("www.ck", "exception"), ("x.y.z", "wildcard"), ("uk", "normal"), ("one", "normal")]
+    rules = hosts.prepared(spark.createDataFrame(listed, "suffix string, kind string"))
+    assert (rules.paths is not None) == in_row and rules.longest == 5
+    expected = {
+        "www.shop.co.uk": ("co.uk", "shop.co.uk"), "q.w.a.b.c.d.e": ("a.b.c.d.e", "w.a.b.c.d.e"), "b.c.d.e": ("e", "d.e"), "www.ck": ("ck", "www.ck"),
+        "a.www.ck": ("ck", "www.ck"), "p.q.ck": ("q.ck", "p.q.ck"), "ck": ("", "ck"), "m.n.x.y.z": ("n.x.y.z", "m.n.x.y.z"), "x.y.z": ("z", "y.z"),
+        "10.0.0.1": ("", "10.0.0.1"), "one": ("one", "one"), "two": ("", "two"), "co.uk": ("co.uk", "co.uk"), "shop.UNKNOWN": ("unknown", "shop.unknown"),
+    }
+    rows = spark.createDataFrame([(f"http://{h}/p", "kept") for h in expected], "norm_url string, k string")
+    split = hosts.with_host_parts(rows, "norm_url", rules)
+    assert split.columns == ["norm_url", "k", "host", "suffix", "site"]
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == (0 if in_row else 2), plan
+    assert {r.host: (r.suffix, r.site) for r in split.collect()} == {h.lower(): v for h, v in expected.items()}
