@@ -37,7 +37,7 @@ MATCHES = 38
 #: documents of a list that are counted against each other
 LIST = 1_000
 #: shingles of a cluster that one task holds
-TILE = 4_000_000
+TILE = 1_000_000
 #: bits of the filter that tells which texts are needed again; of fixed size (2 MB), so it may be broadcast
 FILTER_BITS, BLOCK_BITS = 1 << 24, 1 << 15
 #: word hashes kept at a time, and hashes minimised at a time
@@ -183,18 +183,50 @@ def is_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+class _Postings:
+    """The sets of a tile by element, to count what one set has in common with all others at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        _, element = np.unique(np.concatenate(sets), return_inverse=True)
+        order = np.argsort(element, kind="stable")
+        self.n, self.owner = len(sets), owner[order]
+        self.start = np.r_[0, np.cumsum(np.bincount(element))]
+        self.element, self.of_set = element, np.r_[0, np.cumsum(sizes)]
+
+    def common(self, i: int) -> np.ndarray:
+        """Elements that set ``i`` shares with each of the sets."""
+        elements = self.element[self.of_set[i] : self.of_set[i + 1]]
+        starts, lengths = self.start[elements], self.start[elements + 1] - self.start[elements]
+        starts, lengths = starts[lengths > 1], lengths[lengths > 1]
+        before = np.cumsum(lengths) - lengths
+        places = np.arange(lengths.sum()) + np.repeat(starts - before, lengths)
+        return np.bincount(self.owner[places], minlength=self.n)
+
+
+#: from so many candidates on, a set is counted against the whole tile instead of one by one
+MANY = 16
+
+
 def confirmed(sids: list[int], parts: list[int], asks: list[bool], sets: list[np.ndarray], percent: int, matches: int) -> list[tuple[int, int]]:
     """Links of the sets that ask with all others of a tile, confirmed on the full sets; those of one part are known to be connected and skipped."""
-    found = []
+    found, postings = [], None
     sizes = np.array([len(s) for s in sets])
     shorts = np.array([signature(s) for s in sets]).astype(np.uint16)
     label = np.array(parts, dtype=np.int64)
     for i in np.flatnonzero(asks):
         rest = np.flatnonzero((label != label[i]) & _alike_sizes(sizes, sizes[i], percent))
-        same = (shorts[rest] == shorts[i]).sum(axis=1)
-        order = np.argsort(-same, kind="stable")[: int((same >= matches).sum())]
-        for j in rest[order]:
-            if label[j] != label[i] and is_link(sets[i], sets[j], percent):
+        rest = rest[(shorts[rest] == shorts[i]).sum(axis=1) >= matches]
+        if len(rest) >= MANY:
+            postings = postings or _Postings(sets)
+            common = postings.common(i)[rest]
+            rest = rest[100 * common >= percent * (sizes[rest] + sizes[i] - common)]
+            linked = rest
+        else:
+            linked = [j for j in rest if is_link(sets[i], sets[j], percent)]
+        for j in linked:
+            if label[j] != label[i]:
                 found.append((sids[i], sids[j]))
                 label[label == label[j]] = label[i]
     return found

@@ -90,3 +90,22 @@ def test_shingles_longer_than_the_table_of_factors():
     a = minhash_dedup.shingle_set(" ".join(map(str, range(200))), 100, cache)
     b = minhash_dedup.shingle_set(" ".join(map(str, [*range(70), 999, *range(71, 200)])), 100, cache)
     assert len(a) == len(b) == 101 and len(np.intersect1d(a, b)) == 30 and len(np.unique(a)) == 101
+
+
+def test_counting_a_whole_tile_equals_one_by_one():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300), dtype=np.uint64)) for _ in range(40)]
+    postings = minhash_dedup._Postings(sets)
+    for i in range(len(sets)):
+        common = postings.common(i)
+        own = [len(np.intersect1d(sets[i], s)) for s in sets]
+        own[i] = common[i]  # elements that no other set has are not counted
+        assert common.tolist() == own
+
+
+def test_large_family_of_loosely_near_texts(spark):
+    random.seed(12)
+    base = [f"w{random.randrange(500)}" for _ in range(120)]
+    rows = [(i, " ".join(edited(base, random.choice((1, 2, 4, 6))))) for i in range(150)]
+    got = minhash_dedup.near_groups(frame(spark, rows), longest=1000, tile=4_000).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute(rows)
