@@ -161,11 +161,12 @@ def state_versions(spark, sf_dir):
 
 @query
 def seed_file(spark, sf_dir):
-    """Page URLs written as a file of seeds, with blank lines and blanks, and read back."""
+    """Page URLs written as part files of seeds in the order of the pages, with blanks around them and blank lines in place of some (derived cases), and read
+    back in that order."""
     path = new_path(spark, "seeds")
     pages = _raw_pages(spark, sf_dir)
     line = F.when(F.col("fetch_seq") % 9 == 4, "  ").otherwise(F.concat(F.lit(" "), "url", F.lit(" ")))
-    pages.coalesce(1).orderBy("fetch_seq").select(line.alias("value")).coalesce(1).write.text(path)
+    pages.orderBy("fetch_seq").select(line.alias("value")).write.text(path)
     found = seeds.read_seeds(spark, path)
     return found.select("seed_seq", "url")
 

@@ -194,3 +194,13 @@ def test_blacklist_table_needs_no_driver_and_no_nested_loop(spark):
     kept = links.drop_blacklisted(rows, rows.select(F.lit("spam-farm").alias("pattern")))
     plan = kept._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and kept.count() == 1
+
+
+def test_seeds_of_several_files_arrive_in_the_order_of_their_names(spark, tmp_path):
+    expected = []
+    for part, n in enumerate((3, 400, 1, 50)):
+        lines = [f" http://p{part}.com/{i} " if i % 7 else "" for i in range(n)]
+        (tmp_path / f"part-{part:05}.txt").write_text("\n".join(lines) + "\n")
+        expected += lines
+    got = {r.seed_seq: r.url for r in read_seeds(spark, str(tmp_path)).collect()}
+    assert got == {i: line.strip() for i, line in enumerate(expected) if line}
