@@ -31,6 +31,9 @@ SINGLE_BYTE = (
     *(f"iso-8859-{n}" for n in (*range(2, 12), *range(13, 17))),
     "koi8-r", "koi8-u", "cp866", "mac-roman",
 )
+# Charsets of one or several bytes, with their names on the Java platform (see ``session.tune``); the first holds the two older ones of its country.
+MULTI_BYTE = {"gb18030": "GB18030", "big5": "Big5-HKSCS", "shift-jis": "windows-31j", "euc-jp": "EUC-JP", "euc-kr": "x-windows-949"}
+ALSO = {"gb18030": ("gbk", "gb2312"), "big5": ("big5hkscs", "cp950"), "shift-jis": ("cp932",), "euc-kr": ("cp949",)}
 UPPER_HALF = "".join(chr(b) for b in range(0x80, 0x100))
 
 
@@ -95,6 +98,10 @@ def _labels(name: str) -> list[str]:
     """Labels of a charset: its name and what the standard library calls it, with either kind of stroke."""
     codec = codecs.lookup(name).name.replace("-", "_")
     known = {name, codec, *(alias for alias, of in aliases.items() if of == codec)}
+    for other in ALSO.get(name, ()):
+        known |= {other, *(alias for alias, of in aliases.items() if of == other)}
+    if name == "shift-jis":
+        known.add("x-sjis")
     if name.startswith("windows-"):
         known |= {"cp" + name[8:], "x-cp" + name[8:]}
     return sorted({label.replace("_", "-") for label in known} | {label.replace("_", "") for label in known})
@@ -110,7 +117,7 @@ def body_encoding(body: Column | str, content_type: Column | str) -> Column:
         out = F.when(F.lit(False), F.lit(""))
         for mark, name in marks:
             out = out.when(F.startswith(body, F.lit(mark)), F.lit(name))
-        for name in (*WIDE, *SINGLE_BYTE, "iso-8859-1"):
+        for name in (*WIDE, *MULTI_BYTE, *SINGLE_BYTE, "iso-8859-1"):
             out = out.when(declared.isin(*_labels(name)), F.lit(name))
         return out.when(F.is_valid_utf8(body.cast("string")), F.lit("utf-8")).otherwise(F.lit("iso-8859-1"))
 
@@ -125,6 +132,8 @@ def decoded(body: Column | str, encoding: Column | str) -> Column:
     for name in WIDE:
         # UTF-32 is read in the order of the network
         out = out.when(encoding == name, F.decode(body, WIDE[name]))
+    for name in MULTI_BYTE:
+        out = out.when(encoding == name, F.decode(body, MULTI_BYTE[name]))
     for name in SINGLE_BYTE:
         out = out.when(encoding == name, F.translate(latin, UPPER_HALF, _upper_half(name)))
     return F.regexp_replace(out.otherwise(latin), "^\ufeff", "")

@@ -147,6 +147,14 @@ LATIN = "abcdefghijklmnopqrstuvwxyz"
 SCRIPTS = {"en": "абцдефгхийклмнопярстувщьыз", "fr": "αβψδεφγηιξκλμνοπϙρστυϋωχζϟ"}
 
 
+# Charsets of several bytes, their labels in a header, and letters of the script that they are used for.
+HAN, KANA, HANGUL = "一二三四五六七八九十日月火水木金土山川田人口手目耳心", "あいうえおかきくけこさしすせそたちつてとなにぬねのは", "가나다라마바사아자차카타파하고노도로모보소오조초코토"
+CHARSETS = (
+    ("gb18030", "gb2312", "GBK", HAN), ("big5", "Big5", "Big5", HAN), ("shift-jis", "Shift_JIS", "Shift_JIS", KANA), ("euc-jp", "EUC-JP", "EUC-JP", KANA),
+    ("euc-kr", "ks_c_5601-1987", "EUC-KR", HANGUL),
+)
+
+
 def other_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in lower case, English and French ones in other letters, those of other languages as they are."""
     text = F.lower("text")

@@ -344,6 +344,10 @@ ORACLE_SQL: dict[str, str] = {
           WHEN page_id % 10 = 5 THEN 'windows-1252' WHEN page_id % 10 = 6 THEN 'iso-8859-15'
           WHEN page_id % 10 = 7 THEN 'windows-1254' ELSE 'utf-8' END AS encoding, md5(html) AS html_md5
         FROM pages""",
+    "doc_charsets": f"""SELECT page_id AS fetch_seq, CASE page_id % {len(inputs.CHARSETS)} {
+        " ".join(f"WHEN {i} THEN '{name}'" for i, (name, *_) in enumerate(inputs.CHARSETS))} END AS encoding,
+      md5(translate(lower(regexp_replace(html, '[^\\x00-\\x7F]', '', 'g')), '{inputs.LATIN}', CASE page_id % {len(inputs.CHARSETS)} {
+        " ".join(f"WHEN {i} THEN '{letters}'" for i, (*_, letters) in enumerate(inputs.CHARSETS))} END)) AS html_md5 FROM pages""",
     "link_extract": f"SELECT page_id AS fetch_seq, url, unnest(regexp_extract_all(html, {HREF}, 1)) AS href FROM pages",
     "link_distinct": f"""SELECT page_id AS fetch_seq, url, unnest(list_distinct(regexp_extract_all(html, {HREF}, 1))) AS href
         FROM pages""",

@@ -307,6 +307,20 @@ def doc_encoding(spark, sf_dir):
     return back.select("fetch_seq", "encoding", F.md5("html").alias("html_md5"))
 
 
+@query
+def doc_charsets(spark, sf_dir):
+    """Page texts in East Asian letters as bytes in five charsets of several bytes, declared in the header, brought back to text."""
+    pages = _raw_pages(spark, sf_dir)
+    plain = F.lower(F.regexp_replace("html", r"[^\x00-\x7f]", ""))
+    body, declared = F.lit(None).cast("binary"), F.lit(None).cast("string")
+    for case, (_, label, charset, letters) in enumerate(inputs.CHARSETS):
+        mine = F.col("fetch_seq") % len(inputs.CHARSETS) == case
+        body = F.when(mine, F.encode(F.translate(plain, inputs.LATIN, letters), charset)).otherwise(body)
+        declared = F.when(mine, F.lit(f"text/html; charset={label}")).otherwise(declared)
+    back = page_ops.decode_body(pages.withColumns({"body": body, "content_type": declared}).drop("html"))
+    return back.select("fetch_seq", "encoding", F.md5("html").alias("html_md5"))
+
+
 @query
 def link_extract(spark, sf_dir):
     return page_ops.extract_links(_raw_pages(spark, sf_dir))

@@ -3,6 +3,7 @@
 import html as standard_html
 import html.entities
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitesieve.functions import content
@@ -152,3 +153,24 @@ def test_reliability_edges(spark):
     )
     by_seq = {r.fetch_seq: r.lang for r in joined.collect()}
     assert [by_seq.get(i) for i in range(len(texts))] == list(texts.values())
+
+
+@pytest.mark.parametrize(
+    "label,name,codec,text",
+    [
+        ("GBK", "gb18030", "gbk", "汉字 中文"), ("gb2312", "gb18030", "gb2312", "汉字"), ("GB18030", "gb18030", "gb18030", "汉字 \U0001f600 é"), ("big5", "big5", "big5", "漢字 中文"),
+        ("Shift_JIS", "shift-jis", "cp932", "日本語 ①"), ("x-sjis", "shift-jis", "shift_jis", "カタカナ"), ("euc-jp", "euc-jp", "euc_jp", "日本語"), ("ks_c_5601-1987", "euc-kr", "euc_kr", "한국어"),
+        ("euc-kr", "euc-kr", "cp949", "뷁"),
+    ],
+)
+def test_charsets_of_several_bytes(spark, label, name, codec, text):
+    page = f"<p>{text}</p>"
+    rows = spark.createDataFrame([(1, "http://a.com", page.encode(codec), f"text/html; charset={label}")], "fetch_seq bigint, url string, body binary, content_type string")
+    row = pages.decode_body(as_pages(rows)).first()
+    assert (row.encoding, row.html) == (name, page)
+
+
+def test_broken_bytes_of_a_declared_charset_do_not_stop_a_run(spark):
+    for label in ("gbk", "shift_jis", "euc-kr", "utf-16le"):
+        rows = spark.createDataFrame([(1, "http://a.com", b"ab\xff\xff\x81", f"text/html; charset={label}")], "fetch_seq bigint, url string, body binary, content_type string")
+        assert pages.decode_body(as_pages(rows)).first().html
