@@ -116,6 +116,24 @@ def with_blocks(pages: DataFrame, n_buckets: int) -> DataFrame:
     return pages.withColumn("block", F.expr(f"fetch_seq div {size}"))
 
 
+def by_block(judged: DataFrame) -> DataFrame:
+    """One row per block of pages, which is at most ``PAGE_BLOCK`` of them: their numbers in order, and beside them host, site and whether they are kept."""
+    row = F.struct("fetch_seq", "host", "site", (F.col("outcome") == "kept").alias("kept"))
+    packed = judged.groupBy("block").agg(F.sort_array(F.collect_list(row)).alias("of"))
+    columns = {"seqs": "fetch_seq", "hosts": "host", "sites": "site", "keeps": "kept"}
+    return packed.select("block", *(F.col(f"of.{field}").alias(f"__{name}") for name, field in columns.items()))
+
+
+def met_by_block(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows (``block``, ``fetch_seq``) of the pages that ``by_block`` lists, with ``host``, ``site`` and ``__kept``.
+
+    The block is the only key, as it is of the buckets of both tables, so neither is shuffled; the page is looked up in the numbers of its block.
+    """
+    met = rows.join(blocks.hint("shuffle_hash"), "block").withColumn("__at", F.array_position("__seqs", F.col("fetch_seq")).cast("int")).filter("__at > 0")
+    found = {"host": "__hosts", "site": "__sites", "__kept": "__keeps"}
+    return met.select(*rows.columns, *(F.element_at(array, F.col("__at")).alias(name) for name, array in found.items()))
+
+
 def numbered_once(judged: DataFrame) -> None:
     """Raise unless every page has a number of its own; later steps tell pages apart by it."""
     wrong = judged.groupBy("fetch_seq").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR fetch_seq IS NULL").limit(1).collect()
@@ -153,8 +171,7 @@ def run(
 
     The text of a page is read once: that pass writes what it found in buckets by block of ``fetch_seq``, where it was read, without a shuffle.
     Judging works on the narrow columns of this table; its result is written in the same buckets, so that documents and links get their site and
-    lose the pages that are denied or behind a stop in joins of bucket with bucket, however many these are. The narrow side is the one
-    that is hashed.
+    lose the pages that are denied or behind a stop in joins of bucket with bucket, however many these are. The narrow side is the one that is hashed.
     """
     if isinstance(suffixes, DataFrame):
         suffixes = hosts.prepared(suffixes)
@@ -171,10 +188,9 @@ def run(
     marked = judged.join(stops, "site", "left").withColumn("after_stop", F.coalesce(F.col("fetch_seq") > F.col("stop_seq"), F.lit(False))).drop("stop_seq")
     marked = bucketed(marked.repartition(n_buckets, "block"), "marked", "block", n_buckets)
 
-    going = marked.filter(_fetched() & ~F.col("after_stop")).select("block", "fetch_seq", "host", "site", "outcome").hint("shuffle_hash")
-    key = ["block", "fetch_seq"]
-    documents = read.drop("hrefs", "has_text", *measures).join(going.filter(F.col("outcome") == "kept"), key).drop("block", "outcome")
-    arrays = read.filter(F.size("hrefs") > 0).select(*key, "norm_url", "hrefs").join(going, key)
+    going = bucketed(by_block(marked.filter(_fetched() & ~F.col("after_stop"))), "going", "block", n_buckets)
+    documents = met_by_block(read.drop("hrefs", "has_text", *measures), going).filter("__kept").drop("block", "__kept")
+    arrays = met_by_block(read.filter(F.size("hrefs") > 0).select("block", "fetch_seq", "norm_url", "hrefs"), going)
     moved = marked.filter(_fetched() & ~F.col("after_stop"))
     found = page_ops.explode_links(arrays).unionByName(links.redirect_links(moved))
     admitted = links.admitted(links.admit_links(links.with_link_parts(found, suffixes), config))

@@ -17,8 +17,6 @@ PLAN_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # tables bucketed by the block of a page meet on block and number without an exchange
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # charsets of several bytes are those of the Java platform; bytes that a charset does not have become replacement characters
     "spark.sql.legacy.javaCharsets": "true",
     "spark.sql.legacy.codingErrorAction": "true",
