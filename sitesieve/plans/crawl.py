@@ -170,7 +170,7 @@ def run(
     may use every column of a page, its text included.
 
     The text of a page is read once: that pass writes what it found in buckets by block of ``fetch_seq``, where it was read, without a shuffle.
-    Judging works on the narrow columns of this table; its result is written in the same buckets, so that documents and links get their site and
+    Judging works on the narrow columns of this table; what is to stay is written in the same buckets, a row for each block, so that documents and links get their site and
     lose the pages that are denied or behind a stop in joins of bucket with bucket, however many these are. The narrow side is the one that is hashed.
     """
     if isinstance(suffixes, DataFrame):
@@ -186,12 +186,11 @@ def run(
     sites = stage(site_stops(judged, config, policy, starts), "sites")
     stops = sites.filter(F.col("stop_seq").isNotNull()).select("site", "stop_seq")
     marked = judged.join(stops, "site", "left").withColumn("after_stop", F.coalesce(F.col("fetch_seq") > F.col("stop_seq"), F.lit(False))).drop("stop_seq")
-    marked = bucketed(marked.repartition(n_buckets, "block"), "marked", "block", n_buckets)
 
-    going = bucketed(by_block(marked.filter(_fetched() & ~F.col("after_stop"))), "going", "block", n_buckets)
+    moved = marked.filter(_fetched() & ~F.col("after_stop"))
+    going = bucketed(by_block(moved.repartition(n_buckets, "block")), "going", "block", n_buckets)
     documents = met_by_block(read.drop("hrefs", "has_text", *measures), going).filter("__kept").drop("block", "__kept")
     arrays = met_by_block(read.filter(F.size("hrefs") > 0).select("block", "fetch_seq", "norm_url", "hrefs"), going)
-    moved = marked.filter(_fetched() & ~F.col("after_stop"))
     found = page_ops.explode_links(arrays).unionByName(links.redirect_links(moved))
     admitted = links.admitted(links.admit_links(links.with_link_parts(found, suffixes), config))
     seen = judged.select("norm_url")
