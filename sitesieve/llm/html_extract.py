@@ -12,11 +12,13 @@ is left at the end are the neighbours in the suffix array that share at least ``
 repeated substrings; the tokens they cover are boilerplate. An undecided block of which half or more is covered goes, a block of mostly unique
 runs stays. Pages with equal streams are one page here, so a mirrored page does not delete itself.
 
-A host is cut into chunks of about ``CHUNK`` bytes by a hash of the page, each with its own suffix array, so no task holds a whole host.
-Substrings that repeat only between chunks are found by joining hashes of the ``LONG``-token windows of all pages, declared ones too, which are aggregated by
-hash before they meet, and reach the chunks as marks along with the pages. The text is shuffled once.
+Pages are parsed once, in pieces of about ``CHUNK`` bytes as they are stored, with a suffix array for each host of a piece, so no task holds a whole
+host and the text is not shuffled: it is written once, in buckets by piece. What repeats only between pieces is found in two rounds. Of each window of
+``LONG`` tokens its least ``GRAM``-token hash is taken, the same for equal windows; the distinct ones of a piece, packed as differences by hash range, meet
+those of other pieces. Windows around hashes of several pieces are then compared themselves, with the streams they come from, and those of several
+streams go back to the pieces that hold them once. So results do not depend on how pages are cut.
 
-Null html is an empty page and a page without text has the empty string. Null URLs form a host of their own. Rows that repeat give a row each.
+Open tags without any end behind them are text, in time linear in the page. Null html is an empty page and a page without text has the empty string. Null URLs form a host of their own. Rows that repeat give a row each.
 """
 
 from __future__ import annotations
@@ -24,18 +26,25 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import stage
+from ..session import buckets, new_path, stage
 from .url_reputation import host_and_path
 
 LONG = 8
-CHUNK = 1 << 20
+# Tokens of the parts by which windows are found: a third of all positions at five parts in a window.
+GRAM = 4
+CHUNK = 1 << 22
+# Bytes of html whose part hashes are compared in one group.
+RANGE = 1 << 26
 COVERED = 0.5
 
 # Elements of HTML by role.
@@ -66,6 +75,7 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # what words name such an element holds articles of readers, not the page's
 REMARKS = frozenset("comment comments reply replies disqus respond discussion".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -90,7 +100,10 @@ def _declared(name: str, attributes: str, in_content: bool) -> tuple[bool, set[s
         elif key in ("class", "id"):
             words |= {w.lower() for w in PIECES.findall(value)}
     said = words & (CHROME_WORDS if in_content else CHROME_WORDS | {"header"})
-    # an article among the comments of another one is boilerplate already by what it lies in
+    if in_content and name in HEADINGS:
+        said = set()  # identifiers of headings are made of their text
+    if in_content and name == "article" and words & REMARKS:
+        chrome = True
     return chrome, said if not (chrome or content or name in WHOLE) else set(), content and not chrome
 
 
@@ -100,6 +113,11 @@ def blocks_of(page: str | None) -> list[Block]:
     Words of a class or id do not make boilerplate of what holds the longest article, unless they name comments and the page has other text.
     """
     page = page or ""
+    # behind the last end of a tag nothing but a comment begins, so that no search for an end runs over the rest of the page again and again
+    last = page.rfind(">") + 1
+    opened = page.find("<!--", last)
+    opened = len(page) if opened < 0 else opened
+    page = page[:last] + page[last:opened].replace("<", "&lt;") + page[opened:]
     found: list[Block] = []
     # outside of articles: the elements that only words mark and the article that a block lies in
     where: list[tuple[tuple[int, ...], int | None]] = []
@@ -239,19 +257,43 @@ def repeated(streams: list[list[str]], long: int = LONG) -> list[np.ndarray]:
     return [covered[end - c.size : end - 1] for c, end in zip(coded, ends)]
 
 
-def windows_of(tokens: list[str], long: int = LONG) -> np.ndarray:
-    """A 64-bit hash of each run of ``long`` tokens."""
-    hashed: dict[str, int] = {}
-    coded = np.array(
-        [hashed.setdefault(t, int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")) for t in tokens],
-        dtype=np.uint64,
-    )
-    n = coded.size - long + 1
-    total = np.zeros(max(n, 0), dtype=np.uint64)
+class Hashes(dict):
+    """64-bit hashes of tokens, each computed once."""
+
+    def __missing__(self, token: str) -> int:
+        found = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self[token] = found
+        return found
+
+
+def windows_of(coded: np.ndarray, long: int = LONG) -> np.ndarray:
+    """A 64-bit hash of each run of ``long`` tokens, given the hashes of the tokens."""
+    n = max(coded.size - long + 1, 0)
+    total = np.zeros(n, dtype=np.uint64)
     for k in range(long):
-        if n > 0:
-            total = total * np.uint64(0x9E3779B97F4A7C15) + coded[k : k + n]
-    return total.view(np.int64)
+        total = total * np.uint64(0x9E3779B97F4A7C15) + coded[k : k + n]
+    return total
+
+
+def least_parts(coded: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all parts of a stream and, for each window of ``long`` tokens, where its first least part starts."""
+    size = min(GRAM, long)
+    parts = windows_of(coded, size)
+    if coded.size < long:
+        return parts, np.zeros(0, dtype=np.int64)
+    inside = np.lib.stride_tricks.sliding_window_view(parts, long - size + 1)
+    return parts, inside.argmin(axis=1) + np.arange(inside.shape[0])
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as compressed differences."""
+    steps = np.diff(numbers, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 def main_text(blocks: list[Block], covered: np.ndarray) -> tuple[str, int]:
@@ -270,83 +312,200 @@ def main_text(blocks: list[Block], covered: np.ndarray) -> tuple[str, int]:
     return "\n".join(kept), removed
 
 
-def _marks(pages: DataFrame, long: int) -> DataFrame:
-    """(page_id, key, starts) of windows that occur in other pages of the host, wherever they are."""
-    id_type = pages.schema["page_id"].dataType.simpleString()
+@dataclass
+class Streams:
+    """The token streams of a piece: of each page which one, and of each distinct one of a host its tokens."""
+
+    of: list[int]
+    hosts: list[str | None]
+    tokens: list[list[str]]
+    hashes: list[bytes]
+
+    @classmethod
+    def read(cls, hosts: list[str | None], streams: list[list[str]]) -> Streams:
+        out, numbers = cls([], [], [], []), {}
+        for host, tokens in zip(hosts, streams):
+            named = (host, stream_hash(tokens))
+            if named not in numbers:
+                numbers[named] = len(numbers)
+                out.hosts.append(host)
+                out.tokens.append(tokens)
+                out.hashes.append(named[1])
+            out.of.append(numbers[named])
+        return out
+
+    def covered(self, long: int) -> list[np.ndarray]:
+        by_host: dict[str | None, list[int]] = {}
+        for k, host in enumerate(self.hosts):
+            by_host.setdefault(host, []).append(k)
+        out: list[np.ndarray] = [np.zeros(0, bool)] * len(self.tokens)
+        for numbers in by_host.values():
+            for k, mask in zip(numbers, repeated([self.tokens[k] for k in numbers], long)):
+                out[k] = mask
+        return out
+
+    def coded(self) -> Iterator[tuple[np.uint64, np.ndarray]]:
+        """The hash of the host and those of the tokens of each stream."""
+        known = Hashes()
+        for host, tokens in zip(self.hosts, self.tokens):
+            # a blank is no token, and a missing host is not the empty one
+            yield np.uint64(known["\n" if host is None else " " + host]), np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def _short(parts: np.ndarray, host: np.uint64, bits: int) -> np.ndarray:
+    """Part hashes of a host in ``bits`` bits."""
+    return ((parts ^ host) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+
+
+def _sorted_in(numbers: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of the numbers are among the ascending ``known``."""
+    if not known.size:
+        return np.zeros(numbers.size, dtype=bool)
+    return known[np.minimum(np.searchsorted(known, numbers), known.size - 1)] == numbers
+
+
+def _runs(mask: np.ndarray) -> list[int]:
+    """Starts and ends of the runs of a mask, in turn."""
+    return np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).tolist()
+
+
+def _parsed(pages: DataFrame, long: int, bits: int, cut: int) -> DataFrame:
+    """Pieces of pages: a row for each page with its blocks and what its piece covers of them, and one for each range of part hashes of the piece."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = pages.schema["page_id"].dataType
+    kinds = {
+        "piece": pa.int64(), "host": pa.string(), "page_id": to_arrow_type(id_type), "url": pa.string(), "texts": pa.list_(pa.string()),
+        "marks": pa.list_(pa.int8()), "covered": pa.list_(pa.int32()), "range": pa.int64(), "parts": pa.binary(),
+    }
+
+    def batch(n: int, **columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), t) for c, t in kinds.items()], names=list(kinds))
+
+    def cut_piece(rows: list[dict], piece: int) -> Iterator[pa.RecordBatch]:
+        parsed = [blocks_of(r["html"]) for r in rows]
+        streams = Streams.read([r["host"] for r in rows], [stream_of(b) for b in parsed])
+        runs = [_runs(mask) for mask in streams.covered(long)]
+        yield batch(
+            len(rows), piece=[piece] * len(rows), host=[r["host"] for r in rows], page_id=[r["page_id"] for r in rows], url=[r["url"] for r in rows],
+            texts=[[b.text for b in p] for p in parsed], marks=[[b.chrome + 2 * b.content for b in p] for p in parsed],
+            covered=[runs[k] for k in streams.of],
+        )
+        found = [np.zeros(0, np.uint64)]
+        for host, coded in streams.coded():
+            parts, least = least_parts(coded, long)
+            found.append(_short(parts[np.unique(least)], host, bits))
+        every = np.unique(np.concatenate(found))
+        if every.size:
+            ranges = every >> np.uint64(cut)
+            starts = np.flatnonzero(np.diff(ranges, prepend=ranges[0] + np.uint64(1)) != 0)
+            packed = [pack(part) for part in np.split(every, starts[1:])]
+            yield batch(starts.size, piece=[piece] * starts.size, range=ranges[starts].astype(np.int64).tolist(), parts=packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, page in enumerate(batch.column("html")):
-                tokens = stream_of(blocks_of(page.as_py()))
-                found = windows_of(tokens, long)
-                same = pa.repeat(i, found.size)
-                stream = int.from_bytes(stream_hash(tokens)[:8], "little", signed=True)
-                columns = [batch.column(c).take(same) for c in ("page_id", "key", "host")]
-                columns += [pa.array(found), pa.array(np.arange(found.size, dtype=np.int32)), pa.array(np.full(found.size, stream))]
-                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "key", "host", "window", "start", "stream"])
-
-    schema = f"page_id {id_type}, key long, host string, window long, start int, stream long"
-    found = stage(pages.select("page_id", "key", "host", "html").mapInArrow(run, schema), "windows")
-    shared = found.groupBy("host", "window").agg(F.min("stream").alias("a"), F.max("stream").alias("b")).filter("a <> b").select("host", "window")
-    marked = found.join(shared, ["host", "window"], "left_semi").select("page_id", "key", "start").distinct()
-    return marked.groupBy("page_id", "key").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+        piece = TaskContext.get().partitionId() << 32
+        held, size = [], 0
+        for rows in batches:
+            for r in rows.to_pylist():
+                held.append(r)
+                size += len(r["html"] or "")
+                if size >= CHUNK:
+                    yield from cut_piece(held, piece)
+                    held, size, piece = [], 0, piece + 1
+        if held:
+            yield from cut_piece(held, piece)
+
+    return pages.mapInArrow(
+        run,
+        f"piece long, host string, page_id {id_type.simpleString()}, url string, texts array<string>, marks array<tinyint>, covered array<int>, "
+        "`range` long, parts binary",
+    )
+
+
+def _several(parsed: DataFrame) -> DataFrame:
+    """(piece, parts) of the part hashes of a piece that other pieces have too, a row for each range."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        pieces = np.array(group["piece"].to_pylist(), dtype=np.int64)
+        parts = [unpack(p) for p in group["parts"].to_pylist()]
+        values, counts = np.unique(np.concatenate(parts), return_counts=True)
+        shared = values[counts > 1]
+        found = [p[_sorted_in(p, shared)] for p in parts]
+        kept = [k for k, p in enumerate(found) if p.size]
+        return pa.table({"piece": pa.array(pieces[kept]), "parts": pa.array([pack(found[k]) for k in kept], pa.binary())})
+
+    return parsed.filter("parts IS NOT NULL").select("piece", "range", "parts").groupBy("range").applyInArrow(compare, "piece long, parts binary")
+
+
+def _windows(texts: DataFrame, several: DataFrame, long: int, bits: int) -> DataFrame:
+    """(piece, window, a, b): windows around part hashes of several pieces, with the least and the largest of their streams in the piece."""
+    schema = pa.schema([("piece", pa.int64()), ("window", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+    def find(pages: pa.Table, parts: pa.Table) -> pa.Table:
+        if not pages.num_rows or not parts.num_rows:
+            return schema.empty_table()
+        known = np.sort(np.concatenate([unpack(p) for p in parts["parts"].to_pylist()]))
+        streams = Streams.read(pages["host"].to_pylist(), [" ".join(t).split() for t in pages["texts"].to_pylist()])
+        windows, sources = [], []
+        for (host, coded), stream in zip(streams.coded(), streams.hashes):
+            all_parts, least = least_parts(coded, long)
+            at = np.flatnonzero(_sorted_in(_short(all_parts, host, bits), known)[least])
+            windows.append((windows_of(coded, long)[at] ^ host).view(np.int64))
+            sources.append(np.full(at.size, int.from_bytes(stream[:8], "little", signed=True), dtype=np.int64))
+        window, source = np.concatenate(windows), np.concatenate(sources)
+        order = np.lexsort((source, window))
+        window, source = window[order], source[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(window) != 0]) if window.size else np.zeros(0, np.int64)
+        ends = np.r_[starts[1:], window.size] - 1 if window.size else starts
+        columns = [np.full(starts.size, pages["piece"][0].as_py(), dtype=np.int64), window[starts], source[starts], source[ends]]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    return texts.groupBy("piece").cogroup(several.groupBy("piece")).applyInArrow(find, "piece long, window long, a long, b long")
 
 
 def extract(pages: DataFrame, long: int = LONG) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated (tokens covered by repeated substrings) and n_removed (undecided blocks removed as
     repeated) of every row of ``pages``."""
-    id_type = pages.schema["page_id"].dataType.simpleString()
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark, id_type = pages.sparkSession, pages.schema["page_id"].dataType
     host, _ = host_and_path(F.col("url"))
-    rows = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("url", "html").alias("key"))
-    sizes = rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes"))
-    large = stage(sizes.filter(F.col("bytes") > CHUNK).select("host", F.ceil(F.col("bytes") / CHUNK).cast("int").alias("chunks")), "large_hosts")
-    rows = rows.join(large, "host", "left").withColumn("chunk", F.pmod(F.xxhash64("page_id", "key"), F.coalesce("chunks", F.lit(1))).cast("int"))
-    marks = stage(_marks(rows.filter("chunks IS NOT NULL"), long), "marks")
-    # marks go where their page goes
-    marks = marks.withColumnsRenamed({"page_id": "id", "key": "of"})
-    plain = rows.select("host", "chunk", "page_id", "key", "url", "html", F.lit(None).cast("array<int>").alias("starts"))
-    if not marks.isEmpty():
-        at = rows.select("host", "chunk", "page_id", "key").distinct()
-        placed = at.join(marks, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("of")))
-        plain = plain.unionByName(placed.select("host", "chunk", "page_id", "key", "starts"), allowMissingColumns=True)
+    rows = pages.select("page_id", "url", "html", host.alias("host"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    bits = min(64, total.bit_length() + 10)
+    name = f"pieces_{uuid.uuid4().hex}"
+    n = max(buckets(spark), total // RANGE)
+    writer = _parsed(rows, long, bits, bits - (total // RANGE).bit_length()).write.format("parquet").option("compression", "zstd")
+    writer.bucketBy(n, "piece").option("path", new_path(spark, "pieces")).saveAsTable(name)
+    parsed = spark.table(name)
+    texts = parsed.filter("parts IS NULL")
+    found = stage(_windows(texts.select("piece", "host", "texts"), _several(parsed), long, bits), "windows")
+    shared = found.groupBy("window").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("window")
+    # the suffix array of a piece has found what its own pages share
+    asked = found.filter("a = b").join(shared, "window", "left_semi").select("piece", "window")
 
     names = ("page_id", "url", "text", "n_chars", "n_repeated", "n_removed")
-
-    def chunk(rows: list[dict]) -> pa.RecordBatch:
-        marked = {(r["page_id"], r["key"]): r["starts"] for r in rows if r["starts"] is not None}
-        pages = [r for r in rows if r["starts"] is None]
-        parsed = [blocks_of(r["html"]) for r in pages]
-        streams = [stream_of(b) for b in parsed]
-        first: dict[bytes, int] = {}
-        same = [first.setdefault(stream_hash(s), len(first)) for s in streams]
-        distinct: list[list[str]] = [[] for _ in first]
-        for k, tokens in zip(same, streams):
-            distinct[k] = tokens
-        covered = repeated(distinct, long)
+    kinds = (to_arrow_type(id_type), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+
+    def decide(pages: pa.Table, windows: pa.Table) -> pa.Table:
+        rows = pages.to_pylist()
+        blocks = [[Block(t, bool(m & 1), bool(m & 2)) for t, m in zip(r["texts"], r["marks"])] for r in rows]
+        streams = Streams.read([r["host"] for r in rows], [stream_of(b) for b in blocks])
+        masks = [np.zeros(len(t), dtype=bool) for t in streams.tokens]
+        for r, k in zip(rows, streams.of):
+            for start, end in zip(r["covered"][::2], r["covered"][1::2]):
+                masks[k][start:end] = True
+        known = np.sort(windows["window"].to_numpy())
+        if known.size:
+            for mask, (host, coded) in zip(masks, streams.coded()):
+                for start in np.flatnonzero(_sorted_in((windows_of(coded, long) ^ host).view(np.int64), known)):
+                    mask[start : start + long] = True
         out = []
-        for r, blocks, k in zip(pages, parsed, same):
-            mask = covered[k].copy()
-            for start in marked.get((r["page_id"], r["key"]), ()):
-                mask[start : start + long] = True
-            text, removed = main_text(blocks, mask)
-            out.append((r["page_id"], r["url"], text, len(text), int(mask.sum()), removed))
-        kinds = (id_arrow, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+        for r, b, k in zip(rows, blocks, streams.of):
+            text, removed = main_text(b, masks[k])
+            out.append((r["page_id"], r["url"], text, len(text), int(masks[k].sum()), removed))
         columns = list(zip(*out)) or [[]] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held and (r["host"], r["chunk"]) != (held[0]["host"], held[0]["chunk"]):
-                    yield chunk(held)
-                    held = []
-                held.append(r)
-        if held:
-            yield chunk(held)
-
-    from pyspark.sql.pandas.types import to_arrow_type
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
 
-    id_arrow = to_arrow_type(pages.schema["page_id"].dataType)
-    dealt = plain.repartition("host", "chunk").sortWithinPartitions("host", "chunk", "page_id", "key")
-    return dealt.mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long, n_repeated long, n_removed int")
+    pieces = texts.select("piece", "host", "page_id", "url", "texts", "marks", "covered").groupBy("piece").cogroup(asked.groupBy("piece"))
+    return pieces.applyInArrow(decide, f"page_id {id_type.simpleString()}, url string, text string, n_chars long, n_repeated long, n_removed int")

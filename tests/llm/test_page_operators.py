@@ -53,6 +53,57 @@ def test_broken_pages(page):
     html_extract.main_text(html_extract.blocks_of(page), np.zeros(1000, bool))
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><h2 id="comments">Comments</h2><h3 class="search">Search</h3>Kept.</article>', "Comments\nSearch\nKept."),
+        ('<article>Kept.<article class="comment">A reader.</article></article>', "Kept."),
+        ("<article>Kept.</article><script>never closed < 1 <a <b", "Kept."),
+        ("<article>Kept. <!-- open <b> <i", "Kept."),
+        ("<article>1 < 2", "1 < 2"),
+        ("<article>" + "<a " * 10**6, ("<a " * 10**6).strip()),
+    ],
+)
+def test_headings_readers_and_open_ends(page, text):
+    assert html_extract.main_text(html_extract.blocks_of(page), np.zeros(1, bool))[0] == text
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        numbers = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        assert (html_extract.unpack(html_extract.pack(numbers)) == numbers).all()
+
+
+@pytest.mark.parametrize("chunk", [1, 400, 1 << 22])
+def test_repeats_of_a_host_against_plain_windows(spark, monkeypatch, chunk):
+    monkeypatch.setattr(html_extract, "CHUNK", chunk)
+    monkeypatch.setattr(html_extract, "RANGE", 512)
+    rng = random.Random(chunk)
+    long = html_extract.LONG
+    phrases = [" ".join(rng.choice("abcd") for _ in range(rng.randint(3, 14))) for _ in range(25)]
+    rows = []
+    for i in range(60):
+        body = "".join(f"<div>{rng.choice(phrases)} {rng.choice(phrases)}</div>" for _ in range(rng.randint(0, 4)))
+        rows.append((i, rng.choice(["http://a.com/", "http://b.com/", None]), body))
+    rows += [(100 + i, u, h) for i, u, h in rows[:10]]
+    streams = {i: (u, tuple(html_extract.stream_of(html_extract.blocks_of(h)))) for i, u, h in rows}
+    seen = {}
+    for u, s in streams.values():
+        for p in range(len(s) - long + 1):
+            seen.setdefault((u, s[p : p + long]), set()).add(s)
+    got = {r.page_id: r for r in html_extract.extract(frame(spark, rows)).collect()}
+    assert len(got) == len(rows) and sum(r.n_repeated for r in got.values()) > 0
+    for i, u, h in rows:
+        s = streams[i][1]
+        mask = np.zeros(len(s), bool)
+        for p in range(len(s) - long + 1):
+            if len(seen[u, s[p : p + long]]) > 1:
+                mask[p : p + long] = True
+        assert got[i].n_repeated == mask.sum()
+        assert (got[i].text, got[i].n_removed) == html_extract.main_text(html_extract.blocks_of(h), mask)
+
+
 def test_suffix_array_against_all_windows():
     rng = random.Random(1)
     for _ in range(150):
