@@ -15,8 +15,8 @@ runs stays. Pages with equal streams are one page here, so a mirrored page does
 Pages are parsed once, in pieces of about ``CHUNK`` bytes as they are stored, with a suffix array for each host of a piece, so no task holds a whole
 host and the text is not shuffled: it is written once, in buckets by piece. What repeats only between pieces is found in two rounds. Of each window of
 ``LONG`` tokens its least ``GRAM``-token hash is taken, the same for equal windows; the distinct ones of a piece, packed as differences by hash range, meet
-those of other pieces. Windows around hashes of several pieces are then compared themselves, with the streams they come from, and those of several
-streams go back to the pieces that hold them once. So results do not depend on how pages are cut.
+those of other pieces. Windows around hashes of several pieces are then compared themselves in the same way, with the streams they come from, and
+those of several streams go back to the pieces that hold them once. A group is a range of hashes, as many as there are units of ``RANGE`` bytes. So results do not depend on how pages are cut.
 
 Open tags without any end behind them are text, in time linear in the page. Null html is an empty page and a page without text has the empty string. Null URLs form a host of their own. Rows that repeat give a row each.
 """
@@ -36,13 +36,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import buckets, new_path, stage
+from ..session import buckets, new_path
 from .url_reputation import host_and_path
 
 LONG = 8
 # Tokens of the parts by which windows are found: a third of all positions at five parts in a window.
 GRAM = 4
-CHUNK = 1 << 22
+CHUNK = 1 << 23
 # Bytes of html whose part hashes are compared in one group.
 RANGE = 1 << 26
 COVERED = 0.5
@@ -209,8 +209,8 @@ def stream_of(blocks: list[Block]) -> list[str]:
     return [word for b in blocks for word in b.text.split()]
 
 
-def stream_hash(tokens: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(tokens).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+def stream_hash(tokens: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def repeated(streams: list[list[str]], long: int = LONG) -> list[np.ndarray]:
@@ -291,6 +291,13 @@ def pack(numbers: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
+def cut_by_range(numbers: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each range of ascending numbers starts, and what stands above the lowest ``cut`` bits in it."""
+    ranges = numbers >> np.uint64(cut) if cut < 64 else np.zeros(numbers.size, dtype=np.uint64)
+    starts = np.flatnonzero(np.r_[numbers.size > 0, np.diff(ranges) != 0])
+    return starts, ranges[starts].astype(np.int64)
+
+
 def unpack(packed: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
@@ -319,17 +326,19 @@ class Streams:
     of: list[int]
     hosts: list[str | None]
     tokens: list[list[str]]
-    hashes: list[bytes]
+    hashes: list[int]
 
     @classmethod
-    def read(cls, hosts: list[str | None], streams: list[list[str]]) -> Streams:
+    def read(cls, hosts: list[str | None], texts: list[list[str]], hashes: list[int] | None = None) -> Streams:
+        """From the texts of the blocks of each page, and the hashes of their streams if they are known."""
         out, numbers = cls([], [], [], []), {}
-        for host, tokens in zip(hosts, streams):
-            named = (host, stream_hash(tokens))
+        for k, host in enumerate(hosts):
+            tokens = " ".join(texts[k]).split() if hashes is None else None
+            named = (host, stream_hash(tokens) if hashes is None else hashes[k])
             if named not in numbers:
                 numbers[named] = len(numbers)
                 out.hosts.append(host)
-                out.tokens.append(tokens)
+                out.tokens.append(" ".join(texts[k]).split() if tokens is None else tokens)
                 out.hashes.append(named[1])
             out.of.append(numbers[named])
         return out
@@ -376,7 +385,7 @@ def _parsed(pages: DataFrame, long: int, bits: int, cut: int) -> DataFrame:
     id_type = pages.schema["page_id"].dataType
     kinds = {
         "piece": pa.int64(), "host": pa.string(), "page_id": to_arrow_type(id_type), "url": pa.string(), "texts": pa.list_(pa.string()),
-        "marks": pa.list_(pa.int8()), "covered": pa.list_(pa.int32()), "range": pa.int64(), "parts": pa.binary(),
+        "marks": pa.list_(pa.int8()), "stream": pa.int64(), "covered": pa.list_(pa.int32()), "range": pa.int64(), "parts": pa.binary(),
     }
 
     def batch(n: int, **columns: list) -> pa.RecordBatch:
@@ -384,12 +393,13 @@ def _parsed(pages: DataFrame, long: int, bits: int, cut: int) -> DataFrame:
 
     def cut_piece(rows: list[dict], piece: int) -> Iterator[pa.RecordBatch]:
         parsed = [blocks_of(r["html"]) for r in rows]
-        streams = Streams.read([r["host"] for r in rows], [stream_of(b) for b in parsed])
+        texts = [[b.text for b in p] for p in parsed]
+        streams = Streams.read([r["host"] for r in rows], texts)
         runs = [_runs(mask) for mask in streams.covered(long)]
         yield batch(
             len(rows), piece=[piece] * len(rows), host=[r["host"] for r in rows], page_id=[r["page_id"] for r in rows], url=[r["url"] for r in rows],
-            texts=[[b.text for b in p] for p in parsed], marks=[[b.chrome + 2 * b.content for b in p] for p in parsed],
-            covered=[runs[k] for k in streams.of],
+            texts=texts, marks=[[b.chrome + 2 * b.content for b in p] for p in parsed],
+            stream=[streams.hashes[k] for k in streams.of], covered=[runs[k] for k in streams.of],
         )
         found = [np.zeros(0, np.uint64)]
         for host, coded in streams.coded():
@@ -397,10 +407,9 @@ def _parsed(pages: DataFrame, long: int, bits: int, cut: int) -> DataFrame:
             found.append(_short(parts[np.unique(least)], host, bits))
         every = np.unique(np.concatenate(found))
         if every.size:
-            ranges = every >> np.uint64(cut)
-            starts = np.flatnonzero(np.diff(ranges, prepend=ranges[0] + np.uint64(1)) != 0)
+            starts, ranges = cut_by_range(every, cut)
             packed = [pack(part) for part in np.split(every, starts[1:])]
-            yield batch(starts.size, piece=[piece] * starts.size, range=ranges[starts].astype(np.int64).tolist(), parts=packed)
+            yield batch(starts.size, piece=[piece] * starts.size, range=ranges.tolist(), parts=packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = TaskContext.get().partitionId() << 32
@@ -417,7 +426,7 @@ def _parsed(pages: DataFrame, long: int, bits: int, cut: int) -> DataFrame:
 
     return pages.mapInArrow(
         run,
-        f"piece long, host string, page_id {id_type.simpleString()}, url string, texts array<string>, marks array<tinyint>, covered array<int>, "
+        f"piece long, host string, page_id {id_type.simpleString()}, url string, texts array<string>, marks array<tinyint>, stream long, covered array<int>, "
         "`range` long, parts binary",
     )
 
@@ -437,30 +446,63 @@ def _several(parsed: DataFrame) -> DataFrame:
     return parsed.filter("parts IS NOT NULL").select("piece", "range", "parts").groupBy("range").applyInArrow(compare, "piece long, parts binary")
 
 
-def _windows(texts: DataFrame, several: DataFrame, long: int, bits: int) -> DataFrame:
-    """(piece, window, a, b): windows around part hashes of several pieces, with the least and the largest of their streams in the piece."""
-    schema = pa.schema([("piece", pa.int64()), ("window", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def _windows(texts: DataFrame, several: DataFrame, long: int, bits: int, cut: int) -> DataFrame:
+    """Windows of a piece around part hashes of several pieces, a row for each range: piece, range, windows (ascending, packed), streams (their
+    distinct streams, packed) and which of them each window comes from; stream 0 stands for several streams of the piece."""
+    names = ["piece", "range", "windows", "streams", "which"]
+    schema = pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))))
 
     def find(pages: pa.Table, parts: pa.Table) -> pa.Table:
         if not pages.num_rows or not parts.num_rows:
             return schema.empty_table()
         known = np.sort(np.concatenate([unpack(p) for p in parts["parts"].to_pylist()]))
-        streams = Streams.read(pages["host"].to_pylist(), [" ".join(t).split() for t in pages["texts"].to_pylist()])
+        streams = Streams.read(pages["host"].to_pylist(), pages["texts"].to_pylist(), pages["stream"].to_pylist())
         windows, sources = [], []
         for (host, coded), stream in zip(streams.coded(), streams.hashes):
             all_parts, least = least_parts(coded, long)
             at = np.flatnonzero(_sorted_in(_short(all_parts, host, bits), known)[least])
-            windows.append((windows_of(coded, long)[at] ^ host).view(np.int64))
-            sources.append(np.full(at.size, int.from_bytes(stream[:8], "little", signed=True), dtype=np.int64))
+            windows.append(windows_of(coded, long)[at] ^ host)
+            sources.append(np.full(at.size, np.int64(stream)).view(np.uint64))
         window, source = np.concatenate(windows), np.concatenate(sources)
         order = np.lexsort((source, window))
         window, source = window[order], source[order]
-        starts = np.flatnonzero(np.r_[True, np.diff(window) != 0]) if window.size else np.zeros(0, np.int64)
-        ends = np.r_[starts[1:], window.size] - 1 if window.size else starts
-        columns = [np.full(starts.size, pages["piece"][0].as_py(), dtype=np.int64), window[starts], source[starts], source[ends]]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=schema)
+        firsts = np.flatnonzero(np.r_[window.size > 0, np.diff(window) != 0])
+        lasts = np.r_[firsts[1:], window.size][: firsts.size] - 1
+        window, source = window[firsts], np.where(source[firsts] == source[lasts], source[firsts], np.uint64(0))
+        starts, ranges = cut_by_range(window, cut)
+        piece, rows = pages["piece"][0].as_py(), []
+        for k, of, found in zip(ranges.tolist(), np.split(source, starts[1:]), np.split(window, starts[1:])):
+            distinct, which = np.unique(of, return_inverse=True)
+            planes = np.ascontiguousarray(which.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            rows.append((piece, k, pack(found), pack(distinct), zstandard.compress(planes.tobytes())))
+        return pa.Table.from_pylist([dict(zip(names, r)) for r in rows], schema=schema) if starts.size else schema.empty_table()
+
+    schemas = "piece long, `range` long, windows binary, streams binary, which binary"
+    return texts.groupBy("piece").cogroup(several.groupBy("piece")).applyInArrow(find, schemas)
+
+
+def _asked(windows: DataFrame) -> DataFrame:
+    """(piece, windows) of the windows that a piece has in one stream only and another piece in another, a row for each range."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        found = [unpack(w) for w in group["windows"].to_pylist()]
+        sources = []
+        for streams, which in zip(group["streams"].to_pylist(), group["which"].to_pylist()):
+            planes = np.frombuffer(zstandard.decompress(which), np.uint8).reshape(4, -1)
+            sources.append(unpack(streams)[np.ascontiguousarray(planes.T).view("<u4").ravel()])
+        window, source = np.concatenate(found), np.concatenate(sources)
+        order = np.lexsort((source, window))
+        window, source = window[order], source[order]
+        firsts = np.flatnonzero(np.r_[True, np.diff(window) != 0])
+        lasts = np.r_[firsts[1:], window.size] - 1
+        # the least source is 0 where a piece has several
+        shared = window[firsts[(source[firsts] != source[lasts]) | (source[firsts] == 0)]]
+        asked = [w[_sorted_in(w, shared) & (of != 0)] for w, of in zip(found, sources)]
+        kept = [k for k, w in enumerate(asked) if w.size]
+        pieces = np.array(group["piece"].to_pylist(), dtype=np.int64)
+        return pa.table({"piece": pa.array(pieces[kept]), "windows": pa.array([pack(asked[k]) for k in kept], pa.binary())})
 
-    return texts.groupBy("piece").cogroup(several.groupBy("piece")).applyInArrow(find, "piece long, window long, a long, b long")
+    return windows.groupBy("range").applyInArrow(compare, "piece long, windows binary")
 
 
 def extract(pages: DataFrame, long: int = LONG) -> DataFrame:
@@ -479,10 +521,8 @@ def extract(pages: DataFrame, long: int = LONG) -> DataFrame:
     writer.bucketBy(n, "piece").option("path", new_path(spark, "pieces")).saveAsTable(name)
     parsed = spark.table(name)
     texts = parsed.filter("parts IS NULL")
-    found = stage(_windows(texts.select("piece", "host", "texts"), _several(parsed), long, bits), "windows")
-    shared = found.groupBy("window").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("window")
-    # the suffix array of a piece has found what its own pages share
-    asked = found.filter("a = b").join(shared, "window", "left_semi").select("piece", "window")
+    several = _several(parsed)
+    asked = _asked(_windows(texts.select("piece", "host", "texts", "stream"), several, long, bits, 64 - (total // RANGE).bit_length()))
 
     names = ("page_id", "url", "text", "n_chars", "n_repeated", "n_removed")
     kinds = (to_arrow_type(id_type), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
@@ -490,15 +530,15 @@ def extract(pages: DataFrame, long: int = LONG) -> DataFrame:
     def decide(pages: pa.Table, windows: pa.Table) -> pa.Table:
         rows = pages.to_pylist()
         blocks = [[Block(t, bool(m & 1), bool(m & 2)) for t, m in zip(r["texts"], r["marks"])] for r in rows]
-        streams = Streams.read([r["host"] for r in rows], [stream_of(b) for b in blocks])
+        streams = Streams.read([r["host"] for r in rows], [r["texts"] for r in rows], [r["stream"] for r in rows])
         masks = [np.zeros(len(t), dtype=bool) for t in streams.tokens]
         for r, k in zip(rows, streams.of):
             for start, end in zip(r["covered"][::2], r["covered"][1::2]):
                 masks[k][start:end] = True
-        known = np.sort(windows["window"].to_numpy())
+        known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack(w) for w in windows["windows"].to_pylist())]))
         if known.size:
             for mask, (host, coded) in zip(masks, streams.coded()):
-                for start in np.flatnonzero(_sorted_in((windows_of(coded, long) ^ host).view(np.int64), known)):
+                for start in np.flatnonzero(_sorted_in(windows_of(coded, long) ^ host, known)):
                     mask[start : start + long] = True
         out = []
         for r, b, k in zip(rows, blocks, streams.of):
@@ -507,5 +547,5 @@ def extract(pages: DataFrame, long: int = LONG) -> DataFrame:
         columns = list(zip(*out)) or [[]] * 6
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=list(names))
 
-    pieces = texts.select("piece", "host", "page_id", "url", "texts", "marks", "covered").groupBy("piece").cogroup(asked.groupBy("piece"))
+    pieces = texts.select("piece", "host", "page_id", "url", "texts", "marks", "stream", "covered").groupBy("piece").cogroup(asked.groupBy("piece"))
     return pieces.applyInArrow(decide, f"page_id {id_type.simpleString()}, url string, text string, n_chars long, n_repeated long, n_removed int")
