@@ -354,6 +354,20 @@ ORACLE_SQL: dict[str, str] = {
     "page_text": f"WITH {TEXT} SELECT fetch_seq, length(text) AS n_chars, md5(text) AS text_md5 FROM texts",
     "lang_profiles": f"WITH {PROFILES} SELECT lang, word, n, place::INTEGER AS place FROM profiles",
     "lang_scores": f"WITH {SCORES} SELECT fetch_seq, n_words, best_lang, best_hits, second_hits, lang FROM detected",
+    "lang_grams": f"""WITH clean AS (SELECT doc_id, lang,
+          ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')) || ' ' AS t FROM documents),
+        coded AS (SELECT doc_id, lang, list_transform(string_split(t, ''), lambda c: ord(c)::BIGINT) AS c FROM clean),
+        gram AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 4093)) AS bin FROM coded),
+        counted AS (SELECT lang AS code, bin, count(*) AS n FROM gram WHERE lang IN ({_LANGS}) GROUP BY lang, bin),
+        total AS (SELECT code, sum(n) + 4093 AS whole FROM counted GROUP BY code),
+        of_doc AS (SELECT doc_id, bin, count(*) AS k FROM gram GROUP BY doc_id, bin),
+        score AS (SELECT doc_id, code, sum(k * round(1000 * ln((coalesce(n, 0) + 1) / whole))::BIGINT)::BIGINT AS s, sum(k)::BIGINT AS n_grams
+          FROM of_doc CROSS JOIN total LEFT JOIN counted USING (code, bin) GROUP BY doc_id, code),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, code) AS place FROM score)
+        SELECT d.doc_id, d.lang AS label, CASE WHEN a.s - b.s >= 2996 THEN a.code END AS lang, a.code AS lang_best,
+          coalesce(a.s - b.s, 0) AS lang_margin, coalesce(a.n_grams, 0) AS lang_grams
+        FROM documents d LEFT JOIN (SELECT * FROM ranked WHERE place = 1) a USING (doc_id)
+        LEFT JOIN (SELECT * FROM ranked WHERE place = 2) b USING (doc_id)""",
     "lang_scripts": f"""WITH written AS (SELECT doc_id, lang, CASE lang
             WHEN 'en' THEN translate(lower(text), '{inputs.LATIN}', '{inputs.SCRIPTS["en"]}')
             WHEN 'fr' THEN translate(lower(text), '{inputs.LATIN}', '{inputs.SCRIPTS["fr"]}') ELSE lower(text) END AS text

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import content, urls
 from ..operators import (
-    budgets, frontier, hosts, language, links, pages as page_ops, reach, robots, scout,
+    budgets, frontier, grams, hosts, language, links, pages as page_ops, reach, robots, scout,
 )
 from ..session import new_path, stage, tune
 from ..sources import seeds, sinks, state
@@ -352,6 +352,15 @@ def lang_scripts(spark, sf_dir):
     return detected.select("doc_id", "lang", "found", F.length("text").cast("bigint").alias("n_chars"))
 
 
+@query
+def lang_grams(spark, sf_dir):
+    """Language of the whole documents by the likelihood of their character trigrams, from a model trained on them."""
+    documents = inputs.table(spark, sf_dir, "documents")
+    model = grams.gram_weights(grams.train_grams(documents, inputs.LANGS), inputs.LANGS)
+    found = grams.with_gram_language(documents.select("doc_id", "text", F.col("lang").alias("label")), "text", model)
+    return found.select("doc_id", "label", "lang", "lang_best", "lang_margin", "lang_grams")
+
+
 @query
 def lang_scores(spark, sf_dir):
     """Hits of each page in each language and the language picked from them, by joins with the profile table."""
