@@ -16,7 +16,7 @@ from ..sources import seeds, sinks, state
 from ..sources.pages import as_pages
 from ..streaming.evidence import read_evidence, stream_evidence, write_evidence
 from ..streaming.frontier import stream_frontier, write_frontier
-from ..streaming.pages import stream_parquet
+from ..streaming.pages import stream_parquet, stream_table
 from ..streaming.scout import read_scouted, stream_scout
 from . import crawl, inputs
 from .inputs import CONFIG
@@ -777,7 +777,7 @@ def crawl_state(spark, sf_dir):
 def stream_links(spark, sf_dir):
     """Admitted URLs of the pages read as a stream."""
     schema = inputs.table(spark, sf_dir, "pages").schema
-    pages = as_pages(stream_parquet(spark, sf_dir, schema, glob="pages.parquet"))
+    pages = as_pages(stream_table(spark, sf_dir, "pages", schema))
     path, checkpoint = new_path(spark, "frontier"), new_path(spark, "frontier_checkpoint")
     write_frontier(stream_frontier(pages, CONFIG), path, checkpoint).awaitTermination()
     return spark.read.parquet(path).select("norm_url", "site")

@@ -16,3 +16,12 @@ def stream_parquet(
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)
+
+
+def stream_table(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
+    """Stream of a Parquet table, which is a folder of files or one file next to those of other tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return stream_parquet(spark, path.toString(), schema)
+    # a stream is read from folders only
+    return stream_parquet(spark, folder, schema, glob=f"{name}.parquet")

@@ -1,11 +1,13 @@
 """Sinks, state and streams."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from sitesieve.config import SieveConfig
+from sitesieve.plans.queries import QUERIES
 from sitesieve.operators import frontier, links, pages, scout
 from sitesieve.sources import sinks, state
 from sitesieve.sources.pages import as_pages
@@ -145,3 +147,21 @@ def test_stream_frontier_equals_batch_and_restarts(spark, tmp_path, event_time):
     expected = [r.norm_url for r in frontier.dedup_links(batch).collect()]
     assert len(found) == len(set(found))
     assert sorted(found) == sorted(expected)
+
+
+@pytest.mark.parametrize("layout", ["file", "folder", "empty"])
+def test_stream_links_of_a_table_in_one_file_or_in_a_folder(spark, tmp_path, layout):
+    rows = [(i, f"http://w{i % 3}.com/en/{i}", f'<a href="/en/x{i % 4}">x</a><a href="http://v{i}.org/">v</a>') for i in range(24)]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    written = tmp_path / "written"
+    (table.limit(0) if layout == "empty" else table).repartition(1 if layout == "file" else 4).write.parquet(str(written))
+    # another table lies next to it
+    table.write.parquet(str(tmp_path / "tables" / "documents.parquet"))
+    target = tmp_path / "tables" / "pages.parquet"
+    if layout == "file":
+        shutil.copy(next(written.glob("*.parquet")), target)
+    else:
+        shutil.copytree(written, target)
+    got = sorted(map(tuple, QUERIES["stream_links"](spark, str(tmp_path / "tables")).collect()))
+    expected = [(f"http://w{k}.com/en/x{j}", f"w{k}.com") for k in range(3) for j in range(4)] + [(f"http://v{i}.org/", f"v{i}.org") for i in range(24)]
+    assert got == ([] if layout == "empty" else sorted(expected))
