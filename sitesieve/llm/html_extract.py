@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -43,6 +44,8 @@ LONG = 8
 # Tokens of the parts by which windows are found: a third of all positions at five parts in a window.
 GRAM = 4
 CHUNK = 1 << 23
+# Bytes up to which a token is hashed together with the others.
+MIXED = 64
 # Bytes of html whose part hashes are compared in one group.
 RANGE = 1 << 26
 COVERED = 0.5
@@ -79,7 +82,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     #: declared boilerplate, or declared main text
@@ -107,12 +110,12 @@ def _declared(name: str, attributes: str, in_content: bool) -> tuple[bool, set[s
     return chrome, said if not (chrome or content or name in WHOLE) else set(), content and not chrome
 
 
-def blocks_of(page: str | None) -> list[Block]:
-    """The blocks of a page with text in them, in order.
+def blocks_of(page: str | None, known: dict[tuple[str, str, bool], tuple[bool, set[str], bool]] | None = None) -> list[Block]:
+    """The blocks of a page with text in them, in order; ``known`` keeps what tags declare, from page to page.
 
     Words of a class or id do not make boilerplate of what holds the longest article, unless they name comments and the page has other text.
     """
-    page = page or ""
+    page, known = page or "", {} if known is None else known
     # behind the last end of a tag nothing but a comment begins, so that no search for an end runs over the rest of the page again and again
     last = page.rfind(">") + 1
     opened = page.find("<!--", last)
@@ -146,15 +149,20 @@ def blocks_of(page: str | None) -> list[Block]:
 
     at = 0
     for m in TAG.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+        start, end = m.span()
+        if start > at:
+            parts.append(page[at:start])
+        at = end
+        _, slash, name, attributes = m.groups()
+        if name is None:
             continue
-        name = m[3].lower()
+        name = name.lower()
         is_block = name in BLOCKS
-        if m[2]:  # an end tag
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+        if slash:  # an end tag
+            depth = len(stack) - 1
+            while depth >= 0 and stack[depth][0] != name:
+                depth -= 1
+            depth = depth if depth >= 0 else None
             if is_block or depth is not None and any(stack[depth][1:]):
                 close()
             if depth is not None:
@@ -168,7 +176,12 @@ def blocks_of(page: str | None) -> list[Block]:
                 pop(len(stack) - 1)
         if name in VOID:
             continue
-        said, words, main = _declared(name, m[4], content > 0)
+        tag = (name, attributes, content > 0)
+        if (declared := known.get(tag)) is None:
+            declared = _declared(*tag)
+            if len(attributes) <= 100:  # templates repeat their tags
+                known[tag] = declared
+        said, words, main = declared
         if is_block or said or words or main:
             if (said or words or main) and not is_block:
                 close()
@@ -209,22 +222,25 @@ def stream_of(blocks: list[Block]) -> list[str]:
     return [word for b in blocks for word in b.text.split()]
 
 
-def stream_hash(tokens: list[str]) -> int:
-    return int.from_bytes(hashlib.blake2b(" ".join(tokens).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def stream_hash(stream: str) -> int:
+    """Of a stream as its tokens with single spaces between."""
+    return int.from_bytes(hashlib.blake2b(stream.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def repeated(streams: list[list[str]], long: int = LONG) -> list[np.ndarray]:
     """For each stream, which of its tokens are covered by substrings of at least ``long`` tokens that occur in another stream as well."""
     ids: dict[str, int] = {}
-    coded, mark = [], 0
-    for tokens in streams:
-        mark -= 1  # a different mark after each page
-        coded.append(np.array([ids.setdefault(t, len(ids)) for t in tokens] + [mark], dtype=np.int64))
-    if not coded:
+    return repeated_numbers([np.array([ids.setdefault(t, len(ids)) for t in tokens], dtype=np.int64) for tokens in streams], long)
+
+
+def repeated_numbers(streams: list[np.ndarray], long: int = LONG) -> list[np.ndarray]:
+    """``repeated`` of streams of token numbers, which count from 0."""
+    if not streams:
         return []
-    text = np.concatenate(coded)
-    of = np.repeat(np.arange(len(coded)), [c.size for c in coded])
-    rank = np.where(text >= 0, text, -1)
+    mark = np.array([-1])  # ends each page; no suffix goes on past it
+    rank = np.concatenate([part for stream in streams for part in (stream, mark)])
+    sizes = np.array([stream.size + 1 for stream in streams])
+    of = np.repeat(np.arange(len(streams)), sizes)
     active = np.flatnonzero(rank >= 0)
     depth = 1
     while depth < long and active.size:
@@ -242,7 +258,7 @@ def repeated(streams: list[list[str]], long: int = LONG) -> list[np.ndarray]:
         rank[active[order[several]]] = new[several]
         active = np.flatnonzero(rank >= 0)
         depth += step
-    change = np.zeros(text.size + 1, dtype=np.int64)
+    change = np.zeros(rank.size + 1, dtype=np.int64)
     if active.size:
         # the suffix array of what is left: equal ranks are neighbours with a common prefix of ``long`` tokens
         array = active[np.lexsort((active, rank[active]))]
@@ -253,17 +269,37 @@ def repeated(streams: list[list[str]], long: int = LONG) -> list[np.ndarray]:
         change[array[shared]] += 1
         change[array[shared] + long] -= 1
     covered = np.cumsum(change[:-1]) > 0
-    ends = np.cumsum([c.size for c in coded])
-    return [covered[end - c.size : end - 1] for c, end in zip(coded, ends)]
+    return [covered[end - size : end - 1] for size, end in zip(sizes.tolist(), np.cumsum(sizes).tolist())]
+
 
+def token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
-class Hashes(dict):
-    """64-bit hashes of tokens, each computed once."""
 
-    def __missing__(self, token: str) -> int:
-        found = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        self[token] = found
-        return found
+def _mixed(numbers: np.ndarray) -> np.ndarray:
+    """64-bit numbers with each bit spread over all."""
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        numbers = (numbers ^ (numbers >> np.uint64(33))) * np.uint64(factor)
+    return numbers ^ (numbers >> np.uint64(33))
+
+
+def token_hashes(tokens: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each token: its length and bytes mixed eight by eight, for a token of more than ``MIXED`` bytes ``token_hash``."""
+    kind = np.int64 if pa.types.is_large_string(tokens.type) else np.int32
+    _, offsets, data = tokens.buffers()
+    bounds = np.frombuffer(offsets, kind)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64) if len(tokens) else np.zeros(1, np.int64)
+    starts, sizes = bounds[:-1], np.diff(bounds)
+    padded = np.concatenate([np.frombuffer(data or b"", np.uint8), np.zeros(8, np.uint8)])
+    eights = np.ndarray((padded.size - 7,), "<u8", padded, strides=(1,))
+    masks = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+    out = sizes.astype(np.uint64)
+    at = np.flatnonzero(sizes <= MIXED)
+    for k in range(0, MIXED, 8):
+        at = at[sizes[at] > k]
+        out[at] = _mixed(out[at] ^ (eights[starts[at] + k] & masks[np.minimum(sizes[at] - k, 8)]) * np.uint64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(sizes > MIXED)
+    out[long] = np.fromiter(map(token_hash, tokens.take(pa.array(long)).to_pylist()), np.uint64, long.size)
+    return out
 
 
 def windows_of(coded: np.ndarray, long: int = LONG) -> np.ndarray:
@@ -276,13 +312,16 @@ def windows_of(coded: np.ndarray, long: int = LONG) -> np.ndarray:
 
 
 def least_parts(coded: np.ndarray, long: int = LONG) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all parts of a stream and, for each window of ``long`` tokens, where its first least part starts."""
+    """Hashes of all parts of a run of tokens and, for each window of ``long`` tokens, where its first least part starts."""
     size = min(GRAM, long)
     parts = windows_of(coded, size)
-    if coded.size < long:
-        return parts, np.zeros(0, dtype=np.int64)
-    inside = np.lib.stride_tricks.sliding_window_view(parts, long - size + 1)
-    return parts, inside.argmin(axis=1) + np.arange(inside.shape[0])
+    n = max(coded.size - long + 1, 0)
+    at, least = np.arange(n), parts[:n].copy()
+    for k in range(1, long - size + 1):
+        less = np.flatnonzero(parts[k : k + n] < least)
+        least[less] = parts[k + less]
+        at[less] = k + less
+    return parts, at
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -308,10 +347,11 @@ def main_text(blocks: list[Block], covered: np.ndarray) -> tuple[str, int]:
     if not is_open(blocks):
         return "\n".join(b.text for b in blocks if b.content and not b.chrome), 0
     kept, at, removed = [], 0, 0
+    before = [0, *np.cumsum(covered).tolist()]
     for b in blocks:
-        n = len(b.text.split())
+        n = b.text.count(" ") + 1
         if not b.chrome:
-            if covered[at : at + n].mean() < COVERED:
+            if (before[at + n] - before[at]) / n < COVERED:
                 kept.append(b.text)
             else:
                 removed += 1
@@ -321,44 +361,61 @@ def main_text(blocks: list[Block], covered: np.ndarray) -> tuple[str, int]:
 
 @dataclass
 class Streams:
-    """The token streams of a piece: of each page which one, and of each distinct one of a host its tokens."""
+    """The token streams of a piece, one behind the other: of each page which one, of each distinct one of a host the first page that has it."""
 
     of: list[int]
+    first: list[int]
     hosts: list[str | None]
-    tokens: list[list[str]]
     hashes: list[int]
+    #: where the tokens of each stream start and end
+    starts: np.ndarray
+    ends: np.ndarray
+    tokens: pa.Array
 
     @classmethod
-    def read(cls, hosts: list[str | None], texts: list[list[str]], hashes: list[int] | None = None) -> Streams:
-        """From the texts of the blocks of each page, and the hashes of their streams if they are known."""
-        out, numbers = cls([], [], [], []), {}
-        for k, host in enumerate(hosts):
-            tokens = " ".join(texts[k]).split() if hashes is None else None
-            named = (host, stream_hash(tokens) if hashes is None else hashes[k])
-            if named not in numbers:
-                numbers[named] = len(numbers)
-                out.hosts.append(host)
-                out.tokens.append(" ".join(texts[k]).split() if tokens is None else tokens)
-                out.hashes.append(named[1])
-            out.of.append(numbers[named])
-        return out
-
-    def covered(self, long: int) -> list[np.ndarray]:
+    def read(cls, hosts: list[str | None], texts: pa.ListArray, hashes: list[int]) -> Streams:
+        """From the texts of the blocks of each page, which are tokens with single spaces between, and the hashes of their streams."""
+        known: dict[tuple[str | None, int], int] = {}
+        of, first = [], []
+        for k, named in enumerate(zip(hosts, hashes)):
+            if named not in known:
+                known[named] = len(known)
+                first.append(k)
+            of.append(known[named])
+        chosen = texts.take(pa.array(first, pa.int64()))
+        n_blocks = np.r_[0, np.cumsum(chosen.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        split = pc.split_pattern(chosen.flatten(), " ")
+        n_tokens = np.r_[0, np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        bounds = n_tokens[n_blocks]
+        return cls(of, first, [hosts[k] for k in first], [hashes[k] for k in first], bounds[:-1], bounds[1:], split.flatten())
+
+    def covered(self, long: int) -> np.ndarray:
+        """Which tokens are covered by what repeats in other streams of the host."""
         by_host: dict[str | None, list[int]] = {}
         for k, host in enumerate(self.hosts):
             by_host.setdefault(host, []).append(k)
-        out: list[np.ndarray] = [np.zeros(0, bool)] * len(self.tokens)
-        for numbers in by_host.values():
-            for k, mask in zip(numbers, repeated([self.tokens[k] for k in numbers], long)):
-                out[k] = mask
+        out = np.zeros(len(self.tokens), dtype=bool)
+        numbers = self.tokens.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for chosen in by_host.values():
+            bounds = [(self.starts[k], self.ends[k]) for k in chosen]
+            for (start, end), mask in zip(bounds, repeated_numbers([numbers[start:end] for start, end in bounds], long)):
+                out[start:end] = mask
         return out
 
-    def coded(self) -> Iterator[tuple[np.uint64, np.ndarray]]:
-        """The hash of the host and those of the tokens of each stream."""
-        known = Hashes()
-        for host, tokens in zip(self.hosts, self.tokens):
-            # a blank is no token, and a missing host is not the empty one
-            yield np.uint64(known["\n" if host is None else " " + host]), np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    def per_token(self, values: np.ndarray) -> np.ndarray:
+        """The value of its stream for each token."""
+        return np.repeat(values, self.ends - self.starts)
+
+    def coded(self) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of the host and the own hash of each token."""
+        # a blank is no token, and a missing host is not the empty one
+        known = {host: token_hash("\n" if host is None else " " + host) for host in set(self.hosts)}
+        return self.per_token(np.fromiter((known[host] for host in self.hosts), np.uint64, len(self.hosts))), token_hashes(self.tokens)
+
+    def inside(self, long: int) -> np.ndarray:
+        """Which windows of ``long`` tokens, by their start, lie in one stream."""
+        n = max(len(self.tokens) - long + 1, 0)
+        return np.arange(n) + long <= self.per_token(self.ends)[:n]
 
 
 def _short(parts: np.ndarray, host: np.uint64, bits: int) -> np.ndarray:
@@ -366,6 +423,13 @@ def _short(parts: np.ndarray, host: np.uint64, bits: int) -> np.ndarray:
     return ((parts ^ host) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
 
 
+def _chosen(at: np.ndarray, n: int) -> np.ndarray:
+    """The distinct ones of some numbers below ``n``, in order."""
+    mask = np.zeros(n, dtype=bool)
+    mask[at] = True
+    return np.flatnonzero(mask)
+
+
 def _sorted_in(numbers: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which of the numbers are among the ascending ``known``."""
     if not known.size:
@@ -392,20 +456,23 @@ def _parsed(pages: DataFrame, long: int, bits: int, cut: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), t) for c, t in kinds.items()], names=list(kinds))
 
     def cut_piece(rows: list[dict], piece: int) -> Iterator[pa.RecordBatch]:
-        parsed = [blocks_of(r["html"]) for r in rows]
-        texts = [[b.text for b in p] for p in parsed]
-        streams = Streams.read([r["host"] for r in rows], texts)
-        runs = [_runs(mask) for mask in streams.covered(long)]
+        known: dict[tuple[str, str, bool], tuple[bool, set[str], bool]] = {}
+        parsed = [blocks_of(r["html"], known) for r in rows]
+        texts = pa.array([[b.text for b in p] for p in parsed], pa.list_(pa.string()))
+        hashes = [stream_hash(" ".join([b.text for b in p])) for p in parsed]
+        streams = Streams.read([r["host"] for r in rows], texts, hashes)
+        covered = streams.covered(long)
+        runs = [_runs(covered[start:end]) for start, end in zip(streams.starts, streams.ends)]
         yield batch(
             len(rows), piece=[piece] * len(rows), host=[r["host"] for r in rows], page_id=[r["page_id"] for r in rows], url=[r["url"] for r in rows],
             texts=texts, marks=[[b.chrome + 2 * b.content for b in p] for p in parsed],
-            stream=[streams.hashes[k] for k in streams.of], covered=[runs[k] for k in streams.of],
+            stream=hashes, covered=[runs[k] for k in streams.of],
         )
-        found = [np.zeros(0, np.uint64)]
-        for host, coded in streams.coded():
-            parts, least = least_parts(coded, long)
-            found.append(_short(parts[np.unique(least)], host, bits))
-        every = np.unique(np.concatenate(found))
+        host, coded = streams.coded()
+        parts, least = least_parts(coded, long)
+        used = _chosen(least[streams.inside(long)], parts.size)
+        every = np.sort(_short(parts[used], host[used], bits))
+        every = every[np.flatnonzero(np.r_[every.size > 0, np.diff(every) != 0])]
         if every.size:
             starts, ranges = cut_by_range(every, cut)
             packed = [pack(part) for part in np.split(every, starts[1:])]
@@ -456,14 +523,16 @@ def _windows(texts: DataFrame, several: DataFrame, long: int, bits: int, cut: in
         if not pages.num_rows or not parts.num_rows:
             return schema.empty_table()
         known = np.sort(np.concatenate([unpack(p) for p in parts["parts"].to_pylist()]))
-        streams = Streams.read(pages["host"].to_pylist(), pages["texts"].to_pylist(), pages["stream"].to_pylist())
-        windows, sources = [], []
-        for (host, coded), stream in zip(streams.coded(), streams.hashes):
-            all_parts, least = least_parts(coded, long)
-            at = np.flatnonzero(_sorted_in(_short(all_parts, host, bits), known)[least])
-            windows.append(windows_of(coded, long)[at] ^ host)
-            sources.append(np.full(at.size, np.int64(stream)).view(np.uint64))
-        window, source = np.concatenate(windows), np.concatenate(sources)
+        streams = Streams.read(pages["host"].to_pylist(), pages["texts"].combine_chunks(), pages["stream"].to_pylist())
+        host, coded = streams.coded()
+        all_parts, least = least_parts(coded, long)
+        inside = streams.inside(long)
+        used = _chosen(least[inside], all_parts.size)
+        wanted = np.zeros(all_parts.size, dtype=bool)
+        wanted[used] = _sorted_in(_short(all_parts[used], host[used], bits), known)
+        at = np.flatnonzero(inside & wanted[least])
+        window = windows_of(coded, long)[at] ^ host[at]
+        source = streams.per_token(np.array(streams.hashes, dtype=np.int64).view(np.uint64))[at]
         order = np.lexsort((source, window))
         window, source = window[order], source[order]
         firsts = np.flatnonzero(np.r_[window.size > 0, np.diff(window) != 0])
@@ -530,16 +599,21 @@ def extract(pages: DataFrame, long: int = LONG) -> DataFrame:
     def decide(pages: pa.Table, windows: pa.Table) -> pa.Table:
         rows = pages.to_pylist()
         blocks = [[Block(t, bool(m & 1), bool(m & 2)) for t, m in zip(r["texts"], r["marks"])] for r in rows]
-        streams = Streams.read([r["host"] for r in rows], [r["texts"] for r in rows], [r["stream"] for r in rows])
-        masks = [np.zeros(len(t), dtype=bool) for t in streams.tokens]
-        for r, k in zip(rows, streams.of):
-            for start, end in zip(r["covered"][::2], r["covered"][1::2]):
-                masks[k][start:end] = True
+        streams = Streams.read([r["host"] for r in rows], pages["texts"].combine_chunks(), [r["stream"] for r in rows])
+        change = np.zeros(len(streams.tokens) + 1, dtype=np.int64)
+        for k, start in zip(streams.first, streams.starts):
+            runs = start + np.array(rows[k]["covered"], dtype=np.int64)
+            np.add.at(change, runs[::2], 1)
+            np.add.at(change, runs[1::2], -1)
         known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack(w) for w in windows["windows"].to_pylist())]))
         if known.size:
-            for mask, (host, coded) in zip(masks, streams.coded()):
-                for start in np.flatnonzero(_sorted_in(windows_of(coded, long) ^ host, known)):
-                    mask[start : start + long] = True
+            host, coded = streams.coded()
+            window = windows_of(coded, long)
+            at = np.flatnonzero(streams.inside(long) & _sorted_in(window ^ host[: window.size], known))
+            change[at] += 1
+            change[at + long] -= 1
+        covered = np.cumsum(change[:-1]) > 0
+        masks = [covered[start:end] for start, end in zip(streams.starts, streams.ends)]
         out = []
         for r, b, k in zip(rows, blocks, streams.of):
             text, removed = main_text(b, masks[k])

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,32 @@ def test_suffix_array_against_all_windows():
     assert html_extract.repeated([]) == []
 
 
+def test_streams_of_a_piece_together_against_one_by_one():
+    rng = random.Random(7)
+    words = ["", "a", "b", "ab", "a\0", "é", "日本語" * 9, "x" * 64, "x" * 65, "y" * 300, "12345678", "123456789"]
+    hashes = html_extract.token_hashes(pa.array(words))
+    assert len(set(hashes.tolist())) == len(words)
+    assert (html_extract.token_hashes(pa.array(["z", *words]).slice(1)) == hashes).all()
+    assert html_extract.token_hashes(pa.array([], pa.string())).size == 0
+    hosts = [rng.choice(["a", "", None]) for _ in range(60)]
+    pages = [[" ".join(rng.choice(words[1:4]) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(0, 3))] for _ in hosts]
+    named = [html_extract.stream_hash(" ".join(p)) for p in pages]
+    streams = html_extract.Streams.read(hosts, pa.array(pages, pa.list_(pa.string())), named)
+    covered, inside = streams.covered(5), streams.inside(5)
+    host, coded = streams.coded()
+    parts, least = html_extract.least_parts(coded, 5)
+    assert len(streams.first) == len(set(zip(hosts, named))) < len(pages)
+    for k, (start, end) in enumerate(zip(streams.starts, streams.ends)):
+        assert streams.tokens[start:end].to_pylist() == " ".join(pages[streams.first[k]]).split()
+        same = [j for j, h in enumerate(streams.hosts) if h == streams.hosts[k]]
+        alone = html_extract.repeated([" ".join(pages[streams.first[j]]).split() for j in same], 5)[same.index(k)]
+        assert covered[start:end].tolist() == alone.tolist()
+        assert inside[start:end].tolist() == [p + 5 <= end for p in range(start, min(end, inside.size))]
+        for p in range(start, end - 4):
+            assert least[p] == p + parts[p : p + 2].argmin()
+    assert len(set(host.tolist())) == 3
+
+
 def undeclared(i, host="x.example.com"):
     rng = random.Random(i)
     own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
